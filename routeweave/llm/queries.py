@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from . import jaccard_join, line_dedup, packing, substring_dedup
 from .common import table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
+def tokenizer_files() -> tuple[str, str, str]:
+    """Paths of the tokenizer and of the same vocabulary as ranks, and the pattern that cuts texts."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
     return pieces.select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
