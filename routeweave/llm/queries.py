@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, substring_dedup
+from . import chat_format, hamming_search, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, quality_rules, substring_dedup
 from .common import table
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -55,6 +55,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -63,6 +67,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("reduction", F.round("reduction", 6))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "sampled")
@@ -110,6 +119,18 @@ FROM sized GROUP BY conv_id
 """
 
 
+OP5_SQL = """
+WITH codes AS (
+  SELECT vec_id AS id, min(list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << (31 - i) ELSE 0 END))::BIGINT) AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY vec_id),
+pairs AS (
+  SELECT q.id AS query_id, c.id AS neighbor_id, bit_count(xor(q.code, c.code))::BIGINT AS distance
+  FROM codes q JOIN codes c ON q.id <> c.id WHERE q.id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def _op9_sql(sweeps: int = mixing.SWEEPS, power: float = mixing.POWER, seed: str = mixing.SEED) -> str:
     """The raking unrolled: one step for each margin of each sweep."""
     head = f"""
@@ -151,14 +172,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_hamming_search": op5_hamming_search,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
+    "op5_hamming_search": OP5_SQL,
     "op9_mixing": _op9_sql(),
     "op3_line_dedup": OP3_SQL,
 }
