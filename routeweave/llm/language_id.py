@@ -210,8 +210,12 @@ def held_out(doc_id: Column) -> Column:
 def learned_from(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[tuple[str, str]]:
     """At most ``train_docs`` (text, lang) rows of each language, never held-out ones."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= train_docs).select("doc_id").distinct()
+    # a hash bound leaves a few times train_docs rows of each language before they are ranked in one place
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") <= 4 * train_docs
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    some = known.select("doc_id", "lang").join(sizes, "lang").filter(near)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
+    chosen = some.withColumn("place", place).filter(F.col("place") <= train_docs).select("doc_id").distinct()
     # bounded by train_docs for each language
     rows = known.join(F.broadcast(chosen), "doc_id").select("text", "lang").collect()
     return [(r["text"], r["lang"]) for r in rows]
