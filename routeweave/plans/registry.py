@@ -10,5 +10,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under a name, with the SQL of the same result."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Announcements and withdrawals of each origin AS in each five-minute slot."""
+    return QUERIES["slot_features"](spark, sf_dir)
+
+
+from . import event_queries, quality_queries, route_queries, scalar_queries, series_queries  # noqa: E402, F401
