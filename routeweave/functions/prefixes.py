@@ -42,7 +42,7 @@ def v4_size(prefix: Column) -> Column:
 
 def v4_text(network: Column, length: Column) -> Column:
     octet = lambda shift: F.shiftright(network, shift).bitwiseAND(F.lit(255).cast("bigint")).cast("string")
-    return F.concat(F.concat_ws(".", *[octet(s) for s in (24, 16, 8, 0)]), F.lit("/"), length.cast("string"))
+    return F.when(network.isNotNull(), F.concat(F.concat_ws(".", *[octet(s) for s in (24, 16, 8, 0)]), F.lit("/"), length.cast("string")))
 
 
 def skip_reason(prefix: Column, afi: Column, length: Column) -> Column:
