@@ -64,3 +64,9 @@ def mapping_union(base: DataFrame, delta: DataFrame, key: str, value: str) -> Da
     """A revised mapping: the delta's value where it has one, else the base's; with the side it came from."""
     both = base.select(key, F.col(value).alias("__base")).join(delta.select(key, F.col(value).alias("__delta")), key, "full")
     return both.select(key, F.coalesce("__delta", "__base").alias(value), F.when(F.col("__delta").isNotNull(), "delta").otherwise("base").alias("view"))
+
+
+def stability_of(routes: DataFrame, known: DataFrame, key: Sequence[str], skip: float = 0.2) -> DataFrame:
+    """The stability of the neighbours of each path (0 where unknown), and whether a leak check skips it."""
+    joined = routes.join(known, list(key), "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
+    return joined.withColumn("skipped", F.col("stability") >= skip).drop(*key)
