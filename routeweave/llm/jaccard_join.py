@@ -8,10 +8,12 @@
    *class*; classes with the same size and prefix are one *group*.
 3. Groups that share a prefix shingle meet in that shingle's bucket, and the members of one group in the group's own
    bucket; buckets are dealt in blocks of bounded size. There, group pairs are filtered by size, members are expanded
-   and compared by bitmap: the bits in which two differ never outnumber the shingles in which the sets differ, so
-   no link is lost. Of the pairs that remain, a spanning forest of each bucket is verified on the full sets.
-4. Components of the verified links are formed; then every remaining pair that joins two components is verified
-   as well, and the components are final. Links inside a component change no result and are not listed.
+   and compared by bitmap, pairs that pass by a finer one: the bits in which two differ never outnumber the shingles in
+   which the sets differ, so no link is lost. Of a spanning forest of each bucket, one pair of each document is verified
+   on the full sets.
+4. Components of the verified links are formed. A pair that could join two of them is spanned by a path of forest pairs
+   on which each component is left by a pair that is no link, so only components at such ends are searched again; every pair between two of them is verified,
+   and the components are final. Links inside a component change no result and are not listed.
 
 Defined cases: a null text or one without words is linked with nothing; repeated rows have equal sets and are linked;
 an empty table yields no rows; a null doc_id forms no link of its own; extra columns are ignored.
@@ -28,22 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .filters import DOC_BITS, hash_filter, rows_in_filter
 from .graph import connected_components
-from .shingles import WordHasher, shingle_set
+from .shingles import hashed_texts, shingle_sets
 
 WIDTH, PERCENT = 3, 90
 #: Shingles counted together; how often one must repeat there; how many of the most frequent ones are sorted last.
 CHUNK, REPEATS, HEAVY = 4_000_000, 4, 1 << 18
-BITS = 1024
+BITS, FINE_BITS = 512, 2048
 #: Most members of a block of a bucket.
 BLOCK = 2048
+#: Most texts that meet one other text in a part.
+PARTNERS = 64
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
-    hasher = WordHasher(lower=True)
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield doc_id, shingle_set(hasher(hasher.words(text.as_py())), width)
+    for rows, hashes, counts in hashed_texts(batches, 1, lower=True):
+        yield from zip(rows.column(0).to_pylist(), shingle_sets(hashes, counts, width))
 
 
 def frequent_shingles(docs: DataFrame, width: int, heavy: int = HEAVY) -> np.ndarray:
@@ -72,7 +75,7 @@ def frequent_shingles(docs: DataFrame, width: int, heavy: int = HEAVY) -> np.nda
 
 
 def signatures(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, set_id, group_id, bitmap, prefix) of each document; the last four are null for an empty set."""
+    """(doc_id, n_shingles, set_id, group_id, bitmap, fine, prefix) of each document; the last five are null for an empty set."""
     by_value = np.argsort(last)
     known, rank = last[by_value], by_value
 
@@ -88,11 +91,12 @@ def signatures(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> D
                 if len(prefix) < need:
                     late = np.flatnonzero(common)
                     prefix = np.concatenate([prefix, s[late[np.argsort(rank[at[late]])][: need - len(prefix)]]])
-                bits = np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
+                fine = np.bincount((s & np.uint64(FINE_BITS - 1)).astype(np.int64), minlength=FINE_BITS) & 1
+                bits = np.bitwise_xor.reduce(fine.reshape(-1, BITS)).astype(np.uint8)
                 group = xxhash.xxh3_128_digest(np.sort(prefix).tobytes() + n.to_bytes(8, "little"))
-                rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), group, bits.tobytes(), prefix.view(np.int64)))
+                rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), group, np.packbits(bits).tobytes(), np.packbits(fine.astype(np.uint8)).tobytes(), prefix.view(np.int64)))
             else:
-                rows.append((doc_id, 0, None, None, None, None))
+                rows.append((doc_id, 0, None, None, None, None, None))
             if len(rows) >= 2000:
                 yield _batch(rows)
                 rows = []
@@ -100,37 +104,34 @@ def signatures(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> D
             yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "n_shingles", "set_id", "group_id", "bitmap", "prefix"])
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "n_shingles", "set_id", "group_id", "bitmap", "fine", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_id binary, group_id binary, bitmap binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_id binary, group_id binary, bitmap binary, fine binary, prefix array<bigint>")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, rep, group_id, n, bitmap): the members of each group of several, and of all groups that share a prefix shingle, in blocks."""
-    groups = classes.groupBy("group_id").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    tokens = groups.select(F.explode("prefix").alias("token"), "group_id")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
-    by_token = tokens.join(shared, "token").select(F.concat(F.lit("t"), F.col("token").cast("string")).alias("bucket"), "group_id")
-    own = groups.filter("members > 1").select(F.concat(F.lit("g"), F.hex("group_id")).alias("bucket"), "group_id")
-    members = by_token.union(own).join(classes.select("group_id", "rep", "n", "bitmap"), "group_id")
-    return members
+def buckets(classes: DataFrame, filled: DataFrame) -> DataFrame:
+    """(bucket, own, gid, size, rep): the members of each group of several, and of all groups that share a prefix shingle; size: of the bucket."""
+    leading = classes.filter("rep = gid").select(F.col("rep").alias("doc_id"), F.col("members").cast("int").alias("members"))
+    first = filled.select("doc_id", "prefix").dropDuplicates(["doc_id"]).join(leading, "doc_id")
+    tokens = first.select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("gid"), "members")
+    shared = tokens.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("members").alias("size")).filter("groups > 1").select("bucket", "size")
+    by_token = tokens.join(shared, "bucket").select("bucket", F.lit(False).alias("own"), "gid", "size")
+    own = classes.filter("rep = gid AND members > 1").select(F.col("gid").alias("bucket"), F.lit(True), "gid", F.col("members"))
+    return by_token.union(own).join(classes.select("gid", "rep"), "gid")
 
 
 def _dealt(members: DataFrame) -> DataFrame:
     """Adds ``part``: a bucket of more than ``BLOCK`` members is cut in blocks by hash, and every two of its blocks meet in one part."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
-    cut = sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(cut, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("block", block).withColumn("other", other)
-    part = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    return rows.withColumn("part", part).drop("blocks", "block", "other", "bucket")
+    rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.xxhash64("bucket", "own", F.least("block", "other"), F.greatest("block", "other"))
+    return rows.withColumn("part", part).drop("blocks", "block", "other", "bucket", "size")
 
 
-def candidate_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b) of members of one bucket that size and bitmap allow. ``forest``: a spanning forest of each part only; else the pairs of different ``component``."""
+def candidate_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b) of members of one bucket that size and bitmap allow; ``sets``: (rep, n, bitmap). ``forest``: a spanning forest of each part only; else the pairs of different ``component``."""
 
     def find(parent: list[int], x: int) -> int:
         while parent[x] != x:
@@ -175,7 +176,7 @@ def candidate_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame
 
         def run(rows: pa.Table) -> pa.RecordBatch:
             bits = np.frombuffer(b"".join(rows["bitmap"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            group = rows["group"].to_numpy()
+            group = rows["gid"].to_numpy()
             component = None if forest else rows["component"].to_numpy()
             a, b = pairs_of(rows["part"].to_numpy(), group, rows["own"].to_numpy(zero_copy_only=False), rows["n"].to_numpy(), bits, component, rows["rep"].to_numpy())
             pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - told
@@ -196,40 +197,56 @@ def candidate_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame
         if held:
             yield run(pa.Table.from_batches(held))
 
-    rows = members.withColumn("own", F.col("bucket").startswith("g")).withColumn("group", F.xxhash64("group_id"))
-    columns = ["part", "group", "own", "rep", "n", "bitmap", *([] if forest else ["component"])]
-    rows = _dealt(rows).select(*columns).repartition("part").sortWithinPartitions("part", "group", "rep")
+    columns = ["part", "gid", "own", "rep", "n", "bitmap", *([] if forest else ["component"])]
+    rows = _dealt(members).join(sets, "rep").select(*columns).repartition("part").sortWithinPartitions("part", "gid", "rep")
     return rows.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole shingle sets are similar enough."""
+def finer(pairs: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the fine bitmaps allow as well."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = rows_in_filter(filled.select("doc_id", "n_shingles", "fine"), "doc_id", hash_filter(wanted, DOC_BITS))
+    held = stored(some.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for doc_id, s in _sets(batches, width):
-            rows.append((doc_id, s.tobytes()))
-            if len(rows) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "shingles"])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "shingles"])
+    def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, FINE_BITS // 64) for k in (4, 5))
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                keep = differ * (100 + percent) <= (100 - percent) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = held.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("fine").alias("x"))
+    right = held.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("fine").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(allow, "a bigint, b bigint")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole shingle sets are similar enough. The texts of all b meet their a; an a with many b is
+    compared in several parts."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        part, a, own = None, None, None
+        for rows, hashes, counts in hashed_texts(batches, 4, lower=True):  # sorted by part, a's own text first
+            kept = []
+            for p, x, b, s in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), shingle_sets(hashes, counts, width)):
+                if b == x:
+                    part, a, own = p, x, s
+                    continue
+                assert (p, x) == (part, a)
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(s) - both):
+                    kept.append((x, b))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], names=["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = stored(texts.mapInArrow(sets, "doc_id bigint, shingles binary"))
-    left = held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    some = rows_in_filter(docs.select("doc_id", "text"), "doc_id", hash_filter(wanted, DOC_BITS)).dropDuplicates(["doc_id"])
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    of_b = pairs.join(parts, "a").select(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("k"), "a", "b", F.lit(1).alias("late"), F.col("b").alias("doc_id"))
+    of_a = parts.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"), "a", F.col("a").alias("b"), F.lit(0), F.col("a").alias("doc_id"))
+    rows = of_b.union(of_a).join(some, "doc_id").select(F.xxhash64("a", "k").alias("part"), "a", "b", "late", "text")
+    return rows.repartition("part").sortWithinPartitions("part", "a", "late").mapInArrow(compare, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -237,14 +254,26 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     signed = stored(signatures(docs, width, percent, frequent_shingles(docs, width)))
     filled = signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    least = filled.groupBy("set_id").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "group_id", "bitmap", "prefix")).alias("x"))
-    classes = stored(least.select("set_id", F.col("x.doc_id").alias("rep"), "x.n", "x.group_id", "x.bitmap", "x.prefix"))
-    members = stored(buckets(classes))
-    first = stored(candidate_pairs(members, percent, forest=True))
+    reps = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("group_id").alias("group_id"))
+    groups = reps.groupBy("group_id").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
+    classes = stored(reps.join(groups, "group_id").select("set_id", "rep", "gid", "members"))
+    sets = filled.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bitmap").dropDuplicates(["rep"])
+    members = stored(buckets(classes, filled))
+    tried = stored(candidate_pairs(members, sets, percent, forest=True))
+    likely = finer(tried, filled, percent)
+    first = stored(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # one partner each; the others follow if they still matter
     links = stored(verify(first, docs, width, percent))
     found = connected_components(links)
-    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = stored(candidate_pairs(labelled, percent, forest=False).join(first, ["a", "b"], "left_anti"))
+    # only components at the ends of a forest's pair that is no link so far can still be joined
+    unlinked = tried.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = unlinked.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    open_ends = ends.select("component").distinct()
+    labels = found.join(open_ends, "component", "left_semi").select("node", "component").union(ends.filter("node = component")).distinct()
+    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep")
+    mixed = labelled.groupBy("bucket", "own").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    labelled = stored(labelled.join(mixed.select("bucket", "own"), ["bucket", "own"], "left_semi"))
+    more = candidate_pairs(labelled, sets, percent, forest=False).join(first, ["a", "b"], "left_anti")
+    more = stored(finer(stored(more), filled, percent))
     if not more.isEmpty():
         links = stored(links.union(verify(more, docs, width, percent)))
         found = connected_components(links)

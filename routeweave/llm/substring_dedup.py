@@ -26,15 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .shingles import WordHasher, _finish, runs
+from .filters import DOC_BITS, hash_filter, in_filter, rows_in_filter
+from .shingles import _finish, hashed_texts, runs
 
 WINDOW = 35
 #: Bits of the filter for each indexed block, and the most there are.
 BITS_A_BLOCK, MOST_BITS = 24, 1 << 30
-#: Bits of the filter of documents that have hits.
-DOC_BITS = 1 << 24
-#: Positions in one row of Spark's ``bitmap_construct_agg``.
-_ROW_BITS = 32768
 KEY = ["id", "k"]
 
 
@@ -43,13 +40,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("doc_id", "text").alias("k"), F.col("text").cast("string"))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None, np.ndarray]]:
-    hasher = WordHasher(lower=False)
-    for batch in batches:
-        for i, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            yield i, k, text, hasher(hasher.words(text.as_py()))
-
-
 def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str], most: int = 2000) -> Iterator[pa.RecordBatch]:
     held = []
     for row in rows:
@@ -65,26 +55,17 @@ def index_blocks(keyed: DataFrame, block: int) -> DataFrame:
     """(id, k, n_words, sequence, blocks): the hash of a document's whole word sequence, and of its blocks at multiples of ``block``."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, k, len(w), xxhash.xxh3_128_digest(w.tobytes()), runs(w, block)[::block].view(np.int64)) for i, k, _, w in _hashed(batches))
-        return _batches(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], ["id", "k", "n_words", "sequence", "blocks"])
-
-    return keyed.mapInArrow(index, "id bigint, k bigint, n_words bigint, sequence binary, blocks array<bigint>")
-
-
-def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of ``bits`` bits with bit h mod ``bits`` set for each value of the only column."""
-    at = F.pmod(F.col(hashes.columns[0]), F.lit(bits)) + 1
-    rows = hashes.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).repartition("b")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():  # at most ``bits`` bits in all
-        start = (row["b"] - 1) * _ROW_BITS // 8
-        out[start : start + len(row["m"])] = np.frombuffer(row["m"], np.uint8)[: len(out) - start]
-    return out
+        def rows() -> Iterator[tuple]:
+            for part, hashes, counts in hashed_texts(batches, 2, lower=False):
+                every, end = runs(hashes, block), 0
+                for i, k, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), counts.tolist()):
+                    start, end = end, end + n
+                    blocks = every[start : max(start, end - block + 1) : block]
+                    yield i, k, n, xxhash.xxh3_128_digest(hashes[start:end].tobytes()), blocks.view(np.int64)
 
+        return _batches(rows(), [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], ["id", "k", "n_words", "sequence", "blocks"])
 
-def _in_filter(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return keyed.mapInArrow(index, "id bigint, k bigint, n_words bigint, sequence binary, blocks array<bigint>")
 
 
 def probes(keyed: DataFrame, block: int, bitmap: np.ndarray) -> DataFrame:
@@ -93,13 +74,17 @@ def probes(keyed: DataFrame, block: int, bitmap: np.ndarray) -> DataFrame:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for i, k, _, w in _hashed(batches):
-            h = runs(w, block)
-            maybe = _in_filter(bits, h)
-            maybe[::block] = False
-            pos = np.flatnonzero(maybe)
-            if len(pos):
-                yield pa.RecordBatch.from_arrays([pa.array(h[pos].view(np.int64)), pa.array(np.full(len(pos), i)), pa.array(np.full(len(pos), k)), pa.array(pos.astype(np.int32))], names=["h", *KEY, "pos"])
+        for part, hashes, counts in hashed_texts(batches, 2, lower=False):
+            h = runs(hashes, block)
+            at = np.flatnonzero(in_filter(bits, h))
+            ends = np.cumsum(counts)
+            doc = np.searchsorted(ends, at, side="right")
+            pos = at - (ends - counts)[doc]
+            keep = (pos + block <= counts[doc]) & (pos % block > 0)
+            at, doc, pos = at[keep], doc[keep], pos[keep]
+            if len(at):
+                rows = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(pos.astype(np.int32))], names=["h", *KEY, "pos"])
 
     return keyed.mapInArrow(probe, "h bigint, id bigint, k bigint, pos int")
 
@@ -116,30 +101,31 @@ def windows_near(texts: DataFrame, window: int, block: int) -> DataFrame:
     """(h1, h2, id, k, start) of every window that holds an anchor. ``texts``: (id, k, text, at)."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(lower=False)
-        for batch in batches:
-            for i, k, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                w = hasher(hasher.words(text.as_py()))
-                if len(w) < window:
-                    continue
-                marks = np.zeros(len(w) + 1, np.int32)
-                pos = at.values.to_numpy()
-                np.add.at(marks, np.maximum(pos - (window - block), 0), 1)
-                np.add.at(marks, pos + 1, -1)
-                start = np.flatnonzero(np.cumsum(marks)[: len(w) - window + 1])
-                if len(start):
-                    h1, h2 = runs(w, window)[start], runs(_finish(w + np.uint64(1)), window)[start]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(start), i)), pa.array(np.full(len(start), k)), pa.array(start.astype(np.int32))],
-                        names=["h1", "h2", *KEY, "start"],
-                    )
+        for part, hashes, counts in hashed_texts(batches, 2, lower=False):
+            first, second, end = runs(hashes, window), runs(_finish(hashes + np.uint64(1)), window), 0
+            found = []
+            for k, (n, at) in enumerate(zip(counts.tolist(), part.column(3))):
+                begin, end = end, end + n
+                if n >= window:
+                    marks, pos = np.zeros(n + 1, np.int32), at.values.to_numpy()
+                    np.add.at(marks, np.maximum(pos - (window - block), 0), 1)
+                    np.add.at(marks, pos + 1, -1)
+                    start = np.flatnonzero(np.cumsum(marks)[: n - window + 1])
+                    found.append((np.full(len(start), k), begin + start, start))
+            if found:
+                row, at, start = (np.concatenate(x) for x in zip(*found))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(start.astype(np.int32))],
+                    names=["h1", "h2", *KEY, "start"],
+                )
 
     return texts.select(*KEY, "text", "at").mapInArrow(near, "h1 bigint, h2 bigint, id bigint, k bigint, start int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, k, spans) of the documents that have repeats: the spans [start, end) of words, in order and apart, that repeated windows cover."""
-    spark, block, keyed = docs.sparkSession, (window + 1) // 2, _keyed(docs)
+    block, keyed = (window + 1) // 2, _keyed(docs)
     indexed = stored(index_blocks(keyed, block))
     classes = indexed.filter(F.col("n_words") >= window).groupBy("sequence").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY)).alias("first")).filter("copies > 1")
     copies = stored(indexed.filter(F.col("n_words") >= window).join(classes, "sequence").select(*KEY, "n_words", (F.struct(*KEY) == F.col("first")).alias("is_first")).distinct())
@@ -148,15 +134,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_blocks = indexed.agg(F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()[0]
     bits = min(MOST_BITS, 1 << max(20, math.ceil(math.log2(max(n_blocks, 1) * BITS_A_BLOCK))))
     bitmap = hash_filter(indexed.select(F.explode("blocks").alias("h")), bits)
-    found = probes(keyed, block, bitmap).join(others, KEY, "left_anti")
+    found = stored(probes(keyed, block, bitmap)).join(others, KEY, "left_anti")
     hits = stored(anchors(single.select(*KEY, "blocks"), found, block))
-    hit_docs = spark.sparkContext.broadcast(hash_filter(hits.select("k"), DOC_BITS))
-
-    def with_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_filter(hit_docs.value, batch.column(1).to_numpy().view(np.uint64))))
-
-    texts = keyed.mapInArrow(with_hits, "id bigint, k bigint, text string").join(hits, KEY).dropDuplicates(KEY)
+    texts = rows_in_filter(keyed, "k", hash_filter(hits.select("k"), DOC_BITS)).join(hits, KEY).dropDuplicates(KEY)
     near = stored(windows_near(texts, window, block))
     again = near.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     starts = near.join(again, ["h1", "h2"], "left_semi").groupBy(*KEY).agg(F.sort_array(F.collect_list("start")).alias("starts"))
@@ -181,9 +161,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with its words that are left, joined by one space, in ``text``, and n_words, n_removed: words of windows that start elsewhere as well are removed, in all their places."""
     spans = stored(repeated_spans(docs, window))
-    keyed = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "k": F.xxhash64("doc_id", "text")})
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    both = keyed.join(spans, KEY, "left").select(F.col("text").cast("string"), "spans", F.struct(*rest).alias("rest"))
+    keys = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("doc_id", "text").alias("k")]
+    both = docs.select(F.col("text").cast("string"), F.struct(*rest).alias("rest"), *keys).join(spans, KEY, "left").select("text", "spans", "rest")
     rest_type = both.schema["rest"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
