@@ -58,14 +58,14 @@ def ambiguous_keys(spark, sf_dir):
 
 @query(
     "mapping_freeze",
-    """WITH v AS (SELECT l_suppkey AS asn, l_orderkey * 10 + l_linenumber AS row_no, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS country FROM lineitem),
+    """WITH v AS (SELECT l_suppkey AS asn, (l_orderkey * 10 + l_linenumber) * 100 + ascii(l_returnflag) AS row_no, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS country FROM lineitem),
 f AS (SELECT asn, arg_min(country, row_no) FILTER (country IS NOT NULL) AS chosen FROM v GROUP BY asn)
 SELECT v.asn, any_value(chosen) AS chosen, count(*) FILTER (country = chosen) AS n_same, count(*) FILTER (country IS NOT NULL AND country <> chosen) AS n_conflict, count(*) FILTER (country IS NULL) AS n_invalid
-FROM v JOIN f ON f.asn = v.asn WHERE v.row_no IN (SELECT min(row_no) FROM v GROUP BY row_no) GROUP BY v.asn""",
+FROM v JOIN f ON f.asn = v.asn GROUP BY v.asn""",
 )
 def mapping_freeze(spark, sf_dir):
     i = B.read(spark, sf_dir, "lineitem")
-    rows = i.select(F.col("l_suppkey").alias("asn"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("country"))
+    rows = i.select(F.col("l_suppkey").alias("asn"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.ascii("l_returnflag")).alias("row_no"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("country"))
     return quality.first_valid(rows, "asn", "country", "row_no", F.col("country").isNotNull())
 
 
