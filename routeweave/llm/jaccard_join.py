@@ -159,7 +159,9 @@ def candidate_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: b
             right.append(j[ok])
             step += 1
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        if component is None:
+        if component is None:  # in one order everywhere, so that buckets with the same members choose the same pairs
+            order = np.lexsort((np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])))
+            i, j = i[order], j[order]
             parent = list(range(len(part)))
             keep = []
             for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
