@@ -16,36 +16,63 @@ them are returned; an empty table yields no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffle_partitions, stored
 
 BITS, K = 32, 10
+#: Bits of one word of a code; a code of more bits is an array of words.
+_WORD_BITS = 64
+
+
+def embedding_bits(vectors: DataFrame) -> int:
+    """Dimensions of the longest embedding: the width of a code that leaves none out."""
+    return max(1, vectors.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 1)
 
 
 def sign_code(embedding: Column, bits: int = BITS) -> Column:
-    """One bit for each of the first ``bits`` dimensions: is it above zero. The first is the highest of ``bits``."""
-    padded = F.slice(F.concat(embedding, F.array_repeat(F.lit(0.0).cast("float"), bits)), 1, bits)
-    return F.aggregate(padded, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(F.coalesce(x, F.lit(0.0)) > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
+    """One bit for each of the first ``bits`` dimensions: is it above zero. The first is the highest of its word."""
+    padded = F.concat(embedding, F.array_repeat(F.lit(0.0).cast("float"), bits))
+
+    def word(first: int, n: int) -> Column:
+        return F.aggregate(F.slice(padded, first + 1, n), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(F.coalesce(x, F.lit(0.0)) > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
+
+    words = [word(first, n) for first, n in _spans(bits)]
+    return words[0] if len(words) == 1 else F.array(*words)
+
 
+def _spans(bits: int) -> list[tuple[int, int]]:
+    """(first dimension, bits) of each word of a code."""
+    return [(first, min(_WORD_BITS, bits - first)) for first in range(0, bits, _WORD_BITS)]
 
-def segments(bits: int, rows: int) -> list[tuple[int, int]]:
-    """(shift, width) of each segment, about log2(rows) bits wide."""
-    m = max(1, min(bits, round(bits / max(4, math.log2(max(rows, 2))))))
-    edges = [bits * k // m for k in range(m + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
+def _words(code: Column, bits: int) -> list[Column]:
+    n = len(_spans(bits))
+    return [code] if n == 1 else [code[k] for k in range(n)]
 
-def _values(code: Column, parts: list[tuple[int, int]], masks: list[list[int]]) -> Column:
+
+def segments(bits: int, rows: int) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of each segment, about log2(rows) bits wide."""
+    found = []
+    for word, (_, n) in enumerate(_spans(bits)):
+        m = max(1, min(n, round(n / max(4, math.log2(max(rows, 2))))))
+        edges = [n * k // m for k in range(m + 1)]
+        found += [(word, a, b - a) for a, b in zip(edges, edges[1:])]
+    return found
+
+
+def _values(words: list[Column], parts: list[tuple[int, int, int]], masks: list[list[int]]) -> Column:
     """(segment, value) of a code's segments, each changed by each of its masks."""
     def changed(k: int, own: Column) -> Column:
         return F.transform(F.lit(np.array(masks[k], np.int64)), lambda m: F.struct(F.lit(k).alias("segment"), own.bitwiseXOR(m).alias("value")))
 
-    owns = [F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) for shift, width in parts]
+    owns = [F.shiftrightunsigned(words[word], shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) for word, shift, width in parts]
     return F.flatten(F.array(*[changed(k, own) for k, own in enumerate(owns)]))
 
 
@@ -56,16 +83,19 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
     index = stored(least.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     parts = segments(bits, index.count())
     still = [[0] for _ in parts]
-    index = stored(index.select(F.explode(_values(F.col("code"), parts, still)).alias("at"), "code", "ids").select("at.segment", "at.value", "code", "ids"))
+    index = stored(index.select(F.explode(_values(_words(F.col("code"), bits), parts, still)).alias("at"), "code", "ids").select("at.segment", "at.value", "code", "ids"))
     queries = stored(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")))
-    widest = max(width for _, width in parts)
+    widest = max(width for _, _, width in parts)
     results, best = [], None
     for radius in range(widest + 1):
         waiting = queries if not results else queries.join(_all(results).select("query_id").distinct(), "query_id", "left_anti")
-        masks = [[m for m in range(1 << width) if m.bit_count() == radius] for _, width in parts]
-        probes = waiting.select("query_id", "query_code", F.explode(_values(F.col("query_code"), parts, masks)).alias("at")).select("query_id", "query_code", "at.segment", "at.value")
-        found = probes.join(index, ["segment", "value"])
-        found = found.select("query_id", "ids", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).cast("bigint").alias("distance"))
+        masks = [[m for m in range(1 << width) if m.bit_count() == radius] for _, _, width in parts]
+        waiting = waiting.repartition(shuffle_partitions(waiting.sparkSession))  # a query becomes thousands of probes
+        probes = waiting.select("query_id", "query_code", F.explode(_values(_words(F.col("query_code"), bits), parts, masks)).alias("at")).select("query_id", "query_code", "at.segment", "at.value")
+        found = probes.join(index.hint("shuffle_hash"), ["segment", "value"])  # Spark takes the probes to be as few as their queries
+        pairs = zip(_words(F.col("query_code"), bits), _words(F.col("code"), bits))
+        distance = functools.reduce(operator.add, [F.bit_count(a.bitwiseXOR(b)) for a, b in pairs])
+        found = found.select("query_id", "ids", distance.cast("bigint").alias("distance"))
         found = found.select("query_id", F.explode("ids").alias("neighbor_id"), "distance").filter("neighbor_id <> query_id")
         every = found if best is None else found.union(best)
         own = Window.partitionBy("query_id")
@@ -88,8 +118,15 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def search_embeddings(vectors: DataFrame, every: int = 20, k: int = K, bits: int = BITS) -> DataFrame:
-    """Top k of the sign codes of ``vectors`` (vec_id, embedding) for each row whose id is divisible by ``every``, over all rows."""
-    rows = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("bigint").alias("id"), sign_code(F.col("embedding"), bits).alias("code"))
-    codes = stored(rows.groupBy("id").agg(F.min("code").alias("code")))
+def search_embeddings(vectors: DataFrame, every: int = 20, k: int = K, bits: int | None = BITS) -> DataFrame:
+    """Top k of the sign codes of ``vectors`` (vec_id, embedding) for each row whose id is divisible by ``every``, over all rows.
+
+    ``bits`` of ``None``: as many as the longest embedding has dimensions.
+    """
+    known = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    bits = bits or embedding_bits(known)
+    rows = known.select(F.col("vec_id").cast("bigint").alias("id"), sign_code(F.col("embedding"), bits).alias("code"))
+    top = F.lit(-(1 << 63)).cast("bigint")  # changes the order of signed words into that of their bits
+    order = F.array(*[w.bitwiseXOR(top) for w in _words(F.col("code"), bits)])
+    codes = stored(rows.groupBy("id").agg(F.min_by("code", order).alias("code")))
     return top_k(codes, codes.filter(F.col("id") % every == 0), k, bits)

@@ -56,7 +56,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming_search.search_embeddings(table(spark, sf_dir, "embeddings"))
+    return hamming_search.search_embeddings(table(spark, sf_dir, "embeddings"), bits=None)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from routeweave.llm import chat_format, hamming_search, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, quality_rules, substring_dedup
+from routeweave.llm import chat_format, hamming_search, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, quality_rules, queries, substring_dedup
 from routeweave.llm.graph import connected_components
 from routeweave.llm.queries import tokenizer_files
 
@@ -166,6 +166,24 @@ def test_hamming_search_small_tables(spark):
     assert [tuple(r) for r in got] == [(0, 2, 0, 1), (0, 1, 1, 2)]
 
 
+@pytest.mark.parametrize("width", [64, 100])
+def test_hamming_search_uses_every_dimension(spark, tmp_path, width):
+    rng = np.random.default_rng(5)
+    head = [float(x) for x in rng.normal(size=32)]  # rows differ beyond the first 32 dimensions alone
+    rows = [(i, head + [float(x) for x in rng.normal(size=width - 32)]) for i in range(60)] + [(0, [-1.0]), (20, [1.0] * width), (40, head)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    code = {}
+    for i, e in rows:
+        own = int("".join("1" if x > 0 else "0" for x in (e + [0.0] * width)[:width]), 2)
+        code[i] = min(own, code.get(i, own))
+    wanted = []
+    for q in (0, 20, 40):
+        best = sorted(((code[q] ^ c).bit_count(), i) for i, c in code.items() if i != q)[:10]
+        wanted += [(q, i, d, n + 1) for n, (d, i) in enumerate(best)]
+    got = queries.op5_hamming_search(spark, str(tmp_path)).select("query_id", "neighbor_id", "distance", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
 # ---- language ID
 def test_language_id_on_switched_text(spark, empty):
     en, de = "the of and that with from this ing tion".split(), "der die und nicht ein mit sich auch von".split()
