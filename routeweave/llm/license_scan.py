@@ -1,10 +1,12 @@
 """Operator 8: license scans by conditional compression.
 
-Texts with a cue word are cut into blocks: sentences of lines that hold a cue, and whole paragraphs that are not much
-longer than the longest template. A block is compressed with zstandard alone and with each template as raw-content
-dictionary; templates are ranked by how much they shrink it. The winner is confirmed by exact wording: the words of
-block and template are aligned, and what is missing or added must be few words. Texts without a cue never reach Python,
-and nothing is shuffled.
+Texts with a cue word are cut into blocks: sentences of lines that hold a cue, whole paragraphs that are not much longer
+than the longest template, and around each cue the words that a template of each length could take, over line ends,
+sentences, comment marks and blank lines. A block is compressed with zstandard alone and with each template as
+raw-content dictionary; templates are ranked by how much they shrink it. The first in rank that fits is confirmed by
+exact wording: the words of block and template are aligned, and what the template misses, and what is added between its
+first and last aligned word, must be few words. What is left beside a finding is searched again. Texts without a cue
+never reach Python, and nothing is shuffled.
 
 Defined cases: a null or empty text has no block; of overlapping confirmed blocks the longer one is returned; ties in
 rank go to the template named first; repeated rows are scanned each; an empty table yields no rows; extra columns are
@@ -14,8 +16,9 @@ ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -43,6 +46,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
+    ("Proprietary", "All rights reserved."),
 )
 #: What a block must hold, in lower case.
 CUES = ("licen", "copyright", "hereby granted", "redistribut", "rights reserved", "mozilla public", "cc by", "neighboring rights")
@@ -77,9 +81,15 @@ class Scanner:
         self._given = [zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False) for d in raw]
         self._words = [_WORD.findall(text.lower()) for _, text in templates]
         self._longest = 2 * max(len(text) for _, text in templates)
+        self._reaches = sorted({len(w) + int(ADDED * len(w)) for w in self._words})
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        found = set()
+        words, found = [m.span() for m in _WORD.finditer(text)], set()
+        starts = [a for a, _ in words]
+        for cue in _CUE.finditer(text) if words else ():
+            at = max(0, bisect_right(starts, cue.start()) - 1)
+            for n in self._reaches:
+                found.add((words[max(0, at - n)][0], words[min(len(words) - 1, at + n)][1]))
         for p in _PARAGRAPH.finditer(text):
             if not _CUE.search(text, p.start(), p.end()):
                 continue
@@ -95,25 +105,57 @@ class Scanner:
         alone = len(self._alone.compress(block))
         return sorted(((1 - len(c.compress(block)) / alone, k) for k, c in enumerate(self._given)), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: str, template: int) -> tuple[int, int]:
-        """Words of the template that the block lacks, and words that it adds."""
-        own, words = _WORD.findall(block.lower()), self._words[template]
-        same = sum(m.size for m in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks())
-        return len(words) - same, len(own) - same
+    def fit(self, words: list[str], template: int) -> tuple[int, int, int, int] | None:
+        """(first word, end, words missing, words added) of the template's place among ``words``, if it has one."""
+        wanted = self._words[template]
+        n, present = len(wanted), set(words)
+        if n - sum(w in present for w in wanted) > MISSING * n:
+            return None
+        same = [m for m in SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
+        best = None
+        for i, first in enumerate(same):
+            size = 0
+            for last in same[i:]:
+                size += last.size
+                end = last.b + last.size
+                missing, added = n - size, end - first.b - size
+                if missing <= MISSING * n and added <= ADDED * n and (best is None or missing + added < best[2] + best[3]):
+                    best = first.b, end, missing, added
+        return best
+
+    def confirm(self, text: str, start: int, end: int) -> Finding | None:
+        """The first template in rank order that fits a block, where it fits."""
+        places = [m.span() for m in _WORD.finditer(text, start, end)]
+        words = [text[a:b].lower() for a, b in places]
+        for reduction, template in self.rank(text[start:end].rstrip().encode("utf-8", "surrogatepass")):
+            if reduction <= 0:
+                return None
+            if at := self.fit(words, template):
+                first, stop = places[at[0]][0], places[at[1] - 1][1]
+                while stop < len(text) and text[stop] in ".:;!?)\"":
+                    stop += 1
+                return Finding(first, stop - first, self.templates[template][0], template, reduction, at[2], at[3])
+        return None
 
     def scan(self, text: str) -> list[Finding]:
-        found: list[Finding] = []
-        for start, end in self.blocks(text):
-            if any(f.start < end and start < f.start + f.length for f in found):
-                continue
-            block = text[start:end].rstrip()
-            reduction, template = self.rank(block.encode("utf-8", "surrogatepass"))[0]
-            if reduction <= 0:
+        found, pieces = [], [(0, len(text))]
+        while pieces:
+            start, end = pieces.pop()
+            piece = text[start:end]
+            if not _CUE.search(piece):
                 continue
-            missing, added = self.differences(block, template)
-            n = len(self._words[template])
-            if missing <= MISSING * n and added <= ADDED * n:
-                found.append(Finding(start, len(block), self.templates[template][0], template, reduction, missing, added))
+            fits = {f for block in self.blocks(piece) if (f := self.confirm(piece, *block))}
+            taken: list[Finding] = []
+            for f in sorted(fits, key=lambda f: (-f.length, -f.reduction, f.template, f.start)):
+                if not any(g.start < f.start + f.length and f.start < g.start + g.length for g in taken):
+                    taken.append(f)
+            at = 0
+            for f in sorted(taken, key=lambda f: f.start):
+                found.append(replace(f, start=start + f.start))
+                pieces.append((start + at, start + f.start))
+                at = f.start + f.length
+            if taken:
+                pieces.append((start + at, end))
         return sorted(found, key=lambda f: f.start)
 
 

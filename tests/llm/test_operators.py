@@ -318,6 +318,33 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_wrapped_commented_and_embedded(spark):
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software is distributed as it is."""
+    around = " ".join(f"filler{i}" for i in range(90))
+    mit = license_scan.TEMPLATES[2][1]
+    wrapped = " ".join(x + ("\n" if i % 9 == 8 else "") for i, x in enumerate(mit.split()))
+    long_rights = license_scan.TEMPLATES[18][1]
+    rows = [
+        (1, "A page.\nAll rights reserved.\nIts end."), (2, f"{around}. {long_rights} {around}."), (3, apache),
+        (4, "\n".join("# " + x for x in apache.split("\n")) + "\nimport os"), (5, f"{around}\n{wrapped}\n{around}"), (6, f"{around} {mit} {around}"),
+        (7, f"{around} all rights reserved {around} all rights reserved, all rights reserved {around}"), (8, "He reserved all the rights, and a licence."),
+        (9, f"{around}. This work is licensed under the GNU Affero General Public\nLicense, version 3. {around}"),
+    ]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["template"]) for r in got) == [
+        (1, "Proprietary", 19), (2, "Proprietary", 18), (3, "Apache-2.0", 4), (4, "Apache-2.0", 4), (5, "MIT", 2), (6, "MIT", 2),
+        *[(7, "Proprietary", 19)] * 3, (9, "AGPL-3.0", 8),
+    ]
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["block"] for r in got)
+
+
 # ---- mixing
 def test_mixing_margins(spark, empty):
     rows = [(i, "w " * (20 + i % 50) + "\n", ("en", "de", None)[i % 3 if i % 7 else 0], f"s{i % 4 if i % 5 else 0}") for i in range(2000)] + [(5000, None, "en", "s1"), (None, "a b", None, None)]
