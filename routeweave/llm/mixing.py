@@ -24,6 +24,8 @@ from .common import BLANK_CLASS, stored
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS, POWER, SEED = 8, 0.9, "mix-1"
+#: The least expected sample, as a share of all tokens.
+BUDGET = 0.75
 NONE = "(none)"
 
 
@@ -58,19 +60,42 @@ def target_shares(cells: DataFrame, margin: str, target: float | Mapping[str, fl
     return raw.select(margin, (F.col("raw") / F.sum("raw").over(Window.partitionBy(F.lit(0)))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``: shares that sum to 1 and have the target margins."""
+def filled(df: DataFrame, raw: str, most: str, total: Column) -> DataFrame:
+    """``df`` with ``given``: min(``most``, c * ``raw``), c solved so that it sums to ``total``, at most the sum of ``most``.
+
+    The sum is concave in c, so c is the largest (total - what the first rows hold) / (raw of the others), by rows in
+    the order in which they reach ``most``. For tables of cells: one window over all rows.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col(most) / F.col(raw), *[m for m in MARGINS if m in df.columns])
+    full = F.coalesce(F.sum(most).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(raw).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    c = F.max("__c").over(Window.partitionBy(F.lit(0)))
+    out = df.withColumn("__c", (total - full) / rest)
+    return out.withColumn("given", F.least(F.col(most), c * F.col(raw))).drop("__c")
+
+
+def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight``: tokens to take, at least ``budget`` of all, with the target margins as far as cells reach."""
     start = cells.filter("tokens > 0")
     for margin in MARGINS:
         shares = target_shares(cells, margin, targets[margin]).withColumnRenamed("share", f"{margin}_share")
         start = start.join(shares, margin)
-    weighted = stored(start.withColumn("weight", F.col("tokens").cast("double")))
+    start = stored(start.withColumn("tokens", F.col("tokens").cast("double")))
+    total = F.lit(budget * (start.agg(F.sum("tokens").alias("n")).first()["n"] or 0.0))
+    weighted = start
+    for margin in MARGINS:
+        values = start.groupBy(margin).agg(F.sum("tokens").alias("present"), F.max(f"{margin}_share").alias("share"))
+        wanted = filled(values, "share", "present", total).select(margin, F.col("given").alias(f"{margin}_wanted"))
+        weighted = weighted.join(wanted, margin)
+    weighted = stored(weighted.withColumn("weight", F.col("tokens")))
     for _ in range(sweeps):
         for margin in MARGINS:
-            total = F.sum("weight").over(Window.partitionBy(margin))
-            weighted = weighted.withColumn("weight", F.col("weight") * F.col(f"{margin}_share") / total)
+            now = F.sum("weight").over(Window.partitionBy(margin))
+            weighted = weighted.withColumn("weight", F.least("tokens", F.col("weight") * F.col(f"{margin}_wanted") / now))
         weighted = stored(weighted)
-    return weighted.select(*MARGINS, "tokens", "weight")
+    taken = filled(weighted, "weight", "tokens", total)
+    room = F.min(F.col("tokens") / F.col("given")).over(Window.partitionBy(F.lit(0)))  # 1 as soon as a cell is taken whole
+    return taken.select(*MARGINS, "tokens", F.least("tokens", F.col("given") * room).alias("weight"))
 
 
 def sample_uniform(doc_id: Column, seed: str) -> Column:
@@ -79,18 +104,16 @@ def sample_uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] | None = None, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
-    """``docs`` with topic, tokens, probability and sampled. ``targets``: for each margin shares by value, or a power."""
+def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] | None = None, sweeps: int = SWEEPS, seed: str = SEED, budget: float = BUDGET) -> DataFrame:
+    """``docs`` with topic, tokens, probability and sampled. ``targets``: for each margin shares by value, or a power; ``budget``: the least share of all tokens to take."""
     targets = {m: POWER for m in MARGINS} | dict(targets or {})
     text = F.coalesce(F.col("text"), F.lit(""))
     counted = docs.withColumn("__tokens", count_words(F.col("text")))
     named = counted.withColumns({"__source": F.coalesce("source", F.lit(NONE)), "__lang": F.coalesce("lang", F.lit(NONE)), "__topic": topic_of(text, F.col("__tokens"))})
     cell = named.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"))
     cells = stored(cell.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    raked = rake(cells, targets, sweeps)
-    rate = F.col("weight") / F.col("tokens")
-    rates = raked.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], rate.alias("rate"))
-    rates = stored(rates.withColumn("probability", F.col("rate") / F.max("rate").over(Window.partitionBy(F.lit(0)))).drop("rate"))
+    raked = rake(cells, targets, sweeps, budget)
+    rates = stored(raked.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], (F.col("weight") / F.col("tokens")).alias("probability")))
     out = named.join(rates, [f"__{m}" for m in MARGINS], "left")
     probability = F.when(F.col("__tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     names = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "sampled")]

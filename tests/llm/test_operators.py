@@ -362,6 +362,21 @@ def test_mixing_margins(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_rare_cell_leaves_the_budget(spark):
+    rows = [(i, "w " * (60 + i % 50), ("en", "de")[i % 3 > 0], f"s{i % 4 if i % 5 else 0}") for i in range(2000)]
+    rare = [(5000, "three rare words", "xx", "lone")]
+    kept = []
+    for more in ([], rare):
+        got = mixing.mix(spark.createDataFrame(rows + more, "doc_id bigint, text string, lang string, source string")).toPandas()
+        kept.append((got.tokens * got.probability).sum() / got.tokens.sum())
+        by = (got.tokens * got.probability).groupby(got.source).sum()
+        powers = got.groupby("source").tokens.sum() ** mixing.POWER
+        for a in ("s1", "s2", "s3"):
+            assert by[a] / by["s0"] == pytest.approx(powers[a] / powers["s0"], rel=0.01)
+    assert kept[0] > mixing.BUDGET and kept[1] == pytest.approx(mixing.BUDGET, rel=1e-6)
+    assert got[got.doc_id == 5000].probability.item() == pytest.approx(1)
+
+
 # ---- quality rules
 def test_quality_measures(docs, rows, empty):
     got = {r["doc_id"]: r for r in quality_rules.judge(with_extra(docs)).collect()}
