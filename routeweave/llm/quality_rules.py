@@ -4,10 +4,14 @@ Each rule is a Column that is true where a document fails. On a bounded sample e
 selectivity is the share it rejects and its cost the median time of its runs less that of an empty rule. Rules are
 then ordered by rejection per cost (each one's selectivity taken on the documents that the rules before it let pass) and
 become one ``CASE WHEN`` chain, of which Spark evaluates no condition behind the first that is true. The verdict does
-not depend on the order; only the time does. Native: DataFrame functions only, one pass, no shuffle.
-
-Defined cases: a null text has no words and fails the base rule; an empty table yields no rows and keeps the rules in
-the order given; ties in rank keep that order; repeated rows are judged alike; extra columns are carried through.
+not depend on the order; only the time does. The base measures are results, so they are computed for every row; the
+cascade saves the rules behind them. Native: DataFrame functions only; the texts are read once for the verdicts and once
+for the sample, and only the sample's texts move.
+
+Defined cases: a null text has no words and fails the base rule; a very long text is judged whole, its windows sorted as
+hashes within its row; an empty table yields no rows and keeps the rules in the order given; ties in rank keep that
+order; repeated rows and repeated or null ids are judged alike, row by row; extra columns are carried through, and those
+named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, BLANKS
+from .common import BLANK_CLASS, BLANKS, let
 
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample (chosen by a hash of doc_id) and times each rule is run on it.
@@ -38,11 +42,6 @@ def duplicate_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def repeated_words(words: Column, width: int = 3) -> Column:
     """Words in windows of ``width`` words that occur twice or more. The windows' hashes are sorted with their places; the
     places of windows with an equal neighbour, sorted again, cover up to ``width`` words each."""
@@ -51,9 +50,9 @@ def repeated_words(words: Column, width: int = 3) -> Column:
 
     def counted(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(placed, lambda x: _covered(x, width)))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(placed, lambda x: _covered(x, width)))
 
-    return F.when(F.size(words) <= width, F.lit(0)).otherwise(_let(hashes, counted)).cast("bigint")
+    return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(hashes, counted)).cast("bigint")
 
 
 def _covered(placed: Column, width: int) -> Column:
@@ -132,7 +131,10 @@ def measured_order(sample: DataFrame, rules: Sequence[Rule], runs: int = RUNS) -
 def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with the base measures, base_failed, failed_rule (the first of the cascade, null if none) and kept."""
     rules = default_rules() if rules is None else rules
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # a bound on rows, whatever the input
+    # the hashes of ids are cut first, so that no text is sorted or moved but those of the sample
+    place = F.xxhash64("doc_id")
+    cut = docs.select(place.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h").alias("h")).first()["h"]
+    sample = docs.filter(place <= F.lit(cut)).limit(sample_rows)  # a repeated id brings no more rows than that
     held = with_measures(sample).cache()
     order = [r for r, _, _ in measured_order(held, rules)]
     held.unpersist()
