@@ -2,30 +2,38 @@
 
 Documents arrive in batches. A batch's keys (128-bit hashes of normalised lines) are counted with map-side combine and
 merge-anti-joined with every stored run: keys that no run holds become the batch's own run, the others become counts to
-add. A run is a bucketed table, sorted by hash within each bucket, so that a batch is shuffled once and merged with each
-run as it lies. When a level holds ``fanout`` runs they are compacted into one run of the next level, so the number of
-runs to merge with stays logarithmic. At the end the runs and the added counts give, for each key, in how many documents
-it stands and the largest doc_id, and the lines are dropped by a join on the key.
+add. A run is a bucketed table with one file for each bucket, sorted by hash, so that a batch is shuffled once and
+merged with each run as it lies, without sorting the run again (Spark plans a sort only where a skewed batch left a
+bucket with several files). When a level holds ``fanout`` runs they are compacted into one run of the next level, so the
+number of runs to merge with stays logarithmic; compacted runs are deleted, and all of them at the end. The runs and the
+added counts give, for each key, in how many documents it stands and the largest doc_id. Lines of dropped keys are found
+by a join on the key; a document's positions to drop are subtracted from all of its positions, in time linear in its
+lines.
 
 Native: DataFrame functions only. No group is collected: a very common line is one row after map-side combine, and the
 join of lines with dropped keys is a sort-merge join that adaptive execution can split.
 
-Defined cases: a null or empty text is one empty line; lines whose key is shorter than ``min_chars`` always stay;
-repeated rows count as documents of their own, and all rows with the largest doc_id keep their lines; a null doc_id is
-the smallest; an empty table yields no rows; extra columns are carried through.
+Defined cases: a null or empty text is one empty line; lines whose key is shorter than ``min_chars`` always stay; a very
+long text is one row and its lines are sorted within it; rows that repeat a doc_id are documents of their own, so all
+rows with the largest doc_id keep their lines; a null doc_id is the smallest; an empty table yields no rows; extra
+columns are carried through.
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, scratch_dir, shuffle_partitions, stored
+from .common import BLANKS, ascii_lower, discard, let, scratch_dir, shuffle_partitions, stored
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 KEY = ["h1", "h2"]
+#: Spark trusts the order inside a bucket of one file only under this setting.
+_ORDERED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def split_lines(text: Column) -> Column:
@@ -36,26 +44,45 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def key_hash(key: Column) -> Column:
-    """128 bits: the second half has another seed."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
+@contextlib.contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside read a bucket's one sorted file as sorted."""
+    before = spark.conf.get(_ORDERED_BUCKETS)
+    spark.conf.set(_ORDERED_BUCKETS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDERED_BUCKETS, before)
 
 
 class LineRuns:
     """The levelled runs: rows (h1, h2, n_docs, max_doc), each key in one run; ``added`` has counts for keys that runs hold."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels, self.added = spark, fanout, [[]], []
+        self.spark, self.fanout, self.added = spark, fanout, []
+        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
         self.root, self.buckets = scratch_dir(spark), shuffle_partitions(spark)
 
     @property
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for level in self.levels for _, run in level]
 
-    def _write(self, keys: DataFrame) -> DataFrame:
+    def _write(self, keys: DataFrame) -> tuple[str, DataFrame]:
         name = f"line_run_{uuid.uuid4().hex}"
         keys.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
-        return self.spark.table(name)
+        return name, self.spark.table(name)
+
+    def _drop(self, level: list[tuple[str, DataFrame]]) -> None:
+        for name, _ in level:
+            self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, f"{self.root}/{name}")
+
+    def drop(self) -> None:
+        """Delete all runs and counts."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels, self.added = [[]], []
+        discard(self.spark, self.root)
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Take one batch of (doc_id, h1, h2), each document's key once; the run of keys that are new is returned."""
@@ -63,22 +90,23 @@ class LineRuns:
         fresh = keys
         for run in self.runs:
             fresh = fresh.join(run.hint("merge"), KEY, "left_anti")
-        own = self._write(fresh)
+        name, own = self._write(fresh)
         if self.runs:
             self.added.append(stored(keys.join(own.hint("merge"), KEY, "left_anti"), f"{self.root}/added_{uuid.uuid4().hex}"))
-        self.levels[0].append(own)
+        self.levels[0].append((name, own))
         self._compact()
         return own
 
     def _compact(self) -> None:
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
-                union = level[0]
-                for run in level[1:]:
+                union = level[0][1]
+                for _, run in level[1:]:
                     union = union.unionByName(run)
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(self._write(union.repartition(self.buckets, *KEY)))
+                self._drop(level)
                 self.levels[k] = []
 
     def totals(self, min_docs: int) -> DataFrame:
@@ -101,28 +129,40 @@ class LineRuns:
         return union.filter(F.col("n_docs") >= min_docs)
 
 
+def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, k, pos, first, h1, h2) of every line with a long key; k: hash of the text, first: the key's first line in it."""
+    placed = F.filter(F.transform(split_lines(F.col("text")), lambda line, i: F.struct(line_key(line).alias("key"), i.alias("pos"))), lambda x: F.char_length(x["key"]) >= min_chars)
+    hashed = F.sort_array(F.transform(placed, lambda x: F.struct(F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit("line"), x["key"]).alias("h2"), x["pos"].alias("pos"))))
+
+    def marked(x: Column, before: Column) -> Column:
+        again = F.coalesce((x["h1"] == before["h1"]) & (x["h2"] == before["h2"]), F.lit(False))
+        return F.struct(x["pos"].alias("pos"), (~again).alias("first"), x["h1"].alias("h1"), x["h2"].alias("h2"))
+
+    rows = let(hashed, lambda s: F.transform(s, lambda x, i: marked(x, F.get(s, i - 1))))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("k"), F.explode(rows).alias("x")).select("doc_id", "k", "x.*")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with its lines left in ``text``, and n_lines, n_dropped. Lines of a key found in at least ``min_docs`` documents stay only in the largest doc_id."""
     spark = docs.sparkSession
-    source = docs.withColumn("__doc", F.col("doc_id").cast("bigint"))
-    keys = F.array_distinct(F.filter(F.transform(split_lines(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars))
-    rows = source.select(F.col("__doc").alias("doc_id"), F.explode(F.transform(keys, key_hash)).alias("h"))
-    rows = rows.select("doc_id", "h.h1", "h.h2", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+    rows = line_rows(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id", "k"), F.lit(batches)).cast("int"))
     lines = stored(rows, partition_by=("batch",))
     runs = LineRuns(spark, fanout)
-    for b in range(batches):
-        runs.add(lines.filter(F.col("batch") == b).drop("batch"))
-    dropped = stored(runs.totals(min_docs).select(*KEY, "max_doc"))
+    with ordered_buckets(spark):
+        for b in range(batches):
+            runs.add(lines.filter((F.col("batch") == b) & F.col("first")).select("doc_id", *KEY))
+        dropped = stored(runs.totals(min_docs).select(*KEY, "max_doc"))
+    runs.drop()
     hits = lines.join(dropped, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-    per_doc = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("h1", "h2")).alias("__drop"))
-    joined = source.join(per_doc, source["__doc"].eqNullSafe(per_doc["__doc"]), "left").drop(per_doc["__doc"])
+    per_doc = hits.groupBy(F.col("doc_id").alias("__hit"), F.col("k").alias("__hit_k")).agg(F.collect_set("pos").alias("__drop"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__hit_k"))
+    joined = docs.join(per_doc, same, "left")
+    n_dropped = F.coalesce(F.size("__drop"), F.lit(0))
 
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("__drop"), key_hash(key))
+    def kept(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
+        return F.struct(F.size(lines).cast("bigint").alias("n"), F.when(n_dropped == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias("text"))
 
-    before = split_lines(F.col("text"))
-    kept = F.when(F.col("__drop").isNull(), before).otherwise(F.filter(before, stays))
-    out = joined.withColumns({"__before": F.size(before).cast("bigint"), "__kept": kept})
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return out.select(*names, F.array_join("__kept", "\n").alias("text"), F.col("__before").alias("n_lines"), (F.col("__before") - F.size("__kept")).cast("bigint").alias("n_dropped"))
+    out = joined.select(*names, let(split_lines(F.col("text")), kept).alias("__kept"), n_dropped.cast("bigint").alias("n_dropped"))
+    return out.select(*names, "__kept.text", F.col("__kept.n").alias("n_lines"), "n_dropped")
