@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a filter of documents: 2 MB. With more documents than bits it drops fewer rows, and results stay the same.
 DOC_BITS = 1 << 24
+#: Bits set for each value of a ``bloom_filter``.
+PLACES = 4
 #: Positions in one row of Spark's ``bitmap_construct_agg``.
 _ROW_BITS = 32768
 
@@ -31,6 +33,26 @@ def in_filter(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def bloom_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of ``bits`` bits (a power of two, at most 2**40) with ``PLACES`` bits set for each value of the only column."""
+    h = F.col(hashes.columns[0])
+    low, step = h.bitwiseAND(F.lit((1 << 40) - 1)), F.shiftrightunsigned(h, 33).bitwiseOR(F.lit(1).cast("bigint"))
+    places = F.array(*[(low + i * step).bitwiseAND(F.lit(bits - 1).cast("bigint")) for i in range(PLACES)])
+    return hash_filter(hashes.select(F.explode(places)), bits)
+
+
+def in_bloom(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in ``h`` of the values that may be in a filter made by ``bloom_filter``."""
+    mask = np.uint64(len(bitmap) * 8 - 1)
+    left = np.arange(len(h))
+    low, step = h & np.uint64((1 << 40) - 1), (h >> np.uint64(33)) | np.uint64(1)
+    for i in range(PLACES):
+        at = (low + np.uint64(i) * step) & mask
+        hit = (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        left, low, step = left[hit], low[hit], step[hit]
+    return left
+
+
 def rows_in_filter(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     """The rows of ``df`` whose bigint ``column`` may be in the filter."""
     shared, at = df.sparkSession.sparkContext.broadcast(bitmap), df.columns.index(column)
