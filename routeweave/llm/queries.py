@@ -56,7 +56,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming_search.search_embeddings(table(spark, sf_dir, "embeddings"), bits=None)
+    return hamming_search.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,22 +83,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH numbered AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
+lines AS (
+  SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
-  FROM documents),
+  FROM numbered),
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines),
 dropped AS (
   SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  GROUP BY key HAVING count(DISTINCT rid) >= 3),
 judged AS (
-  SELECT k.*, d.key IS NOT NULL AND k.doc_id <> d.keep AS gone FROM keyed k LEFT JOIN dropped d USING (key))
+  SELECT k.*, d.key IS NOT NULL AND k.doc_id IS DISTINCT FROM d.keep AS gone FROM keyed k LEFT JOIN dropped d USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY rid, doc_id
 """
 
 OP2_SQL = r"""
@@ -120,9 +121,10 @@ FROM sized GROUP BY conv_id
 
 
 OP5_SQL = """
-WITH codes AS (
-  SELECT vec_id AS id, min(list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << (31 - i) ELSE 0 END))::BIGINT) AS code
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY vec_id),
+WITH signs AS (
+  SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS text
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+codes AS (SELECT id, min(rpad(text, (SELECT max(length(text)) FROM signs)::INT, '0'))::BIT AS code FROM signs GROUP BY id),
 pairs AS (
   SELECT q.id AS query_id, c.id AS neighbor_id, bit_count(xor(q.code, c.code))::BIGINT AS distance
   FROM codes q JOIN codes c ON q.id <> c.id WHERE q.id % 20 = 0),
