@@ -6,33 +6,40 @@ words of code-switched text are labelled in context. Training data: whole-docume
 spans of documents of different languages. Forward-backward gives each word's posterior; a document's language is the
 one with most expected words, its score their share.
 
-Training reads at most ``TRAIN_DOCS`` labelled documents for each language (chosen by a hash of doc_id) and
-``TRAIN_SPANS`` spans of each, on the driver; prediction reads every whole text in tasks. There is no shuffle of texts.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in
-alphabetical order; with no labelled row everything is ``und``; an empty table yields no rows; rows with null lang are
-not learned from; extra columns are carried through.
+Training reads at most ``TRAIN_DOCS`` labelled documents for each language (those with the smallest hashes of doc_id) and
+``TRAIN_SPANS`` spans of each, cut in tasks, so that the driver gets a bounded number of bytes for each language. The
+languages' sizes, one row for each, give the hash bound that the scan applies: no task ranks a language. Prediction
+reads every whole text in tasks. There is no shuffle of texts.
+
+Defined cases: a null text, or one without a letter (``str.isalpha``: numbers such as one half or a superscript two are
+none), is ``und`` with score 0; ties go to the first language in alphabetical order; with no labelled row everything is
+``und``; an empty table yields no rows; rows with null lang are not learned from; rows that repeat a doc_id are predicted
+each and learned from once for each lang; a text of more than ``PIECE_CHARS`` code points is labelled in pieces whose
+words are counted together, the chain starting anew in each, so that memory is bounded by a piece; extra columns are
+carried through.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 TRAIN_DOCS, TRAIN_SPANS, SPAN_WORDS = 300, 3, 24
 ORDERS, TABLE_BITS = (2, 3, 4), 17
 EPOCHS, RATE, BATCH, SEED = 3, 0.5, 64, 7
-#: Bytes of text scored, and of texts labelled, together.
-SCORE_BYTES, LABEL_BYTES = 1 << 20, 6 << 20
+#: Bytes of text scored, and of texts labelled, together; code points of a piece of a long text.
+SCORE_BYTES, LABEL_BYTES, PIECE_CHARS = 1 << 20, 6 << 20, 2 << 20
+#: Bytes of a word that training keeps.
+WORD_BYTES = 64
+#: How many times the documents that are learned from the hash bound lets through, on average.
+OVER = 1.25
 
-_LETTER = re.compile(r"[^\W\d_]")
 _TO_BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _DUMMY = 1 << TABLE_BITS
 _POWERS = np.cumprod(np.full(4096, 0x01000193, np.uint32), dtype=np.uint32)
@@ -43,6 +50,20 @@ def cleaned(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_TO_BLANK).split())
 
 
+def pieces(text: str | None) -> Iterator[bytes]:
+    """The cleaned pieces of a text, none of them empty; none where the text has no letter."""
+    if not text or not any(map(str.isalpha, text)):
+        return
+    start = 0
+    while start < len(text):
+        end = start + PIECE_CHARS
+        blank = text.rfind(" ", start, end) if end < len(text) else -1
+        end = blank if blank > start else end
+        if piece := cleaned(text[start:end]):
+            yield piece
+        start = end
+
+
 def _slots(h: np.ndarray) -> np.ndarray:
     return ((h * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)).astype(np.intp)
 
@@ -127,16 +148,18 @@ class Crf:
         return out
 
 
-def train(rows: list[tuple[str, str]], seed: int = SEED) -> Crf:
-    """Fit on (text, lang) rows by stochastic gradients of the sequence likelihood."""
+def cut_spans(text: str, seed: int) -> list[bytes]:
+    """``TRAIN_SPANS`` runs of words at places that ``seed`` gives."""
+    words = b" ".join(pieces(text)).split()
+    starts = np.random.default_rng(seed).integers(0, max(1, len(words) - SPAN_WORDS + 1), TRAIN_SPANS)
+    return [b" ".join(w[:WORD_BYTES] for w in words[k : k + SPAN_WORDS]) for k in sorted(starts.tolist())] if words else []
+
+
+def train(rows: list[tuple[str, list[bytes]]], seed: int = SEED) -> Crf:
+    """Fit on (lang, spans) rows by stochastic gradients of the sequence likelihood."""
     random = np.random.default_rng(seed)
-    labels = sorted({lang for _, lang in rows})
-    spans: list[tuple[int, list[bytes]]] = []
-    for text, lang in sorted(rows):
-        words = cleaned(text).split()
-        for start in sorted(random.integers(0, max(1, len(words) - SPAN_WORDS + 1), TRAIN_SPANS)):
-            if piece := words[start : start + SPAN_WORDS]:
-                spans.append((labels.index(lang), piece))
+    labels = sorted({lang for lang, _ in rows})
+    spans: list[tuple[int, list[bytes]]] = [(labels.index(lang), span.split()) for lang, own in rows for span in own]
     sequences: list[tuple[list[bytes], list[int]]] = [(w, [y] * len(w)) for y, w in spans]
     for _ in range(len(spans) // 2):  # code-switched
         words, tags = [], []
@@ -207,18 +230,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def learned_from(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """At most ``train_docs`` (text, lang) rows of each language, never held-out ones."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # a hash bound leaves a few times train_docs rows of each language before they are ranked in one place
-    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") <= 4 * train_docs
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    some = known.select("doc_id", "lang").join(sizes, "lang").filter(near)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
-    chosen = some.withColumn("place", place).filter(F.col("place") <= train_docs).select("doc_id").distinct()
-    # bounded by train_docs for each language
-    rows = known.join(F.broadcast(chosen), "doc_id").select("text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in rows]
+def learned_from(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[tuple[str, list[bytes]]]:
+    """(lang, spans) of at most ``train_docs`` documents of each language, never of held-out ones."""
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.col("text").cast("string"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not sizes:
+        return []
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    bound = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (OVER * train_docs + 10) / n) * (1 << 30))])
+    some = known.filter(F.col("text").isNotNull() & (place < bound[F.col("lang")])).select(place.alias("place"), "lang", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [cut_spans(text, seed) for seed, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.binary()))], names=["place", "lang", "spans"])
+
+    # map-side combined, so that the rows of a repeated id become one
+    rows = some.mapInArrow(cut, "place bigint, lang string, spans array<binary>").groupBy("lang", "place").agg(F.min("spans").alias("spans"))
+    chosen: dict[str, list] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["place"])):  # about OVER * train_docs for each language
+        own = chosen.setdefault(r["lang"], [])
+        if len(own) < train_docs and r["spans"]:
+            own.append((r["lang"], [bytes(x) for x in r["spans"]]))
+    return [x for own in chosen.values() for x in own]
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
@@ -231,24 +265,30 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for batch in batches:
-            begin, size, texts = 0, 0, []
+            words, shares, held, size = np.zeros(batch.num_rows), np.zeros((batch.num_rows, len(crf.labels))), [], 0
             for k, text in enumerate(batch.column(0)):
-                text = text.as_py()
-                texts.append(cleaned(text) if text and _LETTER.search(text) else b"")
-                size += len(texts[-1])
-                if size >= LABEL_BYTES or k == batch.num_rows - 1:
-                    yield label(crf, texts, batch.slice(begin, len(texts)).column(1))
-                    begin, size, texts = k + 1, 0, []
-
-    def label(crf: Crf, texts: list[bytes], rest: pa.Array) -> pa.RecordBatch:
-        named, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        full = np.array([k for k, x in enumerate(texts) if x], np.int64)
-        if len(full) and crf.labels:
-            counts = np.array([texts[k].count(b" ") + 1 for k in full])
-            shares = crf.shares(crf.emissions([texts[k] for k in full]), counts)
-            named[full] = np.array(crf.labels, object)[shares.argmax(axis=1)]
-            score[full] = np.clip(shares.max(axis=1), 0, 1)
-        return pa.RecordBatch.from_arrays([rest, pa.array(named.tolist(), pa.string()), pa.array(score)], names=["rest", "lang_pred", "score"])
+                for piece in pieces(text.as_py()) if crf.labels else ():
+                    held.append((k, piece))
+                    size += len(piece)
+                    if size >= LABEL_BYTES:
+                        label(crf, held, words, shares)
+                        held, size = [], 0
+            if held:
+                label(crf, held, words, shares)
+            full = words > 0
+            named, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            if full.any():
+                share = shares[full] / words[full, None]
+                named[full] = np.array(crf.labels, object)[share.argmax(axis=1)]
+                score[full] = np.clip(share.max(axis=1), 0, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(named.tolist(), pa.string()), pa.array(score)], names=["rest", "lang_pred", "score"])
+
+    def label(crf: Crf, held: list[tuple[int, bytes]], words: np.ndarray, shares: np.ndarray) -> None:
+        """Add each piece's words and the expected words of each label to those of its text."""
+        counts = np.array([piece.count(b" ") + 1 for _, piece in held])
+        at = np.array([k for k, _ in held])
+        np.add.at(words, at, counts)
+        np.add.at(shares, at, crf.shares(crf.emissions([piece for _, piece in held]), counts) * counts[:, None])
 
     return packed.mapInArrow(predict, f"rest {rest_type}, lang_pred string, score double").select("rest.*", "lang_pred", "score")
 

@@ -150,7 +150,7 @@ def test_hamming_search(spark):
     rows = [(i, [float(x) for x in rng.normal(size=40)]) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(40)] + [(400, None), (None, rows[1][1]), (401, [1.0]), (420, [])]
     got = hamming_search.search_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=7)
-    code = {i: int("".join("1" if x > 0 else "0" for x in (e + [0.0] * 32)[:32]), 2) for i, e in rows if i is not None and e is not None}
+    code = {i: int("".join("1" if x > 0 else "0" for x in (e + [0.0] * 40)[:40]), 2) for i, e in rows if i is not None and e is not None}
     wanted = []
     for q in code:
         if q % 20 == 0:
@@ -166,6 +166,23 @@ def test_hamming_search_small_tables(spark):
     assert [tuple(r) for r in got] == [(0, 2, 0, 1), (0, 1, 1, 2)]
 
 
+@pytest.mark.parametrize(("shard", "block", "bits"), [(64, 7, 20), (100, 1000, 70), (1 << 22, 3, 64)])
+def test_hamming_search_shards_blocks_and_clusters(spark, shard, block, bits):
+    rng = np.random.default_rng(bits)
+    centre = rng.integers(0, 2, (6, bits))
+    rows = [(i, [float(x) - 0.5 for x in (centre[i % 6] ^ (rng.random(bits) < 0.1 * (i % 4)))]) for i in range(400)]
+    rows += [(400 + i, rows[i % 3][1]) for i in range(90)] + [(600 + i, [float(x) for x in rng.normal(size=bits)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({"part": F.lit(1), "ids": F.lit("x")})
+    codes = df.select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding"), bits).alias("code"))
+    got = hamming_search.top_k(codes, codes.filter("id % 20 = 0"), 5, bits, shard, block).collect()
+    code = {i: int("".join("1" if x > 0 else "0" for x in e), 2) for i, e in rows}
+    wanted = []
+    for q in code:
+        if q % 20 == 0:
+            wanted += [(q, i, d, n + 1) for n, (d, i) in enumerate(sorted(((code[q] ^ c).bit_count(), i) for i, c in code.items() if i != q)[:5])]
+    assert sorted((r["query_id"], r["neighbor_id"], r["distance"], r["rank"]) for r in got) == sorted(wanted)
+
+
 @pytest.mark.parametrize("width", [64, 100])
 def test_hamming_search_uses_every_dimension(spark, tmp_path, width):
     rng = np.random.default_rng(5)
@@ -405,3 +422,54 @@ def test_quality_order_is_rejection_per_cost(docs, monkeypatch):
 
 def test_digest_columns(spark):
     assert spark.sql("SELECT sha2('a', 256) x").first()["x"] == hashlib.sha256(b"a").hexdigest()
+
+
+def test_substring_dedup_in_several_passes(spark, monkeypatch, docs, rows):
+    monkeypatch.setattr(substring_dedup.index_probes, "__defaults__", (1 << 10,))  # less than the blocks need: every pass is used and the filter overflows
+    got = substring_dedup.dedup_substrings(docs, 35).select("doc_id", "n_words", "n_removed", "text").collect()
+    assert sorted(map(tuple, got), key=str) == brute_windows([r[:2] for r in rows], 35)
+
+
+def test_bloom_filter_has_all_its_values(spark):
+    from routeweave.llm import filters
+
+    h = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64)
+    bitmap = filters.bloom_filter(spark.createDataFrame([(int(x),) for x in h], "h bigint"), 1 << 16)
+    other = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64)
+    assert len(filters.in_bloom(bitmap, h.view(np.uint64))) == len(h)
+    assert len(filters.in_bloom(bitmap, other.view(np.uint64))) < 250
+
+
+def test_line_dedup_repeated_lines_in_one_document(spark):
+    line = "one line that is long enough to count"
+    rows = [(1, "\n".join([line, "x", line.upper(), line])), (2, line), (3, "\n".join([line, line])), (3, line + "\nand more"), (None, line), (None, line)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), batches=3)
+    assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "text").collect()), key=str) == brute_lines(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_language_id_numbers_are_no_letters(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE_CHARS", 64)
+    rows = [(i, "the and of that with", "en") for i in range(10)] + [(10 + i, "der und nicht mit sich", "de") for i in range(10)]
+    rows += [(40, "½ ¾", "en"), (41, "12 ²", "de"), (42, "① _", None), (43, "der und " * 5000 + "the ", None), (44, "½" * 500 + "the", None)]
+    got = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (40, 41, 42)] == [("und", 0.0)] * 3
+    assert got[43]["lang_pred"] == "de" and got[43]["score"] > 0.99
+
+
+def test_language_id_sample_is_bounded(spark):
+    repeated = [(7, f"wort {i % 3} und", "de") for i in range(3000)]
+    rows = repeated + [(i, "the and", "en") for i in range(100, 2100)] + [(5000, "x" * 1000, "en"), (None, "le la", "fr")]
+    got = language_id.learned_from(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_docs=50)
+    by = Counter(lang for lang, _ in got)
+    assert by["de"] <= 1 and 40 <= by["en"] <= 50 and by["fr"] <= 1
+    assert all(len(s) <= language_id.WORD_BYTES * language_id.SPAN_WORDS * 2 for _, spans in got for s in spans)
+
+
+def test_language_id_held_out_accuracy(spark):
+    from routeweave.llm.common import table
+
+    got = queries.op6_language_id(spark, "/root/testdata/sf0.01").filter("held_out").join(table(spark, "/root/testdata/sf0.01", "documents"), "doc_id")
+    right = got.filter("lang IS NOT NULL AND lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.count("*").alias("n")).first()
+    print(right)
+    assert right["n"] > 200 and right["right"] >= 0.97
