@@ -1,14 +1,22 @@
 """Operator 1: lexical retrieval packing.
 
-Documents are read in the order of their scan partition and cut into *shards* of at most ``shard_docs`` documents (or
-``shard_chars`` characters). A shard has its own BM25 inverted index over token ids. A seed document opens a window; its
-rarest shared terms query the index, and the best unused neighbours fill the window greedily, the last one being cut so
-that the window is full. The cut tail opens the next window, so no token is lost or repeated and only the last window
-of a shard can hold padding. Shards never leave their scan partition: there is no shuffle, a hot source or a group of
-copies is spread as the rows are, and a task's memory is bounded by one shard.
-
-Defined cases: a null text is empty and yields the separator alone; an empty table yields no rows; repeated rows are
-packed once each; ties in score go to the earlier row of the shard; extra columns are ignored.
+Texts are encoded once and their ids written. Document frequencies of the vocabulary are counted over all documents, and
+each document is *routed* by its terms of highest BM25 weight: first among the terms that an eighth of all documents
+have, then among less common ones, last among all that another document has (``LEVELS``). A range partitioning by these
+terms, and by a hash of the id behind them, brings documents with the same telling terms side by side wherever they were
+read, and cuts the rows into parts of equal size: a hot term, or a group of copies, is spread over as many parts as it
+fills. The sorted parts are cut into *shards* of at most ``shard_docs`` documents (or
+``SHARD_TOKENS`` ids).
+
+A shard has its own BM25 inverted index over token ids. A seed document opens a window; all its terms query the index,
+and the best unused neighbours fill the window greedily, the last one being cut so that the window is full. The cut tail
+opens the next window, so no token is lost or repeated and only the last window of a shard can hold padding. A task's
+memory is bounded by one shard and one text. What reaches the driver is a number for each id of the vocabulary.
+
+Defined cases: a null text is empty and yields the separator alone; a very long text fills windows of its own and its
+tail is packed with others; an empty table yields no rows; repeated rows, and rows that repeat a doc_id, are packed once
+each; ties in score go to the earlier document of the shard, those in routing weight to the smaller term; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
 
 WINDOW, SEPARATOR = 2048, 1
-SHARD_DOCS, SHARD_CHARS = 2048, 8_000_000
-#: BM25 parameters, and the number of a seed's rarest shared terms that query the index.
-K1, B, QUERY_TERMS = 1.2, 0.75, 32
+SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
+#: BM25 parameters.
+K1, B = 1.2, 0.75
+#: Least share of all documents that have a routing term, level by level.
+LEVELS = (1 / 8, 1 / 64, 0.0)
+#: Terms that more than this share of a shard's documents have are kept as rows of one number for each document.
+COMMON = 1 / 16
 
 SCHEMA = "doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Texts with other characters, or with a special token's string, are encoded by ``tokenizers`` itself.
@@ -64,7 +79,7 @@ class Tokenizer:
 class Bm25Shard:
     """Inverted index of one shard: postings by term with their BM25 weight for a query that names the term once."""
 
-    def __init__(self, documents: list[np.ndarray]):
+    def __init__(self, documents: list[np.ndarray], query_terms: int | None = None):
         n = self.n = len(documents)
         lengths = np.array([len(d) for d in documents], dtype=np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
@@ -78,23 +93,30 @@ class Bm25Shard:
         norm = K1 * (1 - B + B * lengths / max(lengths.mean() if n else 1, 1e-9))
         self.doc = doc
         self.weight = idf[slot] * tf * (K1 + 1) / (tf + norm[doc])
-        # a document's query: its rarest terms that another document of the shard has
+        common = df > max(1, COMMON * n)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), n), np.float32)
+        often = common[slot]
+        self.rows[self.row[slot[often]], doc[often]] = self.weight[often]
+        # a document's query: its terms that another document of the shard has, rarest first
         shared = np.flatnonzero(df[slot] > 1)
         order = shared[np.lexsort((slot[shared], -idf[slot[shared]], doc[shared]))]
         self.query_start = np.searchsorted(doc[order], np.arange(n + 1))
-        self.query_slot = slot[order]
+        self.query_slot, self.query_terms = slot[order], query_terms
 
     def scores(self, seed: int) -> np.ndarray:
-        slots = self.query_slot[self.query_start[seed] : self.query_start[seed + 1]][:QUERY_TERMS]
-        if not len(slots):
-            return np.zeros(self.n)
-        spans = [slice(self.start[s], self.start[s + 1]) for s in slots]
-        return np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
+        slots = self.query_slot[self.query_start[seed] : self.query_start[seed + 1]][: self.query_terms]
+        rows = self.row[slots]
+        total = self.rows[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        spans = [slice(self.start[s], self.start[s + 1]) for s in slots[rows < 0].tolist()]
+        if spans:
+            total += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
+        return total
 
 
-def pack_shard(documents: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece. ``documents``: ids with their separator."""
-    index, pieces, sequence = Bm25Shard(documents), [], 0
+def pack_shard(documents: list[np.ndarray], window: int, query_terms: int | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of every piece. ``documents``: ids with their separator. ``query_terms``: how many of a seed's rarest shared terms ask for neighbours; all if ``None``."""
+    index, pieces, sequence = Bm25Shard(documents, query_terms), [], 0
     begin = [0] * len(documents)
     unused = np.ones(len(documents), dtype=bool)
     for d, ids in enumerate(documents):  # windows that one document fills alone
@@ -130,39 +152,105 @@ def pack_shard(documents: list[np.ndarray], window: int) -> list[tuple[int, int,
         sequence += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row per piece of ``docs`` (doc_id, text): its ids, its place in the document and in a sequence of at most ``window`` ids."""
+def encode(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, pattern: str | None, separator: int) -> DataFrame:
+    """(doc_id, ids) of each row, with the separator behind the ids of its text."""
     end = np.array([separator], dtype="<u4").tobytes()
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-        ids, texts, size = [], [], 0
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokenizer(tokenizer_path, ranks_path, pattern)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                ids = pa.array([tokens(text or "") + end for text in some.column(1).to_pylist()], pa.large_binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), ids.cast(pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(encoded, "doc_id bigint, ids binary")
+
+
+def _ids(column: pa.Array) -> Iterator[np.ndarray]:
+    for x in column:
+        yield np.frombuffer(x.as_buffer(), dtype="<u4")
+
+
+def term_frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
+    """In how many documents each id stands, and the number of documents and their mean length. A task sends a row for each id of the vocabulary at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, length = np.zeros(1, np.int64), 0, 0
+        for batch in batches:
+            for ids in _ids(batch.column(1)):
+                terms = np.unique(ids)
+                if len(terms) and terms[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
+                df[terms] += 1
+                n, length = n + 1, length + len(ids)
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *terms.tolist()], pa.int64()), pa.array([n, length, *df[terms].tolist()], pa.int64())], names=["term", "n"])
+
+    rows = encoded.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = dict(zip(rows["term"].tolist(), rows["n"].tolist()))
+    n, length = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return df, n, length / max(n, 1)
+
+
+def routed(encoded: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """``encoded`` with t0, t1, ...: for each level the term of highest BM25 weight that has its share of documents; -1 where there is none."""
+    df, n, mean = term_frequencies(encoded)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    shared = encoded.sparkSession.sparkContext.broadcast([np.where((df > 1) & (df >= share * n), idf, 0.0) for share in levels])  # numbers for each id of the vocabulary
+    names = [f"t{k}" for k in range(len(levels))]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = np.full((len(levels), batch.num_rows), -1, np.int32)
+            for k, ids in enumerate(_ids(batch.column(1))):
+                terms, tf = np.unique(ids, return_counts=True)
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
+                for level, idf in enumerate(shared.value):
+                    weight = idf[terms] * share
+                    at = int(weight.argmax()) if len(weight) else 0
+                    if len(weight) and weight[at] > 0:
+                        best[level, k] = terms[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, best)], names=["doc_id", "ids", *names])
+
+    return encoded.mapInArrow(route, "doc_id bigint, ids binary, " + ", ".join(f"{name} int" for name in names))
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, shard_docs: int = SHARD_DOCS, query_terms: int | None = None) -> DataFrame:
+    """One row per piece of ``docs`` (doc_id, text): its ids, its place in the document and in a sequence of at most ``window`` ids."""
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+        names, documents, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
-                texts.append(text or "")
-                size += len(texts[-1])
-                if len(ids) >= shard_docs or size >= SHARD_CHARS:
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+            for doc_id, ids in zip(batch.column(0).to_pylist(), _ids(batch.column(1))):
+                names.append(doc_id)
+                documents.append(ids)
+                size += len(ids)
+                if len(names) >= shard_docs or size >= SHARD_TOKENS:
+                    yield names, documents
+                    names, documents, size = [], [], 0
+        if names:
+            yield names, documents
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, first = Tokenizer(tokenizer_path, ranks_path, pattern), TaskContext.get().partitionId() << 33
-        for doc_ids, texts in shards(batches):
-            raw = [encode(x) + end for x in texts]
-            documents = [np.frombuffer(x, dtype="<u4") for x in raw]
-            pieces = pack_shard(documents, window)
+        first = TaskContext.get().partitionId() << 33
+        for names, documents in shards(batches):
+            pieces = pack_shard(documents, window, query_terms)
             for k in range(0, len(pieces), 4096):
                 some = pieces[k : k + 4096]
                 columns = [
-                    pa.array([doc_ids[p[0]] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.int64()),
-                    pa.array([raw[p[0]][4 * p[1] : 4 * (p[1] + p[2])] for p in some], pa.binary()), pa.array([len(documents[p[0]]) for p in some], pa.int64()),
+                    pa.array([names[p[0]] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.int64()),
+                    pa.array([documents[p[0]][p[1] : p[1] + p[2]].tobytes() for p in some], pa.binary()), pa.array([len(documents[p[0]]) for p in some], pa.int64()),
                     pa.array([first + p[3] for p in some], pa.int64()), pa.array([p[4] for p in some], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
             first += pieces[-1][3] + 1 if pieces else 0
 
-    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(pack, SCHEMA)
+    encoded = stored(encode(docs, tokenizer_path, ranks_path, pattern, separator))
+    keys = [*(f"t{k}" for k in range(len(LEVELS))), "tie", "doc_id"]
+    parts = routed(encoded).withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return parts.select("doc_id", "ids").mapInArrow(pack, SCHEMA)

@@ -37,10 +37,12 @@ def check_packing(rows, pieces, window=2048):
         by_doc[p["doc_id"]].append(p)
         by_sequence[p["sequence_id"]].append(p)
     for i, wanted in ids.items():
-        got = sorted(by_doc.pop(i), key=lambda p: (p["start"], p["sequence_id"]))
+        got = by_doc.pop(i)
+        place = Counter(t for p in got for t in range(p["start"], p["start"] + len(p["ids"]) // 4))
+        assert place == Counter(t for x in wanted for t in range(len(x) // 4))  # rows that repeat an id cover it as often
+        assert all(any(x[4 * p["start"] :].startswith(bytes(p["ids"])) and len(x) == 4 * p["doc_tokens"] for x in wanted) for p in got)
         if len(wanted) == 1:
-            assert b"".join(bytes(p["ids"]) for p in got) == wanted[0]
-            assert all(p["doc_tokens"] == len(wanted[0]) // 4 for p in got)
+            assert b"".join(bytes(p["ids"]) for p in sorted(got, key=lambda p: p["start"])) == wanted[0]
     assert not by_doc
     for pieces in by_sequence.values():
         end = 0
@@ -73,6 +75,62 @@ def test_packing_empty(empty):
     assert packing.pack_documents(empty, *tokenizer_files()).count() == 0
 
 
+def test_packing_repeated_rows(spark):
+    rows = [(1, "same words here"), (1, "same words here"), (1, "other words"), (None, None), (None, "x y"), (2, "a " * 5000), (2, "a " * 5000)]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), *tokenizer_files()).collect()
+    check_packing(rows, pieces)
+
+
+def brute_pack(documents, window):
+    """The greedy filling with BM25 scores computed term by term."""
+    n, mean = len(documents), sum(map(len, documents)) / len(documents)
+    tf = [Counter(d.tolist()) for d in documents]
+    df = Counter(t for c in tf for t in c)
+
+    def score(seed, d):
+        return sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[d][t] * 2.2 / (tf[d][t] + 1.2 * (0.25 + 0.75 * len(documents[d]) / mean)) for t in tf[seed] if df[t] > 1 and t in tf[d])
+
+    left, windows, seed = {d: len(x) for d, x in enumerate(documents)}, [], None
+    for d in left:
+        left[d] %= window
+    while any(left.values()):
+        seed = seed if seed is not None else min(d for d in left if left[d])
+        room, own, chosen = window, [], seed
+        while True:
+            take = min(room, left[chosen])
+            own.append(chosen)
+            room, left[chosen] = room - take, left[chosen] - take
+            others = [d for d in left if left[d] and d != chosen]
+            if not room or not others:
+                break
+            chosen = max(others, key=lambda d: (score(seed, d), -d))
+        windows.append(own)
+        seed = chosen if left[chosen] else None
+    return windows
+
+
+def test_packing_fills_windows_by_bm25_of_all_terms():
+    rng = np.random.default_rng(8)
+    documents = [np.append(rng.integers(30 * (i % 4), 30 * (i % 4) + rng.integers(40, 400), rng.integers(3, 150)), 1).astype(np.uint32) for i in range(150)]
+    got = defaultdict(list)
+    for d, _, length, sequence, _ in packing.pack_shard(documents, 256):
+        got[sequence].append(d)
+    assert list(got.values()) == brute_pack(documents, 256)
+
+
+def test_packing_brings_related_documents_of_all_partitions_together(spark):
+    rng = np.random.default_rng(4)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(40)]
+    rows = [(100 * g + k, f"{names[g]} " * int(rng.integers(8, 20)) + "and so on") for k in range(4) for g in rng.permutation(40).tolist()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16, "doc_id")
+    pieces = packing.pack_documents(df, *tokenizer_files(), window=1024, shard_docs=32).collect()
+    check_packing(rows, pieces, 1024)
+    where = defaultdict(set)
+    for p in pieces:
+        where[p["doc_id"] // 100].add(p["sequence_id"])
+    assert np.mean([len(x) for x in where.values()]) < 1.8  # four documents each, dealt apart
+
+
 def test_bm25_prefers_the_lexical_neighbour():
     a, b, c = (np.array(x, np.uint32) for x in ([5, 6, 7, 8], [90, 91, 92, 93], [5, 6, 7, 9]))
     pieces = packing.pack_shard([a, b, c], 8)

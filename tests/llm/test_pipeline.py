@@ -56,4 +56,4 @@ def test_mixing_stage(steps):
 
 def test_packing_stage_and_run(spark, steps, sf_dir):
     check_packing(pairs(steps[4]), steps[5].collect())
-    assert sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in P.run(spark, sf_dir).collect() if r["start"] == 0) == sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in steps[5].collect() if r["start"] == 0)
+    check_packing(pairs(steps[4]), P.run(spark, sf_dir).collect())
