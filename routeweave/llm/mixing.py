@@ -1,20 +1,28 @@
 """Operator 9: mixing sources to target weights by iterative proportional fitting.
 
 Documents are summed into cells (source, language, topic) with map-side combine. The cells' token weights are raked to
-the target share of each margin in turn until all three fit. A document's probability is its cell's calibrated rate,
-scaled so that the largest is 1: the largest sample without repeats whose expected token shares have the target
-margins. A document is taken if a hash of its id falls below its probability, so the sample is the same in each run.
-Native: DataFrame functions only. The cell table is tiny beside the input; each sweep is written to the shared folder.
-A hot source is a few cells with a low rate; the rates go back to documents by a join on the cell whose small side
-Spark may broadcast after measuring it, and which it can split otherwise.
+the target share of each margin in turn, sweep after sweep, until all three fit to ``TOLERANCE``. The weights are scaled
+until the first cell is taken whole; if that is less than ``budget`` of all tokens they are scaled to the budget
+instead, cells that would need more tokens than they have are taken whole, and the others are raked again to what is
+left of each margin, until no cell is over. A document's probability is its cell's calibrated rate; it is taken if a
+hash of its id falls below, so the sample is the same in each run. A margin that cells cannot reach (a warning says how
+far it stays off) leaves the others as near as ``sweeps`` sweeps bring them.
+
+Native: DataFrame functions only. Sweeps are written to the shared folder, several at once; a cell table of measured small
+size is one partition, whose windows need no shuffle, and a larger one is shuffled by margin. A hot source is a few cells
+with a low rate; the rates go back to documents by a join on the cell whose small side Spark may broadcast after
+measuring it, and which it can split otherwise.
 
 Defined cases: null source, language or text count as the values ``(none)``, ``(none)`` and empty; documents without
-words have probability 0; repeated rows share their fate (one hash); shares of values that no document has are left
-out and the others scaled to 1; with no tokens at all nothing is sampled; extra columns are carried through.
+words have probability 0; a very long text is counted whole; rows that repeat a doc_id share their fate (one hash), and
+all count in their cells; ties need no rule, as no row is ranked; shares of values that no document has are left out and
+the others scaled to 1; with no tokens at all nothing is sampled; an empty table yields no rows; extra columns are carried
+through, those named like a result are replaced by it.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import BLANK_CLASS, stored
 
 MARGINS = ("source", "lang", "topic")
-SWEEPS, POWER, SEED = 8, 0.9, "mix-1"
+POWER, SEED = 0.9, "mix-1"
+#: How far a sweep's factors may be from 1, at the end and before cells that are over become whole.
+TOLERANCE, ROUGH = 1e-12, 1e-6
+#: Most sweeps of a raking that does not get there; sweeps written at once; most cells that are one partition.
+SWEEPS, AT_ONCE, ONE_PARTITION = 200, 8, 100_000
 #: The least expected sample, as a share of all tokens.
 BUDGET = 0.75
 NONE = "(none)"
@@ -34,7 +46,7 @@ def count_words(text: Column) -> Column:
 
 
 def topic_of(text: Column, tokens: Column) -> Column:
-    """A text's kind by fixed rules, the first that holds."""
+    """A text's kind by fixed rules, the first that holds: it stands for the topic that documents do not name."""
     lines = F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1
     symbols = F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))
     return (
@@ -74,6 +86,35 @@ def filled(df: DataFrame, raw: str, most: str, total: Column) -> DataFrame:
     return out.withColumn("given", F.least(F.col(most), c * F.col(raw))).drop("__c")
 
 
+def fitted(cells: DataFrame, sweeps: int, tolerance: float) -> tuple[DataFrame, float]:
+    """``cells`` with ``weight`` raked to each margin's ``{margin}_wanted``, and how far the factors of the last sweep were
+    from 1. Cells that are ``whole`` keep their weight; the others share what is left."""
+    free = F.when(F.col("whole"), 0.0).otherwise(F.col("weight"))
+    kept = F.when(F.col("whole"), F.col("weight")).otherwise(0.0)
+    columns, done, error = cells.columns, 0, float("inf")
+    while True:
+        for _ in range(min(AT_ONCE, sweeps - done)):
+            for margin in MARGINS:
+                w = Window.partitionBy(margin)
+                rest, now = F.greatest(F.col(f"{margin}_wanted") - F.sum(kept).over(w), F.lit(0.0)), F.sum(free).over(w)
+                factor = F.when(now > 0, rest / now).otherwise(F.lit(1.0))
+                cells = cells.select(*columns, factor.alias(f"{margin}_by"), *[f"{m}_by" for m in MARGINS if m != margin and f"{m}_by" in cells.columns])
+                cells = cells.withColumn("weight", F.when(F.col("whole"), F.col("weight")).otherwise(F.col("weight") * F.col(f"{margin}_by")))
+            done += 1
+        cells = stored(cells.withColumn("error", F.greatest(*[F.abs(F.col(f"{m}_by") - 1) for m in MARGINS])))
+        seen = cells.agg(F.max("error").alias("e"), F.count("*").alias("n")).first()
+        before, error = error, seen["e"] or 0.0
+        cells = _few(cells.select(*columns), seen["n"])
+        rounded = before <= error < 1e-9  # no more than rounding is left
+        if error <= tolerance or rounded or done >= sweeps:
+            return cells, error
+
+
+def _few(cells: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` cells, as one partition if there are at most ``ONE_PARTITION``."""
+    return cells.coalesce(1) if n <= ONE_PARTITION else cells
+
+
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``weight``: tokens to take, at least ``budget`` of all, with the target margins as far as cells reach."""
     start = cells.filter("tokens > 0")
@@ -81,21 +122,39 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], s
         shares = target_shares(cells, margin, targets[margin]).withColumnRenamed("share", f"{margin}_share")
         start = start.join(shares, margin)
     start = stored(start.withColumn("tokens", F.col("tokens").cast("double")))
-    total = F.lit(budget * (start.agg(F.sum("tokens").alias("n")).first()["n"] or 0.0))
-    weighted = start
+    sums = start.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
+    tokens, n = sums["tokens"] or 0.0, sums["n"]
+    start = _few(start, n)
+    plain = start.withColumns({f"{m}_wanted": F.col(f"{m}_share") * tokens for m in MARGINS} | {"weight": F.col("tokens"), "whole": F.lit(False)})
+    plain, error = fitted(plain, sweeps, ROUGH)
+    room = F.min(F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight")))
+    if (plain.select(room).first()[0] or 0.0) >= budget:  # the weights sum to all tokens
+        plain, error = fitted(plain, sweeps, TOLERANCE)
+        room = plain.select(room).first()[0]
+        _report(error)
+        return plain.select(*MARGINS, "tokens", F.least("tokens", F.col("weight") * room).alias("weight"))
+    total, weighted = F.lit(budget * tokens), plain.drop(*[f"{m}_wanted" for m in MARGINS])
     for margin in MARGINS:
         values = start.groupBy(margin).agg(F.sum("tokens").alias("present"), F.max(f"{margin}_share").alias("share"))
         wanted = filled(values, "share", "present", total).select(margin, F.col("given").alias(f"{margin}_wanted"))
         weighted = weighted.join(wanted, margin)
-    weighted = stored(weighted.withColumn("weight", F.col("tokens")))
-    for _ in range(sweeps):
-        for margin in MARGINS:
-            now = F.sum("weight").over(Window.partitionBy(margin))
-            weighted = weighted.withColumn("weight", F.least("tokens", F.col("weight") * F.col(f"{margin}_wanted") / now))
-        weighted = stored(weighted)
-    taken = filled(weighted, "weight", "tokens", total)
-    room = F.min(F.col("tokens") / F.col("given")).over(Window.partitionBy(F.lit(0)))  # 1 as soon as a cell is taken whole
-    return taken.select(*MARGINS, "tokens", F.least("tokens", F.col("given") * room).alias("weight"))
+    weighted, tolerance = _few(stored(weighted.withColumn("weight", F.col("tokens") * budget)), n), ROUGH
+    while True:
+        weighted, error = fitted(weighted, sweeps, tolerance)
+        over = ~F.col("whole") & (F.col("weight") > F.col("tokens") * (1 + 1e-9))
+        if weighted.select(F.bool_or(over)).first()[0]:
+            weighted = _few(stored(weighted.withColumns({"whole": F.col("whole") | over, "weight": F.when(over, F.col("tokens")).otherwise(F.col("weight"))})), n)
+        elif tolerance == TOLERANCE:
+            break
+        else:
+            tolerance = TOLERANCE
+    _report(error)
+    return weighted.select(*MARGINS, "tokens", F.least("tokens", "weight").alias("weight"))
+
+
+def _report(error: float) -> None:
+    if error > 1e-6:
+        warnings.warn(f"a margin stays off its target by {error:.2g} of it: the cells cannot reach all targets", stacklevel=3)
 
 
 def sample_uniform(doc_id: Column, seed: str) -> Column:

@@ -133,10 +133,10 @@ SELECT * FROM ranked WHERE rank <= 10
 """
 
 
-def _op9_sql(sweeps: int = mixing.SWEEPS, power: float = mixing.POWER, seed: str = mixing.SEED) -> str:
-    """The raking unrolled: one step for each margin of each sweep."""
-    head = f"""
-WITH counted AS (
+def _op9_sql(power: float = mixing.POWER, budget: float = mixing.BUDGET, seed: str = mixing.SEED, sweeps: int = 60, rounds: int = 16) -> str:
+    """Raking as a recursion: each step is a sweep over the cells that are not whole, and every ``sweeps`` steps those that are over become whole."""
+    sql = f"""
+WITH RECURSIVE counted AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS text,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens
   FROM documents),
@@ -151,16 +151,35 @@ named AS (
 cells AS (SELECT s, l, t, sum(tokens)::DOUBLE AS tokens FROM named GROUP BY ALL HAVING sum(tokens) > 0),
 """
     for m in "slt":
-        head += f"p{m} AS (SELECT {m}, pow(sum(tokens), {power}) AS raw FROM cells GROUP BY {m}),\n"
-        head += f"q{m} AS (SELECT {m}, raw / (SELECT sum(raw) FROM p{m}) AS share_{m} FROM p{m}),\n"
-    head += "w0 AS MATERIALIZED (SELECT *, tokens AS w FROM cells JOIN qs USING (s) JOIN ql USING (l) JOIN qt USING (t)),\n"
-    k = 0
-    for _ in range(sweeps):
+        sql += f"""p{m} AS (SELECT {m}, sum(tokens) AS present, pow(sum(tokens), {power}) AS raw FROM cells GROUP BY {m}),
+q{m} AS (SELECT {m}, present, raw / (SELECT sum(raw) FROM p{m}) AS share FROM p{m}),
+c{m} AS (SELECT max(({budget} * (SELECT sum(tokens) FROM cells) - taken) / rest) AS c FROM (
+  SELECT coalesce(sum(present) OVER (ORDER BY present / share, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+         sum(share) OVER (ORDER BY present / share, {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM q{m})),
+g{m} AS (SELECT {m}, share * (SELECT sum(tokens) FROM cells) AS plain_{m}, least(present, c * share) AS want_{m} FROM q{m}, c{m}),
+"""
+
+    def sweep(source: str, want: str) -> str:
         for m in "slt":
-            head += f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * share_{m} / sum(w) OVER (PARTITION BY {m}) AS w) FROM w{k}),\n"
-            k += 1
-    return head + f"""
-rates AS (SELECT s, l, t, (w / tokens) / (SELECT max(w / tokens) FROM w{k}) AS p FROM w{k}),
+            left = f"greatest({want}_{m} - sum(CASE WHEN whole THEN w ELSE 0 END) OVER (PARTITION BY {m}), 0)"
+            free = f"greatest(sum(CASE WHEN whole THEN 0 ELSE w END) OVER (PARTITION BY {m}), 1e-300)"
+            source = f"(SELECT * REPLACE (CASE WHEN whole THEN w ELSE w * {left} / {free} END AS w) FROM {source})"
+        return source
+
+    over = f"(k + 1) % {sweeps} = 0 AND w > tokens * (1 + 1e-9)"
+    return sql + f"""
+begun AS (SELECT c.*, plain_s, plain_l, plain_t, want_s, want_l, want_t, false AS whole FROM cells c JOIN gs USING (s) JOIN gl USING (l) JOIN gt USING (t)),
+plain AS (
+  SELECT *, tokens AS w, 0 AS k FROM begun UNION ALL SELECT * REPLACE (k + 1 AS k) FROM {sweep("plain", "plain")} WHERE k < {4 * sweeps}),
+capped AS (
+  SELECT *, tokens * {budget} AS w, 0 AS k FROM begun
+  UNION ALL
+  SELECT * REPLACE (k + 1 AS k, whole OR ({over}) AS whole, CASE WHEN {over} THEN tokens ELSE w END AS w) FROM {sweep("capped", "want")} WHERE k < {sweeps * rounds}),
+chosen AS (SELECT *, (SELECT min(tokens / w) FROM plain WHERE k = {4 * sweeps}) AS room, (SELECT sum(tokens) FROM cells) AS n FROM plain WHERE k = {4 * sweeps}),
+rates AS (
+  SELECT s, l, t, least(1, w * room / tokens) AS p FROM chosen WHERE (SELECT sum(w) * min(room) >= {budget} * min(n) FROM chosen)
+  UNION ALL
+  SELECT s, l, t, least(1, w / tokens) FROM capped WHERE k = {sweeps * rounds} AND NOT (SELECT sum(w) * min(room) >= {budget} * min(n) FROM chosen)),
 judged AS (
   SELECT n.*, CASE WHEN n.tokens > 0 THEN coalesce(p, 0) ELSE 0 END AS p,
          ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
