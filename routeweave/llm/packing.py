@@ -1,8 +1,8 @@
 """Operator 1: lexical retrieval packing.
 
-Texts are encoded once and their ids written. Document frequencies of the vocabulary are counted over all documents, and
-each document is *routed* by its terms of highest BM25 weight: first among the terms that an eighth of all documents
-have, then among less common ones, last among all that another document has (``LEVELS``). A range partitioning by these
+Texts are encoded once and their ids written, with the document frequencies of the vocabulary. Each document is *routed* by
+its rarest terms: first the rarest of the terms that a sixteenth of all documents have, then of less common ones, last of
+all that another document has (``LEVELS``). A range partitioning by these
 terms, and by a hash of the id behind them, brings documents with the same telling terms side by side wherever they were
 read, and cuts the rows into parts of equal size: a hot term, or a group of copies, is spread over as many parts as it
 fills. The sorted parts are cut into *shards* of at most ``shard_docs`` documents (or
@@ -15,13 +15,14 @@ memory is bounded by one shard and one text. What reaches the driver is a number
 
 Defined cases: a null text is empty and yields the separator alone; a very long text fills windows of its own and its
 tail is packed with others; an empty table yields no rows; repeated rows, and rows that repeat a doc_id, are packed once
-each; ties in score go to the earlier document of the shard, those in routing weight to the smaller term; extra columns
+each; ties in score go to the earlier document of the shard, those of routing terms to the earlier in the text; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffle_partitions, stored
 
 WINDOW, SEPARATOR = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 #: Least share of all documents that have a routing term, level by level.
-LEVELS = (1 / 8, 1 / 64, 0.0)
+LEVELS = (1 / 16, 1 / 128, 0.0)
+#: Most bytes of ids that a part has on average.
+PART_BYTES = 64 << 20
 #: Terms that more than this share of a shard's documents have are kept as rows of one number for each document.
 COMMON = 1 / 16
 
@@ -152,70 +155,76 @@ def pack_shard(documents: list[np.ndarray], window: int, query_terms: int | None
         sequence += 1
 
 
-def encode(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, pattern: str | None, separator: int) -> DataFrame:
-    """(doc_id, ids) of each row, with the separator behind the ids of its text."""
-    end = np.array([separator], dtype="<u4").tobytes()
+def id_type(tokenizer_path: str) -> str:
+    """Two bytes for an id where the vocabulary allows it."""
+    from tokenizers import Tokenizer as Bpe
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokenizer(tokenizer_path, ranks_path, pattern)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
-                ids = pa.array([tokens(text or "") + end for text in some.column(1).to_pylist()], pa.large_binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), ids.cast(pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(encoded, "doc_id bigint, ids binary")
-
-
-def _ids(column: pa.Array) -> Iterator[np.ndarray]:
-    for x in column:
-        yield np.frombuffer(x.as_buffer(), dtype="<u4")
+    return "<u2" if Bpe.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def term_frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
-    """In how many documents each id stands, and the number of documents and their mean length. A task sends a row for each id of the vocabulary at most."""
+def encode(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, pattern: str | None, separator: int, dtype: str) -> DataFrame:
+    """(doc_id, ids, term, n): each row's ids with the separator behind them; and, without doc_id and ids, for each task in how
+    many of its documents a term stands. Term -1 has the documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, length = np.zeros(1, np.int64), 0, 0
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, df, n = Tokenizer(tokenizer_path, ranks_path, pattern), np.zeros(1, np.int64), 0
         for batch in batches:
-            for ids in _ids(batch.column(1)):
-                terms = np.unique(ids)
-                if len(terms) and terms[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
-                df[terms] += 1
-                n, length = n + 1, length + len(ids)
+            for k in range(0, batch.num_rows, 512):
+                some, rows = batch.slice(k, 512), []
+                for text in some.column(1).to_pylist():
+                    ids = np.append(np.frombuffer(tokens(text or ""), "<u4"), np.uint32(separator)).astype(dtype)
+                    rows.append(ids.tobytes())
+                    ids = np.sort(ids)
+                    if ids[-1] >= len(df):
+                        df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
+                    df[ids[np.concatenate(([True], ids[1:] != ids[:-1]))]] += 1
+                    n += 1
+                nulls = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.binary()), nulls, nulls], names=["doc_id", "ids", "term", "n"])
         terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *terms.tolist()], pa.int64()), pa.array([n, length, *df[terms].tolist()], pa.int64())], names=["term", "n"])
+        size = len(terms) + 1
+        counts = [pa.array(np.append(terms, -1)), pa.array(np.append(df[terms], n))]
+        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), *counts], names=["doc_id", "ids", "term", "n"])
+
+    rows = docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+    return rows.mapInArrow(encoded, "doc_id bigint, ids binary, term bigint, n bigint")
+
 
-    rows = encoded.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+def term_frequencies(encoded: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each id stands, and the number of documents: a row for each id of the vocabulary."""
+    rows = encoded.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     found = dict(zip(rows["term"].tolist(), rows["n"].tolist()))
-    n, length = found.pop(-2, 0), found.pop(-1, 0)
+    n = found.pop(-1, 0)
     df = np.zeros(max(found, default=0) + 1, np.int64)
     df[list(found)] = list(found.values())
-    return df, n, length / max(n, 1)
+    return df, n
 
 
-def routed(encoded: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """``encoded`` with t0, t1, ...: for each level the term of highest BM25 weight that has its share of documents; -1 where there is none."""
-    df, n, mean = term_frequencies(encoded)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shared = encoded.sparkSession.sparkContext.broadcast([np.where((df > 1) & (df >= share * n), idf, 0.0) for share in levels])  # numbers for each id of the vocabulary
+def routed(encoded: DataFrame, dtype: str, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """(doc_id, ids, t0, t1, ...): for each level a document's rarest term that has its share of documents; -1 where there is none."""
+    df, n = term_frequencies(encoded)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    shared = encoded.sparkSession.sparkContext.broadcast([np.where((df > 1) & (df >= share * n), idf, 0) for share in levels])  # numbers for each id of the vocabulary
     names = [f"t{k}" for k in range(len(levels))]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = np.full((len(levels), batch.num_rows), -1, np.int32)
-            for k, ids in enumerate(_ids(batch.column(1))):
-                terms, tf = np.unique(ids, return_counts=True)
-                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
+            for k, ids in enumerate(_ids(batch.column(1), dtype)):
                 for level, idf in enumerate(shared.value):
-                    weight = idf[terms] * share
-                    at = int(weight.argmax()) if len(weight) else 0
-                    if len(weight) and weight[at] > 0:
-                        best[level, k] = terms[at]
+                    weight = idf[ids]
+                    at = int(weight.argmax())
+                    if weight[at] > 0:
+                        best[level, k] = ids[at]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, best)], names=["doc_id", "ids", *names])
 
-    return encoded.mapInArrow(route, "doc_id bigint, ids binary, " + ", ".join(f"{name} int" for name in names))
+    own = encoded.filter("ids IS NOT NULL").select("doc_id", "ids")
+    return own.mapInArrow(route, "doc_id bigint, ids binary, " + ", ".join(f"{name} int" for name in names))
+
+
+def _ids(column: pa.Array, dtype: str) -> Iterator[np.ndarray]:
+    for x in column:
+        yield np.frombuffer(x.as_buffer(), dtype=dtype)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, shard_docs: int = SHARD_DOCS, query_terms: int | None = None) -> DataFrame:
@@ -224,7 +233,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         names, documents, size = [], [], 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), _ids(batch.column(1))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), _ids(batch.column(1), dtype)):
                 names.append(doc_id)
                 documents.append(ids)
                 size += len(ids)
@@ -244,13 +253,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None
                 some = pieces[k : k + 4096]
                 columns = [
                     pa.array([names[p[0]] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.int64()),
-                    pa.array([documents[p[0]][p[1] : p[1] + p[2]].tobytes() for p in some], pa.binary()), pa.array([len(documents[p[0]]) for p in some], pa.int64()),
+                    pa.array([documents[p[0]][p[1] : p[1] + p[2]].astype("<u4").tobytes() for p in some], pa.binary()), pa.array([len(documents[p[0]]) for p in some], pa.int64()),
                     pa.array([first + p[3] for p in some], pa.int64()), pa.array([p[4] for p in some], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
             first += pieces[-1][3] + 1 if pieces else 0
 
-    encoded = stored(encode(docs, tokenizer_path, ranks_path, pattern, separator))
+    dtype = id_type(tokenizer_path)
+    encoded = stored(encode(docs, tokenizer_path, ranks_path, pattern, separator, dtype))
+    tokens = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), math.ceil(tokens / PART_BYTES))
     keys = [*(f"t{k}" for k in range(len(LEVELS))), "tie", "doc_id"]
-    parts = routed(encoded).withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return parts.select("doc_id", "ids").mapInArrow(pack, SCHEMA)
+    rows = routed(encoded, dtype).withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return rows.select("doc_id", "ids").mapInArrow(pack, SCHEMA)
