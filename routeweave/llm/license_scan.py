@@ -1,16 +1,17 @@
 """Operator 8: license scans by conditional compression.
 
-Texts with a cue word are cut into blocks: sentences of lines that hold a cue, whole paragraphs that are not much longer
-than the longest template, and around each cue the words that a template of each length could take, over line ends,
-sentences, comment marks and blank lines. A block is compressed with zstandard alone and with each template as
+Texts with a cue word are cut into blocks: sentences that hold a cue, and around each cue the words that a template of
+each size class (``REACHES``) could take, over line ends, sentences, comment marks and blank lines, wherever in a
+paragraph of any length they stand. A block is compressed with zstandard alone and with each template as
 raw-content dictionary; templates are ranked by how much they shrink it. The first in rank that fits is confirmed by
 exact wording: the words of block and template are aligned, and what the template misses, and what is added between its
 first and last aligned word, must be few words. What is left beside a finding is searched again. Texts without a cue
 never reach Python, and nothing is shuffled.
 
-Defined cases: a null or empty text has no block; of overlapping confirmed blocks the longer one is returned; ties in
-rank go to the template named first; repeated rows are scanned each; an empty table yields no rows; extra columns are
-ignored.
+Defined cases: a null or empty text has no block; a very long text is scanned whole, as its blocks are bounded by the
+longest template; of overlapping confirmed blocks the longer one is returned; ties in
+rank go to the template named first; repeated rows, and rows that repeat a doc_id, are scanned each; a null doc_id is
+returned as null; an empty table yields no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,15 +48,27 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
     ("Proprietary", "All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 #: What a block must hold, in lower case.
-CUES = ("licen", "copyright", "hereby granted", "redistribut", "rights reserved", "mozilla public", "cc by", "neighboring rights")
+CUES = ("licen", "copyright", "granted", "redistribut", "reserved", "mozilla", "cc by", "neighboring", "unencumbered")
+#: Words on each side of a cue that a block has, by size class: a template of at most so many words, additions included, lies inside.
+REACHES = (12, 24, 48, 96, 192, 384)
 #: A wording is confirmed with at most this share of the template's words missing, and added.
 MISSING, ADDED = 0.1, 0.2
 
 _CUE = re.compile("|".join(map(re.escape, CUES)), re.IGNORECASE)
 _SENTENCE = re.compile(r"\S(?:[^\n]*?(?:[.:;!?](?=\s)|$))", re.MULTILINE)
-_PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]*\S[^\n]*)*")
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -80,8 +93,10 @@ class Scanner:
         raw = [zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, text in templates]
         self._given = [zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False) for d in raw]
         self._words = [_WORD.findall(text.lower()) for _, text in templates]
-        self._longest = 2 * max(len(text) for _, text in templates)
-        self._reaches = sorted({len(w) + int(ADDED * len(w)) for w in self._words})
+        longest = max(len(w) + int(ADDED * len(w)) for w in self._words)
+        self._reaches = [n for k, n in enumerate(REACHES) if not k or REACHES[k - 1] < longest]
+        if longest > REACHES[-1]:
+            self._reaches.append(longest)
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         words, found = [m.span() for m in _WORD.finditer(text)], set()
@@ -90,14 +105,9 @@ class Scanner:
             at = max(0, bisect_right(starts, cue.start()) - 1)
             for n in self._reaches:
                 found.add((words[max(0, at - n)][0], words[min(len(words) - 1, at + n)][1]))
-        for p in _PARAGRAPH.finditer(text):
-            if not _CUE.search(text, p.start(), p.end()):
-                continue
-            if p.end() - p.start() <= self._longest:
-                found.add(p.span())
-            for s in _SENTENCE.finditer(text, p.start(), p.end()):
-                if _CUE.search(text, s.start(), s.end()):
-                    found.add(s.span())
+        for s in _SENTENCE.finditer(text):
+            if _CUE.search(text, s.start(), s.end()):
+                found.add(s.span())
         return sorted(found, key=lambda x: (x[0] - x[1], x[0]))  # longest first
 
     def rank(self, block: bytes) -> list[tuple[float, int]]:

@@ -35,7 +35,7 @@ POWER, SEED = 0.9, "mix-1"
 #: How far a sweep's factors may be from 1, at the end and before cells that are over become whole.
 TOLERANCE, ROUGH = 1e-12, 1e-6
 #: Most sweeps of a raking that does not get there; sweeps written at once; most cells that are one partition.
-SWEEPS, AT_ONCE, ONE_PARTITION = 200, 8, 100_000
+SWEEPS, AT_ONCE, ONE_PARTITION = 200, 5, 100_000
 #: The least expected sample, as a share of all tokens.
 BUDGET = 0.75
 NONE = "(none)"
@@ -87,25 +87,22 @@ def filled(df: DataFrame, raw: str, most: str, total: Column) -> DataFrame:
 
 
 def fitted(cells: DataFrame, sweeps: int, tolerance: float) -> tuple[DataFrame, float]:
-    """``cells`` with ``weight`` raked to each margin's ``{margin}_wanted``, and how far the factors of the last sweep were
-    from 1. Cells that are ``whole`` keep their weight; the others share what is left."""
-    free = F.when(F.col("whole"), 0.0).otherwise(F.col("weight"))
-    kept = F.when(F.col("whole"), F.col("weight")).otherwise(0.0)
+    """``cells`` with ``weight`` raked to each margin's ``{margin}_rest``, and how far the factors of the last sweep were from 1."""
     columns, done, error = cells.columns, 0, float("inf")
+    rest = ", ".join(c for c in columns if c != "weight")
+    step = f"SELECT {rest}, weight * coalesce({{margin}}_rest / nullif(sum(weight) OVER (PARTITION BY {{margin}}), 0), 1) AS weight{{more}} FROM ({{source}})"
     while True:
-        for _ in range(min(AT_ONCE, sweeps - done)):
-            for margin in MARGINS:
-                w = Window.partitionBy(margin)
-                rest, now = F.greatest(F.col(f"{margin}_wanted") - F.sum(kept).over(w), F.lit(0.0)), F.sum(free).over(w)
-                factor = F.when(now > 0, rest / now).otherwise(F.lit(1.0))
-                cells = cells.select(*columns, factor.alias(f"{margin}_by"), *[f"{m}_by" for m in MARGINS if m != margin and f"{m}_by" in cells.columns])
-                cells = cells.withColumn("weight", F.when(F.col("whole"), F.col("weight")).otherwise(F.col("weight") * F.col(f"{margin}_by")))
-            done += 1
-        cells = stored(cells.withColumn("error", F.greatest(*[F.abs(F.col(f"{m}_by") - 1) for m in MARGINS])))
+        source, turns = "SELECT * FROM {cells}", min(AT_ONCE, sweeps - done)  # one statement of nested steps, analysed once
+        for turn in range(turns):
+            for k, margin in enumerate(MARGINS):
+                before = ", before" if k else ", weight AS before"
+                source = step.format(margin=margin, source=source, more=before if turn == turns - 1 else "")
+        cells = stored(cells.sparkSession.sql(f"SELECT *, coalesce(abs(weight / nullif(before, 0) - 1), 0) AS error FROM ({source})", cells=cells))
+        done += turns
         seen = cells.agg(F.max("error").alias("e"), F.count("*").alias("n")).first()
-        before, error = error, seen["e"] or 0.0
+        last, error = error, seen["e"] or 0.0
         cells = _few(cells.select(*columns), seen["n"])
-        rounded = before <= error < 1e-9  # no more than rounding is left
+        rounded = last <= error < 1e-9  # no more than rounding is left
         if error <= tolerance or rounded or done >= sweeps:
             return cells, error
 
@@ -125,7 +122,7 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], s
     sums = start.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
     tokens, n = sums["tokens"] or 0.0, sums["n"]
     start = _few(start, n)
-    plain = start.withColumns({f"{m}_wanted": F.col(f"{m}_share") * tokens for m in MARGINS} | {"weight": F.col("tokens"), "whole": F.lit(False)})
+    plain = start.select(*MARGINS, "tokens", *[(F.col(f"{m}_share") * tokens).alias(f"{m}_rest") for m in MARGINS], F.col("tokens").alias("weight"))
     plain, error = fitted(plain, sweeps, ROUGH)
     room = F.min(F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight")))
     if (plain.select(room).first()[0] or 0.0) >= budget:  # the weights sum to all tokens
@@ -133,21 +130,24 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], s
         room = plain.select(room).first()[0]
         _report(error)
         return plain.select(*MARGINS, "tokens", F.least("tokens", F.col("weight") * room).alias("weight"))
-    total, weighted = F.lit(budget * tokens), plain.drop(*[f"{m}_wanted" for m in MARGINS])
+    total, weighted = F.lit(budget * tokens), start
     for margin in MARGINS:
         values = start.groupBy(margin).agg(F.sum("tokens").alias("present"), F.max(f"{margin}_share").alias("share"))
-        wanted = filled(values, "share", "present", total).select(margin, F.col("given").alias(f"{margin}_wanted"))
-        weighted = weighted.join(wanted, margin)
-    weighted, tolerance = _few(stored(weighted.withColumn("weight", F.col("tokens") * budget)), n), ROUGH
+        weighted = weighted.join(filled(values, "share", "present", total).select(margin, F.col("given").alias(f"{margin}_wanted")), margin)
+    columns = [*MARGINS, "tokens", *[f"{m}_wanted" for m in MARGINS]]
+    weighted = _few(stored(weighted.select(*columns, (F.col("tokens") * budget).alias("weight"), F.lit(False).alias("whole"))), n)
+    tolerance = ROUGH
     while True:
-        weighted, error = fitted(weighted, sweeps, tolerance)
-        over = ~F.col("whole") & (F.col("weight") > F.col("tokens") * (1 + 1e-9))
-        if weighted.select(F.bool_or(over)).first()[0]:
-            weighted = _few(stored(weighted.withColumns({"whole": F.col("whole") | over, "weight": F.when(over, F.col("tokens")).otherwise(F.col("weight"))})), n)
-        elif tolerance == TOLERANCE:
+        taken = F.when(F.col("whole"), F.col("tokens")).otherwise(0.0)
+        left = {f"{m}_rest": F.greatest(F.col(f"{m}_wanted") - F.sum(taken).over(Window.partitionBy(m)), F.lit(0.0)) for m in MARGINS}
+        free, error = fitted(weighted.withColumns(left).filter("NOT whole").drop("whole"), sweeps, tolerance)
+        over = F.col("weight") > F.col("tokens") * (1 + 1e-9)
+        done = not free.select(F.bool_or(over)).first()[0]
+        free = free.select(*columns, F.when(over, F.col("tokens")).otherwise(F.col("weight")).alias("weight"), over.alias("whole"))
+        weighted = _few(stored(weighted.filter("whole").unionByName(free)), n)
+        if done and tolerance == TOLERANCE:
             break
-        else:
-            tolerance = TOLERANCE
+        tolerance = TOLERANCE if done else ROUGH
     _report(error)
     return weighted.select(*MARGINS, "tokens", F.least("tokens", "weight").alias("weight"))
 

@@ -531,3 +531,61 @@ def test_language_id_held_out_accuracy(spark):
     right = got.filter("lang IS NOT NULL AND lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.count("*").alias("n")).first()
     print(right)
     assert right["n"] > 200 and right["right"] >= 0.97
+
+
+def least_edits(wanted, words):
+    """Words missing and added of the best place of ``wanted`` in ``words``, by longest common subsequences of all windows."""
+    best = None
+    for i in range(len(words)):
+        row = [0] * (len(wanted) + 1)
+        for j in range(i, min(len(words), i + len(wanted) + len(wanted) // 5 + 1)):
+            new = [0]
+            for k, w in enumerate(wanted):
+                new.append(row[k] + 1 if w == words[j] else max(row[k + 1], new[k]))
+            row = new
+            missing, added = len(wanted) - row[-1], j - i + 1 - row[-1]
+            if missing <= license_scan.MISSING * len(wanted) and added <= license_scan.ADDED * len(wanted) and (best is None or missing + added < sum(best)):
+                best = missing, added
+    return best
+
+
+def test_license_scan_against_all_windows(spark):
+    """Every template, changed in few words, behind a sentence and inside paragraphs of all lengths; and texts with the same words in other orders."""
+    rng = np.random.default_rng(12)
+    rows, planted = [], {}
+    for i in range(4 * len(license_scan.TEMPLATES)):
+        name, text = license_scan.TEMPLATES[i // 4]
+        before, after = int(rng.integers(0, 120)), int(rng.integers(0, 120))
+        wording = text.split()
+        if i % 4 == 1 and len(wording) >= 6:
+            wording.insert(int(rng.integers(1, len(wording))), "indeed")
+        if i % 4 == 2:
+            wording = [w + ("\n" if k % 8 == 7 else "") for k, w in enumerate(wording)]
+        if i % 4 == 3:
+            rng.shuffle(wording)
+        else:
+            planted[i] = name
+        rows.append((i, "One ordinary sentence. " + " ".join(f"before{k}" for k in range(before)) + " " + " ".join(wording) + " " + " ".join(f"after{k}" for k in range(after))))
+    got = defaultdict(list)
+    for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect():
+        got[r["doc_id"]].append(r)
+    for i, text in rows:
+        if i in planted:
+            wanted = license_scan._WORD.findall(license_scan.TEMPLATES[i // 4][1].lower())
+            r = max(got[i], key=lambda r: r["length"])
+            assert r["license"] == planted[i] and r["length"] >= 0.9 * len(license_scan.TEMPLATES[i // 4][1]), text
+            if len(wanted) <= 40 and r["template"] == i // 4:
+                assert (r["words_missing"], r["words_added"]) == least_edits(wanted, license_scan._WORD.findall(text.lower()))
+        elif len(text) < 2000:
+            words = license_scan._WORD.findall(text.lower())
+            fits = {name for name, t in license_scan.TEMPLATES if len(t) < 120 and least_edits(license_scan._WORD.findall(t.lower()), words)}
+            assert {r["license"] for r in got[i]} <= fits
+
+
+def test_license_scan_repeated_rows_ties_and_null_id(spark):
+    text = "Released under the MIT License. Licensed under CC BY 4.0."
+    rows = [(None, text), (1, text), (1, text), (2, "")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["license"]) for r in got) == {(None, "MIT"): 1, (None, "CC-BY-4.0"): 1, (1, "MIT"): 2, (1, "CC-BY-4.0"): 2}
+    twice = (("A", "Licensed under the Same License."), ("B", "Licensed under the Same License."))
+    assert [r["license"] for r in license_scan.scan_licenses(spark.createDataFrame([(1, "Licensed under the Same License.")], "doc_id bigint, text string"), twice).collect()] == ["A"]
