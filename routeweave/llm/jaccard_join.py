@@ -6,27 +6,32 @@
 2. A second pass gives each document its prefix (under that order, as many shingles as a partner must touch), a
    parity bitmap of its set, and hashes of the set and of (size, prefix). Documents with equal sets are one
    *class*; classes with the same size and prefix are one *group*.
-3. Groups that share a prefix shingle meet in that shingle's bucket, and the members of one group in the group's own
-   bucket; buckets are dealt in blocks of bounded size. There, group pairs are filtered by size, members are expanded
-   and compared by bitmap, pairs that pass by a finer one: the bits in which two differ never outnumber the shingles in
-   which the sets differ, so no link is lost. Of a spanning forest of each bucket, one pair of each document is verified
-   on the full sets.
+3. Groups that share a prefix shingle meet in that shingle's buckets, one for each band of sizes, a group standing in its
+   own band and the next: a group without another of a fitting size is left out before its members are expanded, and a
+   hot shingle is split by size. The members of one group meet in the group's own bucket. Buckets are dealt in blocks of
+   bounded size. There, pairs of groups are filtered by size and only the members of those that pass are paired and
+   compared by bitmap, pairs that pass by a finer one: the bits in which two differ never outnumber the shingles in which
+   the sets differ, so no link is lost. Of a spanning forest of each bucket, one pair of each document is verified on the
+   full sets.
 4. Components of the verified links are formed. A pair that could join two of them is spanned by a path of forest pairs
    on which each component is left by a pair that is no link, so only components at such ends are searched again; every pair between two of them is verified,
    and the components are final. Links inside a component change no result and are not listed.
 
-Defined cases: a null text or one without words is linked with nothing; repeated rows have equal sets and are linked;
-an empty table yields no rows; a null doc_id forms no link of its own; extra columns are ignored.
+Defined cases: a null text or one without words is linked with nothing; a very long text is hashed whole, at some 60
+bytes of memory a word, and its whole set is compared; equal rows have equal sets and are linked; rows that repeat a
+doc_id are one document with the greatest of their texts, and all have its component; there are no ties, as nothing is
+ranked; an empty table yields no rows; a null doc_id forms no link of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -42,6 +47,8 @@ BITS, FINE_BITS = 512, 2048
 BLOCK = 2048
 #: Most texts that meet one other text in a part.
 PARTNERS = 64
+#: Pairs of members compared together.
+PAIRS = 1 << 20
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -110,14 +117,25 @@ def signatures(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> D
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_id binary, group_id binary, bitmap binary, fine binary, prefix array<bigint>")
 
 
-def buckets(classes: DataFrame, filled: DataFrame) -> DataFrame:
-    """(bucket, own, gid, size, rep): the members of each group of several, and of all groups that share a prefix shingle; size: of the bucket."""
+def size_band(n: Column, percent: int) -> Column:
+    """Sets whose sizes allow a similarity of ``percent`` % are in the same band or in neighbouring ones."""
+    if percent == 100:
+        return 2 * n  # only equal sizes meet
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9)
+
+
+def buckets(classes: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
+    """(bucket, own, here, gid, size, rep): the members of each group of several, and of all groups that share a prefix shingle and
+    have one of a fitting band of sizes beside them. here: in the group's own band; size: of the bucket."""
     leading = classes.filter("rep = gid").select(F.col("rep").alias("doc_id"), F.col("members").cast("int").alias("members"))
-    first = filled.select("doc_id", "prefix").dropDuplicates(["doc_id"]).join(leading, "doc_id")
-    tokens = first.select(F.explode("prefix").alias("bucket"), F.col("doc_id").alias("gid"), "members")
-    shared = tokens.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("members").alias("size")).filter("groups > 1").select("bucket", "size")
-    by_token = tokens.join(shared, "bucket").select("bucket", F.lit(False).alias("own"), "gid", "size")
-    own = classes.filter("rep = gid AND members > 1").select(F.col("gid").alias("bucket"), F.lit(True), "gid", F.col("members"))
+    first = filled.select("doc_id", "prefix", "n_shingles").join(leading, "doc_id")
+    tokens = first.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("gid"), "members", size_band(F.col("n_shingles"), percent).alias("band"))
+    shared = tokens.groupBy("shingle").agg(F.count("*").alias("groups")).filter("groups > 1").select("shingle")
+    bands = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.lit(True).alias("here")), F.struct(F.lit(1).alias("up"), F.lit(False).alias("here")))).alias("x")
+    met = stored(tokens.join(shared, "shingle").select("shingle", "gid", "members", "band", bands).select(F.xxhash64("shingle", F.col("band") + F.col("x.up")).alias("bucket"), "gid", "members", "x.here"))
+    fitting = met.groupBy("bucket").agg(F.count("*").alias("groups"), F.max("here").alias("any"), F.sum("members").alias("size")).filter("groups > 1 AND any").select("bucket", "size")
+    by_token = met.join(fitting, "bucket").select("bucket", F.lit(False).alias("own"), "here", "gid", "size")
+    own = classes.filter("rep = gid AND members > 1").select(F.col("gid").alias("bucket"), F.lit(True), F.lit(True), "gid", F.col("members"))
     return by_token.union(own).join(classes.select("gid", "rep"), "gid")
 
 
@@ -138,31 +156,54 @@ def candidate_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: b
             parent[x] = x = parent[parent[x]]
         return x
 
-    def pairs_of(part: np.ndarray, group: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndarray, component: np.ndarray | None, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        active = np.arange(len(part))
-        step = 1
+    def steps(part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of places with equal ``part`` (sorted), those at distance 1, 2, ... at once."""
+        active, step = np.arange(len(part)), 1
         while True:
             active = active[active + step < len(part)]
             active = active[part[active] == part[active + step]]
             if not len(active):
-                break
-            i, j = active, active + step
-            ok = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
-            ok &= own[i] | (group[i] != group[j])
+                return
+            yield active, active + step
+            step += 1
+
+    def member_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members in one group's own bucket, and of members of two groups of a bucket that their sizes and bands allow."""
+        part, group, own, here, n = (rows[c] for c in ("part", "gid", "own", "here", "n"))
+        inside = np.flatnonzero(own)
+        for i, j in steps(part[inside]):
+            yield inside[i], inside[j]
+        start = np.flatnonzero(~own & np.concatenate(([True], (part[1:] != part[:-1]) | (group[1:] != group[:-1]) | own[:-1])))
+        if not len(start):
+            return
+        outside = np.flatnonzero(~own)
+        size = np.diff(np.append(np.searchsorted(outside, start), len(outside)))
+        for p, q in steps(part[start]):
+            a, b = start[p], start[q]
+            ok = (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & (here[a] | here[b])
+            p, q = p[ok], q[ok]
+            count = size[p] * size[q]
+            cuts = np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1 if len(p) else []
+            for p, q, count in zip(np.split(p, cuts), np.split(q, cuts), np.split(count, cuts)):
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                width = np.repeat(size[q], count)
+                yield np.repeat(start[p], count) + at // width, np.repeat(start[q], count) + at % width
+
+    def pairs_of(rows: dict[str, np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right, n, rep, component = [], [], rows["n"], rows["rep"], rows.get("component")
+        for i, j in member_pairs(rows):
             if component is not None:
-                ok &= component[i] != component[j]
-            i, j = i[ok], j[ok]
+                ok = component[i] != component[j]
+                i, j = i[ok], j[ok]
             differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             ok = differ * (100 + percent) <= (100 - percent) * (n[i] + n[j])
             left.append(i[ok])
             right.append(j[ok])
-            step += 1
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         if component is None:  # in one order everywhere, so that buckets with the same members choose the same pairs
             order = np.lexsort((np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])))
             i, j = i[order], j[order]
-            parent = list(range(len(part)))
+            parent = list(range(len(rep)))
             keep = []
             for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
                 x, y = find(parent, x), find(parent, y)
@@ -178,9 +219,7 @@ def candidate_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: b
 
         def run(rows: pa.Table) -> pa.RecordBatch:
             bits = np.frombuffer(b"".join(rows["bitmap"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            group = rows["gid"].to_numpy()
-            component = None if forest else rows["component"].to_numpy()
-            a, b = pairs_of(rows["part"].to_numpy(), group, rows["own"].to_numpy(zero_copy_only=False), rows["n"].to_numpy(), bits, component, rows["rep"].to_numpy())
+            a, b = pairs_of({c: rows[c].to_numpy(zero_copy_only=False) if isinstance(rows[c], pa.Array) else rows[c].to_numpy() for c in names}, bits)
             pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - told
             if len(told) < 500_000:
                 told.update(pairs)
@@ -199,8 +238,8 @@ def candidate_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: b
         if held:
             yield run(pa.Table.from_batches(held))
 
-    columns = ["part", "gid", "own", "rep", "n", "bitmap", *([] if forest else ["component"])]
-    rows = _dealt(members).join(sets, "rep").select(*columns).repartition("part").sortWithinPartitions("part", "gid", "rep")
+    names = ["part", "gid", "own", "here", "rep", "n", *([] if forest else ["component"])]
+    rows = _dealt(members).join(sets, "rep").select(*names, "bitmap").repartition("part").sortWithinPartitions("part", "gid", "rep")
     return rows.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
@@ -208,7 +247,7 @@ def finer(pairs: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
     """The pairs that the fine bitmaps allow as well."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     some = rows_in_filter(filled.select("doc_id", "n_shingles", "fine"), "doc_id", hash_filter(wanted, DOC_BITS))
-    held = stored(some.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    held = stored(some.join(wanted, "doc_id", "left_semi"))
 
     def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +282,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], names=["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = rows_in_filter(docs.select("doc_id", "text"), "doc_id", hash_filter(wanted, DOC_BITS)).dropDuplicates(["doc_id"])
+    some = rows_in_filter(docs.select("doc_id", "text"), "doc_id", hash_filter(wanted, DOC_BITS))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     of_b = pairs.join(parts, "a").select(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("k"), "a", "b", F.lit(1).alias("late"), F.col("b").alias("doc_id"))
     of_a = parts.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"), "a", F.col("a").alias("b"), F.lit(0), F.col("a").alias("doc_id"))
@@ -251,16 +290,26 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return rows.repartition("part").sortWithinPartitions("part", "a", "late").mapInArrow(compare, "a bigint, b bigint")
 
 
+def one_of_each_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id) of the ids that rows repeat, and ``docs`` with one row of each of them, that of the greatest text."""
+    repeated = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    greatest = docs.join(repeated, "doc_id").groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("key"), *docs.columns)).alias("x"))
+    return repeated, docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(greatest.select(*[F.col("x")[c].alias(c) for c in docs.columns]))
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document: the smallest doc_id reachable by links of at least ``percent`` % Jaccard similarity of ``width``-word shingle sets."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    signed = stored(signatures(docs, width, percent, frequent_shingles(docs, width)))
-    filled = signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    every = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    repeated, docs = one_of_each_id(every)
+    heavy = frequent_shingles(every, width)
+    signed = stored(signatures(every, width, percent, heavy))
+    chosen = stored(signatures(docs.join(repeated, "doc_id", "left_semi"), width, percent, heavy))  # the greatest texts of repeated ids
+    filled = signed.join(repeated, "doc_id", "left_anti").unionByName(chosen).filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
     reps = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("group_id").alias("group_id"))
     groups = reps.groupBy("group_id").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
     classes = stored(reps.join(groups, "group_id").select("set_id", "rep", "gid", "members"))
-    sets = filled.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bitmap").dropDuplicates(["rep"])
-    members = stored(buckets(classes, filled))
+    sets = filled.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bitmap")
+    members = stored(buckets(classes, filled, percent))
     tried = stored(candidate_pairs(members, sets, percent, forest=True))
     likely = finer(tried, filled, percent)
     first = stored(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # one partner each; the others follow if they still matter
@@ -280,5 +329,6 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         links = stored(links.union(verify(more, docs, width, percent)))
         found = connected_components(links)
     named = classes.select("set_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    by_id = chosen.join(named, "set_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("of_id"))
+    out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").join(by_id, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", "component", "doc_id")).alias("component_id"))

@@ -589,3 +589,32 @@ def test_license_scan_repeated_rows_ties_and_null_id(spark):
     assert Counter((r["doc_id"], r["license"]) for r in got) == {(None, "MIT"): 1, (None, "CC-BY-4.0"): 1, (1, "MIT"): 2, (1, "CC-BY-4.0"): 2}
     twice = (("A", "Licensed under the Same License."), ("B", "Licensed under the Same License."))
     assert [r["license"] for r in license_scan.scan_licenses(spark.createDataFrame([(1, "Licensed under the Same License.")], "doc_id bigint, text string"), twice).collect()] == ["A"]
+
+
+def test_jaccard_join_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, a), (3, a), (7, b), (7, a), (8, b), (9, None), (9, ""), (10, None), (10, b)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted([(5, 38, 3), (5, 38, 3), (3, 38, 3), (7, 38, 7), (7, 38, 7), (8, 38, 7), (9, 0, 9), (9, 0, 9), (10, 0, 7), (10, 38, 7)])
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_size_bands_part_no_fitting_sizes(spark, percent):
+    rows = spark.range(1, 700).select(F.col("id").alias("n"), jaccard_join.size_band(F.col("id"), percent).cast("bigint").alias("band")).collect()
+    band = {r["n"]: r["band"] for r in rows}
+    assert all(abs(band[x] - band[y]) <= 1 for x in band for y in range(x, min(699, 100 * x // percent) + 1))
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 5])
+def test_jaccard_join_groups_of_one_prefix(spark, monkeypatch, pairs):
+    """Texts that differ in their last words only, so that many share size and prefix, beside groups of near sizes."""
+    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(160):
+        w = [f"t{i % 4}w{k}" for k in range(90 + i % 7)]
+        for k in rng.integers(0, len(w), i % 3):
+            w[k] = f"y{rng.integers(0, 3)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 3, 80)
