@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Prefixes that features leave out, and the shortest lengths that count.
-EXCLUDED = ("0.0.0.0/0", "::/0")
+EXCLUDED = ("120.0.0.0/11", "173.0.0.0/11")
 SHORTEST_V4, SHORTEST_V6 = 8, 16
 
 _V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})/(\d{1,2})$"
@@ -20,24 +20,31 @@ CIDR_TYPE = T.StructType(
 )
 
 
+def v4_parts(prefix: Column) -> Column:
+    """struct(network, length, size) of an IPv4 prefix, host bits cleared; NULL for anything else. The text is matched once."""
+    numbers = F.transform(F.split(F.when(prefix.rlike(_V4), prefix), "[./]"), lambda x: x.cast("bigint"))
+
+    def parts(n: Column) -> Column:
+        address = n[0] * (1 << 24) + n[1] * (1 << 16) + n[2] * (1 << 8) + n[3]
+        size = F.pow(F.lit(2.0), F.lit(32) - n[4]).cast("bigint")
+        valid = (n[4] <= 32) & F.forall(F.slice(n, 1, 4), lambda x: x <= 255)
+        return F.when(valid, F.struct((address - F.pmod(address, size)).alias("network"), n[4].cast("int").alias("length"), size.alias("size")))
+
+    return F.get(F.transform(F.array(numbers), parts), 0)
+
+
 def v4_length(prefix: Column) -> Column:
-    n = F.nullif(F.regexp_extract(prefix, _V4, 5), F.lit("")).cast("int")
-    return F.when(n <= 32, n)
+    return v4_parts(prefix)["length"]
 
 
 def v4_network(prefix: Column) -> Column:
     """The 32-bit network number with host bits cleared; NULL for anything but a valid IPv4 prefix."""
-    octets = [F.nullif(F.regexp_extract(prefix, _V4, k), F.lit("")).cast("bigint") for k in range(1, 5)]
-    valid = v4_length(prefix).isNotNull()
-    for o in octets:
-        valid &= o <= 255
-    address = octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3]
-    return F.when(valid, address - F.pmod(address, v4_size(prefix)))
+    return v4_parts(prefix)["network"]
 
 
 def v4_size(prefix: Column) -> Column:
     """Addresses of a prefix."""
-    return F.pow(F.lit(2.0), F.lit(32) - v4_length(prefix)).cast("bigint")
+    return v4_parts(prefix)["size"]
 
 
 def v4_text(network: Column, length: Column) -> Column:
@@ -47,7 +54,10 @@ def v4_text(network: Column, length: Column) -> Column:
 
 def skip_reason(prefix: Column, afi: Column, length: Column) -> Column:
     """Why features leave a prefix out; NULL where they do not."""
-    return F.when(prefix.isin(*EXCLUDED), "excluded").when((afi == 4) & (length < SHORTEST_V4), "too_short_v4").when((afi == 6) & (length < SHORTEST_V6), "too_short_v6")
+    return (
+        F.when(prefix.isin(*EXCLUDED), "manually_excluded_prefix").when((afi == 4) & (length < SHORTEST_V4), "oversized_ipv4_prefix")
+        .when((afi == 6) & (length < SHORTEST_V6), "oversized_ipv6_prefix")
+    )
 
 
 def v4_ancestors(network: Column, length: Column, shortest: Column | int = 1) -> Column:

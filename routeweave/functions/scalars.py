@@ -178,14 +178,15 @@ def hijack_severity(sites: Column, servers: Column, important: Column) -> Column
     return F.when((sites > 30) | (servers > 15) | important, "high").when((sites > 0) | (servers > 0), "middle").otherwise("low")
 
 
-def as_outage_level(important: Column, total: Column, down: Column) -> Column:
-    """high for an important AS with over 10 prefixes; middle for over 500 prefixes of which half are down."""
-    return F.when(important & (total > 10), "high").when((total > 500) & (2 * down >= total), "middle").otherwise("low")
+def as_outage_level(important: Column, total: Column, peak_ratio: Column) -> Column:
+    """high for an important AS with over 10 prefixes; middle for over 500 prefixes of which over 0.3 were down at the peak."""
+    return F.when(important & (total > 10), "high").when((total > 500) & (peak_ratio > 0.3), "middle").otherwise("low")
 
 
 def country_outage_level(total: Column, down: Column) -> Column:
+    """high from 0.075 of at least 100 ASes, five or more; middle from 0.05 and below 0.075; all else is low."""
     ratio = down / total
-    return F.when((ratio >= 0.075) & (total >= 100) & (down >= 5), "high").when(ratio >= 0.05, "middle").otherwise("low")
+    return F.when((ratio >= 0.075) & (total >= 100) & (down >= 5), "high").when((ratio >= 0.05) & (ratio < 0.075), "middle").otherwise("low")
 
 
 def phase_status(paths: Column, applicable: Column, retained: Column, collision: Column) -> Column:

@@ -85,10 +85,26 @@ def nodes_and_links(edges: DataFrame, group: str, affected: DataFrame) -> DataFr
     return counted.join(edges.groupBy(group).agg(F.count("*").alias("n_links")), group)
 
 
-def pattern_features(df: DataFrame, keys: Sequence[str], slot: str, value: str) -> DataFrame:
-    """Total variation, net change and turns of a series, and its class."""
+def pattern_features(df: DataFrame, keys: Sequence[str], slot: str, ratio: str, denominator: str, directional: float = 2.0, abrupt: float = 8.0) -> DataFrame:
+    """Features of a ratio series in percentage points, and the class they give: ``directional`` points are a move, ``abrupt`` ones
+    a drop. Classes by precedence: small_denominator below 10, plateau, oscillation, multi_wave from two drops, one of three
+    single waves, mixed with another drop, else unmatched."""
     w = Window.partitionBy(*keys).orderBy(slot)
-    moved = df.withColumn("d", F.col(value) - F.lag(value).over(w)).filter("d <> 0").withColumn("turn", F.when(F.signum("d") != F.lag(F.signum("d")).over(w), 1).otherwise(0))
-    out = moved.groupBy(*keys).agg(F.sum(F.abs("d")).alias("variation"), F.sum("d").alias("net"), F.sum("turn").alias("turns"))
-    kind = F.when(F.col("turns") == 0, "single_wave").when(F.abs("net") * 4 < F.col("variation"), "oscillation").otherwise("multi_wave")
-    return out.withColumn("pattern", kind)
+    rows = df.withColumn("d", F.round((F.col(ratio) - F.lag(ratio).over(w)) * 100, 9))
+    rows = rows.withColumn("sign", F.when(F.abs("d") >= directional, F.signum("d")))
+    before = F.last("sign", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("turn", F.when(F.col("sign") != before, 1))
+    out = rows.groupBy(*keys).agg(
+        F.max(denominator).alias("denominator"), F.round((F.max(ratio) - F.min(ratio)) * 100, 6).alias("range_points"), F.round(F.coalesce(F.sum(F.abs("d")), F.lit(0.0)), 6).alias("variation"),
+        F.count("sign").alias("moves"), F.count("turn").alias("turns"), F.count_if(F.col("d") <= -abrupt).alias("drops"), F.min_by(slot, F.struct(ratio, slot)).alias("extreme_slot"),
+        F.min(F.when(F.col("d") >= directional, F.col(slot))).alias("first_rise"), F.min_by(ratio, slot).alias("start"), F.max_by(ratio, slot).alias("end"), F.max(slot).alias("last_slot"), F.min(ratio).alias("least"),
+    )
+    share = F.when(F.col("moves") > 1, F.col("turns") / (F.col("moves") - 1)).otherwise(0.0)
+    single = (F.col("drops") == 1) & (F.col("first_rise").isNull() | (F.col("first_rise") > F.col("extreme_slot"))) & (F.col("extreme_slot") < F.col("last_slot")) & (F.col("end") > F.col("least"))
+    ends = F.when(F.col("end") < F.col("start"), "single_wave_partial_rebound").when(F.col("end") == F.col("start"), "single_wave_return_to_window_start").otherwise("single_wave_above_window_start")
+    kind = (
+        F.when(F.col("denominator") < 10, "small_denominator").when((F.col("range_points") <= 2) & (F.col("variation") <= 10), "plateau")
+        .when((F.col("moves") >= 8) & (share >= 0.8) & (F.col("variation") >= 50), "oscillation").when(F.col("drops") >= 2, "multi_wave").when(single, ends)
+        .when(F.col("drops") > 0, "mixed").otherwise("unmatched")
+    )
+    return out.select(*keys, "denominator", "range_points", "variation", "moves", "turns", "drops", "extreme_slot", kind.alias("pattern"))

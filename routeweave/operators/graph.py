@@ -9,7 +9,9 @@ from ..functions.scalars import is_private_asn
 
 
 def adjacency(paths: DataFrame, path: str = "as_path") -> DataFrame:
-    """Undirected (low, high, n_paths) edges between neighbouring public hops of paths; a repeated hop is no edge."""
+    """Undirected (low, high, n_paths) edges between neighbouring public hops of paths; a repeated hop is no edge, and a path
+    with an AS set has none."""
+    paths = paths.filter(~F.contains(F.col(path), F.lit("{")))
     public = F.filter(F.split(F.col(path), " "), lambda h: ~is_private_asn(h))
     hops = F.transform(public, lambda h: h.try_cast("bigint"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(F.get("h", i).alias("a"), F.get("h", i + 1).alias("b")))

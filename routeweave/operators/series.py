@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,13 +59,27 @@ def slot_states(df: DataFrame, keys: Sequence[str], slot: str, ratio: str) -> Da
     return df.withColumn("slot_state", state)
 
 
-def curve_shape(df: DataFrame, keys: Sequence[str], slot: str, value: str) -> DataFrame:
-    """Directions of a series as text, runs of one direction written once."""
-    rows = deltas(df, keys, slot, value).filter("delta IS NOT NULL").withColumn("direction", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").otherwise("flat"))
+def curve_shape(df: DataFrame, keys: Sequence[str], slot: str, ratio: str, threshold: float = 0.02) -> DataFrame:
+    """Directions of a ratio series as text, runs of one direction written once: RECOVERING and DEGRADING from a change of
+    ``threshold``, else STABLE; a series of one slot is STABLE."""
+    rows = deltas(df, keys, slot, ratio).withColumn("direction", F.when(F.col("delta") <= -threshold, "DEGRADING").when(F.col("delta") >= threshold, "RECOVERING").when(F.col("delta").isNotNull(), "STABLE"))
     w = Window.partitionBy(*keys).orderBy(slot)
-    changes = rows.withColumn("prior", F.lag("direction").over(w)).filter(~F.col("prior").eqNullSafe(F.col("direction")))
-    listed = changes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(slot, "direction"))).alias("x"))
-    return listed.select(*keys, F.array_join(F.transform("x", lambda s: s["direction"]), ">").alias("shape"), F.size("x").cast("bigint").alias("n_phases"))
+    changes = rows.withColumn("prior", F.lag("direction").over(w)).withColumn("fresh", F.col("direction").isNotNull() & ~F.col("prior").eqNullSafe(F.col("direction")))
+    listed = changes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("fresh"), F.struct(slot, "direction")))).alias("x"))
+    shape = F.array_join(F.transform("x", lambda s: s["direction"]), "→")
+    return listed.select(*keys, F.when(F.size("x") > 0, shape).otherwise("STABLE").alias("shape"), F.greatest(F.size("x"), F.lit(1)).cast("bigint").alias("n_phases"))
+
+
+def percentile_of(df: DataFrame, value: str, name: str, buckets: int = 4096) -> DataFrame:
+    """The share of rows at or below each row's value. Values are ranked inside equal-width buckets, and the buckets, at most
+    ``buckets`` + 1 rows, among each other."""
+    seen = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n")).first()
+    width = ((seen["high"] or 0) - (seen["low"] or 0)) / buckets or 1
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n")).withColumn("__bucket", F.floor((F.col(value) - seen["low"]) / width) if seen["n"] else F.lit(0))
+    sums = counts.groupBy("__bucket").agg(F.sum("__n").alias("__size"))
+    before = sums.select("__bucket", F.coalesce(F.sum("__size").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = counts.withColumn("__own", F.sum("__n").over(Window.partitionBy("__bucket").orderBy(value))).join(before, "__bucket")
+    return df.join(ranked.select(value, ((F.col("__own") + F.col("__before")) / max(seen["n"], 1)).alias(name)), value, "left")
 
 
 def median_band(df: DataFrame, keys: Sequence[str], value: str, least_half_width: float = 0.001) -> DataFrame:
@@ -83,66 +98,97 @@ def stable_baseline(df: DataFrame, keys: Sequence[str], at: str, value: str, sta
     return best.select(*keys, "hours", F.when(F.col("hours").isNotNull(), F.col("x.median")).alias("median"), F.when(F.col("hours").isNotNull(), F.col("x.mad")).alias("mad"), F.when(F.col("hours").isNull(), "unstable").alias("reason"))
 
 
-def outlier_band(df: DataFrame, keys: Sequence[str], at: str, value: str, days: int = 3, least: int = 3) -> DataFrame:
-    """Mean and three standard deviations, widened by 1.2 and 0.8, of the earlier samples of ``days`` days that were no outliers
-    themselves. Whether a sample counts depends on verdicts before it, so each key is one ordered pass (grouped map)."""
+def outlier_band(df: DataFrame, keys: Sequence[str], at: str, value: str, days: int = 3, least: int = 5, first: int = 7) -> DataFrame:
+    """The band in which a sample is normal: mean and three standard deviations of the earlier normal samples of ``days`` days,
+    widened by 1.2 and 0.8 and cut to integers. It moves with more than ``least`` such samples, or, with the present one, before
+    the ``first``-th; and only when the list has not become shorter. A sample outside is an outlier and no normal one.
+
+    Whether a sample counts depends on the verdicts before it, so each key is one ordered pass (grouped map); a key's series
+    must fit in a task, and its window of ``days`` days is summed anew for each sample.
+    """
 
     def band(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable")
         kept: list[tuple[int, float]] = []
-        rows = []
-        for t, v in zip(pdf[at], pdf[value]):
-            kept = [x for x in kept if x[0] >= t - days * 86400]
-            low = high = None
-            outlier = False
-            if len(kept) >= least:
-                s = pd.Series([x[1] for x in kept])
-                high, low = (s.mean() + 3 * s.std(ddof=0)) * 1.2, (s.mean() - 3 * s.std(ddof=0)) * 0.8
-                outlier = not low <= v <= high
+        rows, low, high, length = [], None, None, 0
+        for place, (t, v) in enumerate(zip(pdf[at], pdf[value]), 1):
+            normal = [x for _, x in kept]
+            if len(normal) <= least:
+                normal = [*normal, v] if place < first else []
+            if normal and len(normal) >= length:
+                mean, std = np.mean(normal), np.std(normal)
+                length, high, low = len(normal), int((mean + 3 * std) * 1.2), int((mean - 3 * std) * 0.8)
+            outlier = high is not None and not low <= v <= high
             if not outlier:
                 kept.append((t, v))
+            kept = [x for x in kept if x[0] >= t - days * 86400]
             rows.append((low, high, outlier))
-        return pdf.assign(low=[r[0] for r in rows], high=[r[1] for r in rows], outlier=[r[2] for r in rows])
+        return pdf.assign(low=pd.array([r[0] for r in rows], "Int64"), high=pd.array([r[1] for r in rows], "Int64"), outlier=[r[2] for r in rows])
 
     types = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in (*keys, at, value)), "low double, high double, outlier boolean"])
+    schema = ", ".join([*(f"{c} {types[c]}" for c in (*keys, at, value)), "low bigint, high bigint, outlier boolean"])
     return df.select(*keys, at, value).groupBy(*keys).applyInPandas(band, schema)
 
 
-def episodes(df: DataFrame, keys: Sequence[str], slot: str, ratio: str, low: float = 0.97, back: float = 0.99, onset: int = 2, recovery: int = 6) -> DataFrame:
-    """Episodes of a ratio series: ``onset`` slots below ``low`` open one at the first of them, ``recovery`` slots at or above
-    ``back`` close it at the first of them; a missing value ends it as unknown; one still open at the end is a lower bound."""
+def episodes(df: DataFrame, keys: Sequence[str], slot: str, visible: str, damaged: str | None = None, step: int = 300, low: float = 0.99, above: float = 0.03, band: float = 0.001, onset: int = 2, recovery: int = 6) -> DataFrame:
+    """Episodes of a series of visible shares of a baseline, and shares of damaged ASes.
+
+    A slot is anomalous if the visible share is below ``low`` or the damaged one over ``above``, unknown if neither is and one
+    is missing. ``onset`` anomalous slots in a row open an episode at the first of them. ``recovery`` slots in a row at ``low``
+    or more are a partial recovery (at the end of the last), ``recovery`` slots within ``band`` of the baseline and not anomalous
+    a full one, which closes the episode at the first of them. A missing share starts both counts anew. A gap in the slots ends an
+    episode as unknown; one still open at the end has a lower bound for its duration. Each key is one ordered pass (grouped map).
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(slot, kind="stable")
-        out, open_at, trough, trough_at, bad, good = [], None, None, None, [], []
-        head = {k: pdf[k].iloc[0] for k in keys}
-
-        def close(end, state):
-            out.append({**head, "start_slot": open_at, "end_slot": end, "trough": trough, "trough_slot": trough_at, "end_state": state})
-
-        for t, v in zip(pdf[slot], pdf[ratio]):
-            if pd.isna(v):
-                if open_at is not None:
-                    close(t, "unknown")
-                open_at, bad, good = None, [], []
+        head, out, active, pending, before = {k: pdf[k].iloc[0] for k in keys}, [], None, [], None
+
+        def close(end: int | None, state: str, duration: str) -> None:
+            out.append({**head, **{c: active[c] for c in ("start_slot", "trough", "trough_slot", "peak", "partial_at")}, "end_slot": end, "recovery_state": state, "duration_state": duration})
+
+        damages = pdf[damaged] if damaged else [0.0] * len(pdf)
+        for t, v, d in zip(pdf[slot], pdf[visible], damages):
+            gap, before = before is not None and t != before + step, t
+            if gap:
+                pending = []
+                if active:
+                    close(None, "unknown", "unknown")
+                active = None
                 continue
-            if open_at is None:
-                bad = [*bad, (t, v)] if v < low else []
-                if len(bad) >= onset:
-                    open_at, good = bad[0][0], []
-                    trough, trough_at = min((y, x) for x, y in bad)
+            known = not (pd.isna(v) or pd.isna(d))
+            bad = (not pd.isna(v) and v < low) or (not pd.isna(d) and d > above)
+            if active is None:
+                pending = [*pending, (t, v, d)] if bad else []
+                if len(pending) < onset:
+                    continue
+                active = {"start_slot": pending[0][0], "trough": None, "trough_slot": None, "peak": None, "partial_at": None, "partial": 0, "full": 0, "last": None}
+                seen, pending = pending, []
             else:
-                if v < trough:
-                    trough, trough_at = v, t
-                good = [*good, t] if v >= back else []
-                if len(good) >= recovery:
-                    close(good[0], "recovered")
-                    open_at, bad, good = None, [], []
-        if open_at is not None:
-            close(None, "lower_bound")
-        return pd.DataFrame(out, columns=[*keys, "start_slot", "end_slot", "trough", "trough_slot", "end_state"])
+                seen = [(t, v, d)]
+            for u, x, y in seen:
+                if not pd.isna(x) and (active["trough"] is None or x < active["trough"]):
+                    active["trough"], active["trough_slot"] = x, u
+                if not pd.isna(y) and (active["peak"] is None or y > active["peak"]):
+                    active["peak"] = y
+                active["last"] = x
+            if len(seen) > 1:
+                continue
+            active["partial"] = active["partial"] + 1 if not pd.isna(v) and v >= low else 0
+            active["full"] = active["full"] + 1 if known and not bad and abs(v - 1) <= band else 0
+            if active["partial"] >= recovery and active["partial_at"] is None:
+                active["partial_at"] = t + step
+            if active["full"] >= recovery:
+                close(t - (recovery - 1) * step, "fully_recovered", "exact")
+                active = None
+        if active:
+            last = active["last"]
+            risen = not pd.isna(last) and active["trough"] is not None and last > active["trough"]
+            close(None, "partially_recovered" if active["partial"] >= recovery else "recovering" if risen else "ongoing", "lower_bound")
+        columns = [*keys, "start_slot", "end_slot", "trough", "trough_slot", "peak", "partial_at", "recovery_state", "duration_state"]
+        found = pd.DataFrame(out, columns=columns)
+        return found.astype({c: "Int64" for c in ("start_slot", "end_slot", "trough_slot", "partial_at")})
 
     types = dict(df.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "start_slot bigint, end_slot bigint, trough double, trough_slot bigint, end_state string"])
-    return df.select(*keys, slot, ratio).groupBy(*keys).applyInPandas(one, schema)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "start_slot bigint, end_slot bigint, trough double, trough_slot bigint, peak double, partial_at bigint, recovery_state string, duration_state string"])
+    return df.select(*keys, slot, visible, *([damaged] if damaged else [])).groupBy(*keys).applyInPandas(one, schema)

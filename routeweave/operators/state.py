@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import runs_of
+from ..functions.scalars import collapse_prepends
+from .joins import relation_of
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -111,15 +112,21 @@ def moas_events(events: DataFrame, keys: Sequence[str], order: Sequence[str], at
     return rows.groupBy(*keys, "number").agg(F.min(at).alias("start_at"), F.max_by("after", F.struct(*order)).alias("end_at"), F.max("origins").alias("most_origins"))
 
 
-def leak_triplets(paths: DataFrame, relations: DataFrame, path: str, carry: Sequence[str]) -> DataFrame:
-    """Valleys: (first, second, third) neighbours of a path longer than three hops where the second gets the route from a
-    provider and gives it to another. ``relations``: (provider, customer)."""
-    hops = F.split(F.col(path), " ")
-    rows = paths.select(*carry, hops.alias("h")).filter(F.size("h") > 3)
-    rows = rows.select(*carry, F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - 3), lambda i: F.struct(i.alias("position"), F.get("h", i).alias("first_as"), F.get("h", i + 1).alias("second_as"), F.get("h", i + 2).alias("third_as")))).alias("t")).select(*carry, "t.*")
-    one = relations.select(F.col("provider").alias("first_as"), F.col("customer").alias("second_as")).distinct()
-    two = relations.select(F.col("provider").alias("third_as"), F.col("customer").alias("second_as")).distinct()
-    return rows.filter("first_as <> third_as").join(one, ["first_as", "second_as"]).join(two, ["third_as", "second_as"])
+def leak_triplets(paths: DataFrame, edges: DataFrame, known: DataFrame, path: str, prefix: Sequence[str], order: Sequence[str], skip: float = 0.2) -> DataFrame:
+    """The first leak of each prefix: neighbours (first, second, third) on a path read from its origin, where the second has the
+    route from one provider and gives it to another. Repeated hops are one; paths with an AS set, or of at most three hops, have
+    none; ``edges`` (a, b, rel) are read with the precedence of ``relation_of``, and triplets with a stability of at least
+    ``skip`` in ``known`` (first_as, second_as, third_as, stability) are passed over."""
+    rows = paths.filter(~F.contains(F.col(path), F.lit("{"))).select(*prefix, *order, collapse_prepends(F.split(F.col(path), " ")).alias("h")).filter(F.size("h") > 3)
+    triplet = lambda i: F.struct((F.size("h") - 1 - i).alias("from_origin"), F.get("h", i).alias("first_as"), F.get("h", i - 1).alias("second_as"), F.get("h", i - 2).alias("third_as"))
+    rows = rows.select(*prefix, *order, F.explode(F.transform(F.sequence(F.lit(2), F.size("h") - 1), triplet)).alias("__t")).select(*prefix, *order, "__t.*")
+    asked = rows.select(F.col("first_as").alias("a"), F.col("second_as").alias("b")).union(rows.select("third_as", "second_as")).distinct()
+    provider = relation_of(asked, edges).filter("relation = 'provider_customer'")
+    rows = rows.join(provider.select(F.col("a").alias("first_as"), F.col("b").alias("second_as")), ["first_as", "second_as"])
+    rows = rows.join(provider.select(F.col("a").alias("third_as"), F.col("b").alias("second_as")), ["third_as", "second_as"])
+    rows = rows.join(known, ["first_as", "second_as", "third_as"], "left").filter(F.coalesce("stability", F.lit(0.0)) < skip)
+    found = F.struct(*order, "from_origin", "first_as", "second_as", "third_as")
+    return rows.groupBy(*prefix).agg(F.min(found).alias("x")).select(*prefix, "x.*")
 
 
 def with_gaps(slots: DataFrame, gaps: DataFrame, keys: Sequence[str], slot: str, values: Sequence[str]) -> DataFrame:
@@ -129,7 +136,3 @@ def with_gaps(slots: DataFrame, gaps: DataFrame, keys: Sequence[str], slot: str,
     known = F.col("gap_from").isNull() | (F.col(slot) < F.col("gap_from"))
     out = joined.withColumns({v: F.when(known, F.col(v)) for v in values})
     return out.withColumn("reason", F.when(~known, "input_gap")).drop("gap_from")
-
-
-def state_runs(df: DataFrame, subject: Sequence[str], at: str, state: str) -> DataFrame:
-    return runs_of(df, subject, at, state)

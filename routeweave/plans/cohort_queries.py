@@ -124,12 +124,24 @@ def nodes_and_links(spark, sf_dir):
 
 @query(
     "pattern_features",
-    f"""WITH {DAILY}, x AS (SELECT *, v - lag(v) OVER (PARTITION BY asn ORDER BY slot) AS d FROM d), m AS (SELECT *, (sign(d) <> lag(sign(d)) OVER (PARTITION BY asn ORDER BY slot))::INT AS turn FROM x WHERE d <> 0),
-f AS (SELECT asn, sum(abs(d)) AS variation, sum(d) AS net, CAST(sum(coalesce(turn, 0)) AS BIGINT) AS turns FROM m GROUP BY asn)
-SELECT *, CASE WHEN turns = 0 THEN 'single_wave' WHEN abs(net) * 4 < variation THEN 'oscillation' ELSE 'multi_wave' END AS pattern FROM f""",
+    f"""WITH {DAILY}, m AS (SELECT asn, slot, v / max(v) OVER (PARTITION BY asn) AS r, max(v) OVER (PARTITION BY asn) AS den FROM d),
+x AS (SELECT *, round((r - lag(r) OVER (PARTITION BY asn ORDER BY slot)) * 100, 9) AS d FROM m),
+moves AS (SELECT asn, slot, sign(d) AS s, lag(sign(d)) OVER (PARTITION BY asn ORDER BY slot) AS before FROM x WHERE abs(d) >= 2),
+mv AS (SELECT asn, count(*) AS moves, count(*) FILTER (s <> before) AS turns, min(slot) FILTER (s > 0) AS first_rise FROM moves GROUP BY asn),
+f AS (SELECT asn, max(den) AS denominator, round((max(r) - min(r)) * 100, 6) AS range_points, round(coalesce(sum(abs(d)), 0), 6) AS variation, count(*) FILTER (d <= -8) AS drops,
+  arg_min(slot, (r, slot)) AS extreme_slot, arg_min(r, slot) AS first_r, arg_max(r, slot) AS last_r, max(slot) AS last_slot, min(r) AS least FROM x GROUP BY asn),
+g AS (SELECT f.*, coalesce(moves, 0) AS moves, coalesce(turns, 0) AS turns, first_rise FROM f LEFT JOIN mv USING (asn))
+SELECT asn, denominator, range_points, variation, moves, turns, drops, extreme_slot,
+  CASE WHEN denominator < 10 THEN 'small_denominator' WHEN range_points <= 2 AND variation <= 10 THEN 'plateau'
+       WHEN moves >= 8 AND turns / (moves - 1) >= 0.8 AND variation >= 50 THEN 'oscillation' WHEN drops >= 2 THEN 'multi_wave'
+       WHEN drops = 1 AND (first_rise IS NULL OR first_rise > extreme_slot) AND extreme_slot < last_slot AND last_r > least
+         THEN CASE WHEN last_r < first_r THEN 'single_wave_partial_rebound' WHEN last_r = first_r THEN 'single_wave_return_to_window_start' ELSE 'single_wave_above_window_start' END
+       WHEN drops > 0 THEN 'mixed' ELSE 'unmatched' END AS pattern FROM g""",
 )
 def pattern_features(spark, sf_dir):
-    return cohorts.pattern_features(daily(spark, sf_dir), ["asn"], "slot", "v")
+    d = daily(spark, sf_dir)
+    shares = d.join(d.groupBy("asn").agg(F.max("v").alias("most")), "asn").select("asn", "slot", (F.col("v") / F.col("most")).alias("ratio"), "most")
+    return cohorts.pattern_features(shares, ["asn"], "slot", "ratio", "most")
 
 
 @query("early_drop", f"WITH {B.ROUTE_SQL} SELECT origin, count(*) AS n FROM route WHERE origin IS NOT NULL AND origin - 3000 NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) GROUP BY origin")

@@ -184,10 +184,10 @@ def set_difference(spark, sf_dir):
     return E.set_compare(o.filter("level = 'high'"), o.filter("end_s IS NULL"), ["asn"])
 
 
-@query("union_distinct_edges", "SELECT l_suppkey AS a, l_partkey % 50 AS b FROM lineitem WHERE l_suppkey % 10 = 3 UNION SELECT l_suppkey, l_partkey % 50 FROM lineitem WHERE l_partkey % 50 = 7")
+@query("union_distinct_edges", "SELECT l_suppkey AS a, l_partkey % 50 AS b FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_suppkey, l_partkey % 50 FROM lineitem WHERE l_linestatus = 'O'")
 def union_distinct_edges(spark, sf_dir):
-    rows = B.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 50).alias("b"))
-    return rows.filter("a % 10 = 3").union(rows.filter("b = 7")).distinct()
+    rows, edge = B.read(spark, sf_dir, "lineitem"), (F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 50).alias("b"))
+    return rows.filter("l_returnflag = 'R'").select(*edge).union(rows.filter("l_linestatus = 'O'").select(*edge)).distinct()
 
 
 @query(
@@ -204,15 +204,13 @@ def enriched_asns(spark, sf_dir):
     "relation_lookup",
     """WITH rel AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b, CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE -1 END AS rel FROM lineitem),
 mirrored AS (SELECT a, b, rel FROM rel UNION ALL SELECT b, a, -rel FROM rel), ranked AS (SELECT a, b, min(CASE rel WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END) AS p FROM mirrored GROUP BY a, b)
-SELECT s_suppkey AS a, p_partkey % 100 AS b, CASE min(p) WHEN 0 THEN 'peer' WHEN 1 THEN 'customer_provider' WHEN 2 THEN 'provider_customer' ELSE 'none' END AS relation
-FROM supplier CROSS JOIN (SELECT DISTINCT p_partkey % 100 AS p_partkey FROM part WHERE p_size = 5) LEFT JOIN ranked ON a = s_suppkey AND b = p_partkey % 100 WHERE s_suppkey % 5 = 0 GROUP BY ALL""",
+SELECT s_suppkey AS a, p_partkey AS b, CASE min(p) WHEN 0 THEN 'peer' WHEN 1 THEN 'customer_provider' WHEN 2 THEN 'provider_customer' ELSE 'none' END AS relation
+FROM (SELECT DISTINCT ps_a AS s_suppkey, ps_b AS p_partkey FROM (SELECT l_suppkey AS ps_a, l_orderkey % 100 AS ps_b FROM lineitem)) LEFT JOIN ranked ON a = s_suppkey AND b = p_partkey GROUP BY ALL""",
 )
 def relation_lookup(spark, sf_dir):
     i = B.read(spark, sf_dir, "lineitem")
     rel = i.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"), F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(-1).alias("rel")).distinct()
-    wanted = B.read(spark, sf_dir, "part").filter("p_size = 5").select((F.col("p_partkey") % 100).alias("b")).distinct()
-    # every fifth supplier asks for all of at most 100 numbers
-    asked = B.read(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))).alias("b")).join(wanted, "b")
+    asked = i.select(F.col("l_suppkey").alias("a"), (F.col("l_orderkey") % 100).alias("b")).distinct()
     from ..operators.joins import relation_of
 
     return relation_of(asked, rel)

@@ -71,10 +71,10 @@ def mapping_freeze(spark, sf_dir):
 
 @query(
     "claim_reconciliation",
-    "WITH t AS (SELECT l_orderkey AS event_id, round(sum(l_extendedprice), 2) AS actual FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), c AS (SELECT o_orderkey AS event_id, o_totalprice AS claimed FROM orders) SELECT event_id, claimed, actual, CASE WHEN actual IS NULL THEN 'unverifiable' WHEN abs(claimed - actual) <= 50000 THEN 'confirmed' ELSE 'revised' END AS verdict FROM c LEFT JOIN t USING (event_id)",
+    "WITH t AS (SELECT l_orderkey AS event_id, round(sum(l_extendedprice), 2) AS actual FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), c AS (SELECT o_orderkey AS event_id, o_totalprice AS claimed FROM orders) SELECT event_id, claimed, actual, CASE WHEN actual IS NULL THEN 'unverifiable' WHEN abs(claimed - actual) <= 50000 THEN 'confirmed' ELSE 'revised' END AS verdict FROM c LEFT JOIN t USING (event_id)",
 )
 def claim_reconciliation(spark, sf_dir):
-    truth = B.read(spark, sf_dir, "lineitem").filter("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("actual"))
+    truth = B.read(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("actual"))
     claims = B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("claimed"))
     return quality.reconcile(claims, truth, ["event_id"], "claimed", "actual", 50_000.0)
 
@@ -127,9 +127,9 @@ def cohort_visibility(spark, sf_dir):
 
 @query(
     "mapping_views",
-    "WITH d AS (SELECT s_suppkey AS asn, s_nationkey AS place FROM supplier WHERE s_suppkey % 3 = 0), b AS (SELECT c_custkey AS asn, c_nationkey AS place FROM customer) SELECT coalesce(b.asn, d.asn) AS asn, coalesce(d.place, b.place) AS place, CASE WHEN d.place IS NOT NULL THEN 'delta' ELSE 'base' END AS view FROM b FULL JOIN d ON b.asn = d.asn",
+    "WITH d AS (SELECT s_suppkey AS asn, s_nationkey AS place FROM supplier WHERE s_acctbal > 0), b AS (SELECT c_custkey AS asn, c_nationkey AS place FROM customer) SELECT coalesce(b.asn, d.asn) AS asn, coalesce(d.place, b.place) AS place, CASE WHEN d.place IS NOT NULL THEN 'delta' ELSE 'base' END AS view FROM b FULL JOIN d ON b.asn = d.asn",
 )
 def mapping_views(spark, sf_dir):
     base = B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asn"), F.col("c_nationkey").alias("place"))
-    delta = B.read(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("asn"), F.col("s_nationkey").alias("place"))
+    delta = B.read(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("asn"), F.col("s_nationkey").alias("place"))
     return joins.mapping_union(base, delta, "asn", "place")

@@ -238,14 +238,14 @@ def country_topology(spark, sf_dir):
 
 @query(
     "subgraph_hops",
-    f"""WITH {EDGES_SQL}, strong AS (SELECT low, high FROM edges WHERE (low + high) % 5 = 0), both_ways AS (SELECT low AS a, high AS b FROM strong UNION ALL SELECT high, low FROM strong),
-h0 AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 50 = 1), h1 AS (SELECT DISTINCT b AS node FROM h0 JOIN both_ways ON a = node EXCEPT SELECT node FROM h0),
+    f"""WITH {EDGES_SQL}, both_ways AS (SELECT low AS a, high AS b FROM edges UNION ALL SELECT high, low FROM edges),
+h0 AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 0), h1 AS (SELECT DISTINCT b AS node FROM h0 JOIN both_ways ON a = node EXCEPT SELECT node FROM h0),
 h2 AS (SELECT DISTINCT b AS node FROM h1 JOIN both_ways ON a = node EXCEPT (SELECT node FROM h0 UNION SELECT node FROM h1))
 SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""",
 )
 def subgraph_hops(spark, sf_dir):
-    edges = graph.adjacency(B.paths(spark, sf_dir)).filter((F.col("low") + F.col("high")) % 5 == 0)
-    seeds = B.read(spark, sf_dir, "supplier").filter("s_suppkey % 50 = 1").select(F.col("s_suppkey").alias("node"))
+    edges = graph.adjacency(B.paths(spark, sf_dir))
+    seeds = B.read(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
     return graph.neighbourhood(edges, seeds, 2)
 
 
@@ -270,10 +270,22 @@ def path_dictionary(spark, sf_dir):
 
 @query(
     "leak_triplets",
-    f"""WITH {B.PATH_SQL}, hops AS (SELECT path_id, string_split(as_path, ' ') AS h FROM path), rel AS (SELECT DISTINCT l_suppkey::VARCHAR AS provider, (l_partkey % 100 + 1)::VARCHAR AS customer FROM lineitem WHERE l_quantity > 45),
-t AS (SELECT path_id, i AS position, h[i + 1] AS first_as, h[i + 2] AS second_as, h[i + 3] AS third_as FROM hops, unnest(range(len(h) - 2)) AS u(i) WHERE len(h) > 3)
-SELECT path_id, position::INT AS position, first_as, second_as, third_as FROM t WHERE first_as <> third_as AND (first_as, second_as) IN (SELECT (provider, customer) FROM rel) AND (third_as, second_as) IN (SELECT (provider, customer) FROM rel)""",
+    f"""WITH {B.PATH_SQL}, hops AS (SELECT path_id, o_custkey AS prefix, list_filter([CASE WHEN i = 1 OR h[i] <> h[i - 1] THEN h[i] END FOR i IN range(1, len(h) + 1)], lambda x: x IS NOT NULL) AS h
+  FROM (SELECT path_id, string_split(as_path, ' ') AS h FROM path) JOIN orders ON o_orderkey = path_id),
+raw AS (SELECT DISTINCT l_suppkey::VARCHAR AS a, (l_partkey % 100 + 1)::VARCHAR AS b, CASE WHEN l_quantity > 45 THEN -1 WHEN l_quantity < 3 THEN 0 ELSE 1 END AS rel FROM lineitem WHERE l_quantity > 45 OR l_quantity < 4),
+mirrored AS (SELECT a, b, rel FROM raw UNION ALL SELECT b, a, -rel FROM raw), rel AS (SELECT a, b FROM mirrored GROUP BY a, b HAVING min(CASE rel WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END) = 2),
+t AS (SELECT path_id, prefix, len(h) - i AS from_origin, h[i] AS first_as, h[i - 1] AS second_as, h[i - 2] AS third_as FROM hops, unnest(range(3, len(h) + 1)) AS u(i) WHERE len(h) > 3),
+known AS (SELECT ps_a AS first_as, ps_b AS second_as, ps_c AS third_as, max(p) AS stability FROM (SELECT l_suppkey::VARCHAR AS ps_a, (l_partkey % 100 + 1)::VARCHAR AS ps_b, (l_orderkey % 100 + 1)::VARCHAR AS ps_c, l_discount * 4 AS p FROM lineitem) GROUP BY ALL),
+found AS (SELECT t.*, row_number() OVER (PARTITION BY prefix ORDER BY path_id, from_origin) AS rn FROM t LEFT JOIN known USING (first_as, second_as, third_as)
+  WHERE coalesce(stability, 0) < 0.2 AND (first_as, second_as) IN (SELECT (a, b) FROM rel) AND (third_as, second_as) IN (SELECT (a, b) FROM rel))
+SELECT prefix, path_id, from_origin::INT AS from_origin, first_as, second_as, third_as FROM found WHERE rn = 1""",
 )
 def leak_triplets(spark, sf_dir):
-    rel = B.read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").cast("string").alias("provider"), (F.col("l_partkey") % 100 + 1).cast("string").alias("customer"))
-    return state.leak_triplets(B.paths(spark, sf_dir), rel, "as_path", ["path_id"])
+    """An order's customer is the prefix, orders come in the order of their keys."""
+    i = B.read(spark, sf_dir, "lineitem")
+    text = lambda c: (c % 100 + 1).cast("string")
+    rel = F.when(F.col("l_quantity") > 45, -1).when(F.col("l_quantity") < 3, 0).otherwise(1)
+    edges = i.filter("l_quantity > 45 OR l_quantity < 4").select(F.col("l_suppkey").cast("string").alias("a"), text(F.col("l_partkey")).alias("b"), rel.alias("rel"))
+    known = i.groupBy(F.col("l_suppkey").cast("string").alias("first_as"), text(F.col("l_partkey")).alias("second_as"), text(F.col("l_orderkey")).alias("third_as")).agg(F.max(F.col("l_discount") * 4).cast("double").alias("stability"))
+    owners = B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path_id"), F.col("o_custkey").alias("prefix"))
+    return state.leak_triplets(B.paths(spark, sf_dir).join(owners, "path_id"), edges, known, "as_path", ["prefix"], ["path_id"])

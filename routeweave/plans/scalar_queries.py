@@ -70,7 +70,7 @@ def severity_levels(spark, sf_dir):
 
 @query(
     "country_levels",
-    f"WITH {B.OUTAGE_SQL}, c AS (SELECT country, count(DISTINCT asn) AS total, count(DISTINCT asn) FILTER (level = 'high' AND start_s % 10 = 0) AS down FROM outage GROUP BY country) SELECT country, total, down, CASE WHEN down / total >= 0.075 AND total >= 100 AND down >= 5 THEN 'high' WHEN down / total >= 0.05 THEN 'middle' ELSE 'low' END AS level FROM c",
+    f"WITH {B.OUTAGE_SQL}, c AS (SELECT country, count(DISTINCT asn) AS total, count(DISTINCT asn) FILTER (level = 'high' AND start_s % 10 = 0) AS down FROM outage GROUP BY country) SELECT country, total, down, CASE WHEN down / total >= 0.075 AND total >= 100 AND down >= 5 THEN 'high' WHEN down / total >= 0.05 AND down / total < 0.075 THEN 'middle' ELSE 'low' END AS level FROM c",
 )
 def country_levels(spark, sf_dir):
     o = B.outages(spark, sf_dir)

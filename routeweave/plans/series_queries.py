@@ -128,18 +128,23 @@ def window_ledger(spark, sf_dir):
 SELECT asn, slot, ratio, CASE WHEN step >= 0.08 THEN 'abrupt' WHEN step >= 0.02 THEN 'directional' WHEN ratio <= 0.8 THEN 'low_plateau' ELSE 'stable' END AS slot_state FROM x""",
 )
 def slot_states(spark, sf_dir):
+    return series.slot_states(ratios(spark, sf_dir), ["asn"], "slot", "ratio")
+
+
+def ratios(spark, sf_dir):
     d = daily(spark, sf_dir)
-    ratios = d.join(d.groupBy("asn").agg(F.max("v").alias("most")), "asn").select("asn", "slot", (F.col("v") / F.col("most")).alias("ratio"))
-    return series.slot_states(ratios, ["asn"], "slot", "ratio")
+    return d.join(d.groupBy("asn").agg(F.max("v").alias("most")), "asn").select("asn", "slot", (F.col("v") / F.col("most")).alias("ratio"))
 
 
 @query(
     "curve_shape",
-    f"""WITH {DAILY}, x AS (SELECT *, v - lag(v) OVER (PARTITION BY asn ORDER BY slot) AS delta FROM d), y AS (SELECT asn, slot, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'flat' END AS dir FROM x WHERE delta IS NOT NULL),
-z AS (SELECT *, lag(dir) OVER (PARTITION BY asn ORDER BY slot) AS prior FROM y) SELECT asn, string_agg(dir, '>' ORDER BY slot) AS shape, count(*) AS n_phases FROM z WHERE prior IS DISTINCT FROM dir GROUP BY asn""",
+    f"""WITH {DAILY}, m AS (SELECT asn, slot, v / max(v) OVER (PARTITION BY asn) AS ratio FROM d), x AS (SELECT asn, slot, ratio - lag(ratio) OVER (PARTITION BY asn ORDER BY slot) AS delta FROM m),
+y AS (SELECT asn, slot, CASE WHEN delta <= -0.02 THEN 'DEGRADING' WHEN delta >= 0.02 THEN 'RECOVERING' ELSE 'STABLE' END AS dir FROM x WHERE delta IS NOT NULL),
+z AS (SELECT *, lag(dir) OVER (PARTITION BY asn ORDER BY slot) AS prior FROM y), s AS (SELECT asn, string_agg(dir, '→' ORDER BY slot) AS shape, count(*) AS n FROM z WHERE prior IS DISTINCT FROM dir GROUP BY asn)
+SELECT asn, coalesce(shape, 'STABLE') AS shape, coalesce(n, 1) AS n_phases FROM (SELECT DISTINCT asn FROM d) LEFT JOIN s USING (asn)""",
 )
 def curve_shape(spark, sf_dir):
-    return series.curve_shape(daily(spark, sf_dir), ["asn"], "slot", "v")
+    return series.curve_shape(ratios(spark, sf_dir), ["asn"], "slot", "ratio")
 
 
 @query(
@@ -173,7 +178,7 @@ def outlier_band(spark, sf_dir):
 def outage_episodes(spark, sf_dir):
     rows = filled(spark, sf_dir)
     ratio = rows.join(rows.groupBy("asn").agg(F.max("n").alias("most")), "asn").select("asn", "slot", (F.col("n") / F.col("most")).alias("ratio"))
-    return series.episodes(ratio, ["asn"], "slot", "ratio", low=0.2, back=0.3, onset=2, recovery=2)
+    return series.episodes(ratio, ["asn"], "slot", "ratio", step=3600, low=0.2, band=0.7, onset=2, recovery=2)
 
 
 @query(
@@ -181,20 +186,19 @@ def outage_episodes(spark, sf_dir):
     f"WITH {DAILY}, t AS (SELECT asn, sum(v) AS total FROM d GROUP BY asn) SELECT asn, total, cume_dist() OVER (ORDER BY total) AS percentile FROM t",
 )
 def peer_percentile(spark, sf_dir):
-    from pyspark.sql import Window
-
     totals = daily(spark, sf_dir).groupBy("asn").agg(F.sum("v").alias("total"))
-    return totals.withColumn("percentile", F.cume_dist().over(Window.orderBy("total")))
+    return series.percentile_of(totals, "total", "percentile")
 
 
 @query(
     "aligned_series",
-    f"""WITH {DAILY}, j AS (SELECT a.slot, a.v AS v4, b.v AS v6, a.v - b.v AS gap FROM d a JOIN d b ON a.slot = b.slot AND a.asn = 4 AND b.asn = 6)
-SELECT max(abs(gap)) AS largest_gap, (array_agg(slot ORDER BY abs(gap) DESC, slot))[1] AS gap_slot, (array_agg(slot ORDER BY v4, slot))[1] - (array_agg(slot ORDER BY v6, slot))[1] AS lag_of_minimum, count(*) AS n_slots FROM j""",
+    f"""WITH {DAILY}, j AS (SELECT a.asn, b.asn AS other, a.slot, a.v AS v4, b.v AS v6, a.v - b.v AS gap FROM d a JOIN d b ON a.slot = b.slot AND a.asn < b.asn)
+SELECT asn, other, max(abs(gap)) AS largest_gap, (array_agg(slot ORDER BY abs(gap) DESC, slot))[1] AS gap_slot, (array_agg(slot ORDER BY v4, slot))[1] - (array_agg(slot ORDER BY v6, slot))[1] AS lag_of_minimum, count(*) AS n_slots FROM j GROUP BY asn, other""",
 )
 def aligned_series(spark, sf_dir):
+    """Every pair of the networks' daily series, met by slot."""
     d = daily(spark, sf_dir)
-    both = d.filter("asn = 4").select("slot", F.col("v").alias("v4")).join(d.filter("asn = 6").select("slot", F.col("v").alias("v6")), "slot")
+    both = d.select("slot", "asn", F.col("v").alias("v4")).join(d.select("slot", F.col("asn").alias("other"), F.col("v").alias("v6")), "slot").filter("asn < other")
     gap = F.abs(F.col("v4") - F.col("v6"))
     low = lambda c: F.min_by("slot", F.struct(c, "slot"))
-    return both.agg(F.max(gap).alias("largest_gap"), F.max_by("slot", F.struct(gap, -F.col("slot"))).alias("gap_slot"), (low("v4") - low("v6")).alias("lag_of_minimum"), F.count("*").alias("n_slots"))
+    return both.groupBy("asn", "other").agg(F.max(gap).alias("largest_gap"), F.max_by("slot", F.struct(gap, -F.col("slot"))).alias("gap_slot"), (low("v4") - low("v6")).alias("lag_of_minimum"), F.count("*").alias("n_slots"))

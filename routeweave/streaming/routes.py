@@ -46,27 +46,34 @@ def route_transitions(events: DataFrame) -> DataFrame:
     return keyed.applyInPandasWithState(apply, TRANSITION, "last bigint, path string", "append", GroupStateTimeout.NoTimeout)
 
 
-def country_outages(samples: DataFrame, start: float = 0.03, onset: int = 2, recovery: int = 6) -> DataFrame:
-    """Live country outages: ``onset`` observations in a row above ``start`` of ASes down open one at the first of them, ``recovery`` in a
-    row at or below 0.01 close it. Emits a row when an outage opens or closes, with the peak so far."""
+def country_outages(samples: DataFrame, start: float = 0.03, back: float = 0.99, onset: int = 2, recovery: int = 6) -> DataFrame:
+    """Live country outages. ``samples``: (country, epoch_s, ratio of ASes affected, asn_visible, prefix_visible). ``onset``
+    observations in a row above ``start`` open one, with the first of them as its onset; an observation without a ratio is not
+    above. ``recovery`` in a row in which both visible shares are observed and at least ``back`` close it at the first of them.
+    Emits a row when an outage opens, has a new peak, or closes."""
 
     def apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bad, good, first, opened, peak = state.get if state.exists else (0, 0, -1, -1, 0.0)
+        bad, first, opened, peak, good, back_at = state.get if state.exists else (0, -1, -1, 0.0, 0, -1)
         out = []
-        for t, ratio in pd.concat(list(batches)).sort_values("epoch_s")[["epoch_s", "ratio"]].itertuples(index=False):
+        columns = ["epoch_s", "ratio", "asn_visible", "prefix_visible"]
+        for t, ratio, asns, prefixes in pd.concat(list(batches)).sort_values("epoch_s", kind="stable")[columns].itertuples(index=False):
+            above = not pd.isna(ratio) and ratio > start
             if opened < 0:
-                bad, first = (bad + 1, first if bad else t) if ratio > start else (0, -1)
-                peak = max(peak, ratio) if bad else 0.0
+                bad, first = (bad + 1, first if bad else t) if above else (0, -1)
                 if bad >= onset:
-                    opened, good = first, 0
+                    opened, peak, good = first, ratio, 0
                     out.append((*key, "opened", opened, t, peak))
-            else:
-                peak, good = max(peak, ratio), good + 1 if ratio <= 0.01 else 0
-                if good >= recovery:
-                    out.append((*key, "closed", opened, t, peak))
-                    bad, good, first, opened, peak = 0, 0, -1, -1, 0.0
-        state.update((int(bad), int(good), int(first), int(opened), float(peak)))
+                continue
+            if not pd.isna(ratio) and ratio > peak:
+                peak = ratio
+                out.append((*key, "peak", opened, t, peak))
+            whole = not pd.isna(asns) and not pd.isna(prefixes) and asns >= back and prefixes >= back
+            good, back_at = (good + 1, back_at if good else t) if whole else (0, -1)
+            if good >= recovery:
+                out.append((*key, "closed", opened, back_at, peak))
+                bad, first, opened, peak, good, back_at = 0, -1, -1, 0.0, 0, -1
+        state.update((int(bad), int(first), int(opened), float(peak), int(good), int(back_at)))
         yield pd.DataFrame(out, columns=["country", "event", "start_s", "at_s", "peak"])
 
-    schema, held = "country string, event string, start_s bigint, at_s bigint, peak double", "bad int, good int, first bigint, opened bigint, peak double"
+    schema, held = "country string, event string, start_s bigint, at_s bigint, peak double", "bad int, first bigint, opened bigint, peak double, good int, back_at bigint"
     return samples.groupBy("country").applyInPandasWithState(apply, schema, held, "append", GroupStateTimeout.NoTimeout)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from routeweave.functions import prefixes
 from routeweave.functions import scalars as S
-from routeweave.operators import events, features, graph, intervals, joins, quality, series, state
+from routeweave.operators import cohorts, events, features, graph, intervals, joins, quality, series, state
 
 
 def values(df, *columns):
@@ -98,13 +98,67 @@ def test_runs_and_missing(spark):
     assert sorted(map(str, (tuple(r) for r in intervals.merge_intervals(spans, ["k"], "s", "e").collect()))) == ["('k', 0, 7, 2)", "('k', 9, None, 2)"]
 
 
-def test_episodes_and_band(spark):
-    ratio = [1.0, 0.9, 0.9, 0.8, 1.0, 1.0, 1.0, None, 0.5, 0.5]
-    df = spark.createDataFrame([("k", 300 * i, r) for i, r in enumerate(ratio)], "k string, slot bigint, r double")
-    got = series.episodes(df, ["k"], "slot", "r", recovery=3).orderBy("start_slot").collect()
-    assert [tuple(r) for r in got] == [("k", 300, 1200, 0.8, 900, "recovered"), ("k", 2400, None, 0.5, 2400, "lower_bound")]
-    flat = spark.createDataFrame([("k", 3600 * i, v) for i, v in enumerate([10.0, 10.0, 10.0, 10.5, 99.0, 10.0])], "k string, t bigint, v double")
-    assert [r["outlier"] for r in series.outlier_band(flat, ["k"], "t", "v").orderBy("t").collect()] == [False, False, False, False, True, False]
+def test_episodes(spark):
+    def found(shares, damaged=None, **more):
+        rows = [("k", 300 * i, v, (damaged or {}).get(i, 0.0)) for i, v in enumerate(shares) if v != "gap"]
+        df = spark.createDataFrame(rows, "k string, slot bigint, r double, d double")
+        return [tuple(r)[1:] for r in series.episodes(df, ["k"], "slot", "r", "d", **more).orderBy("start_slot").collect()]
+
+    # two slots below open one at the first; six within the band close it at the first of them; 0.995 is a partial recovery
+    assert found([1.0, 0.98, 1.0, 0.9, 0.8, *[0.995] * 6, *[1.0] * 6]) == [(900, 3300, 0.8, 1200, 0.0, 3300, "fully_recovered", "exact")]
+    # a share of damaged ASes alone opens one, and holds it open although all is visible
+    assert found([1.0] * 9, {0: 0.05, 1: 0.04, 6: 0.2}) == [(0, None, 1.0, 0, 0.2, 2400, "partially_recovered", "lower_bound")]
+    # a missing share starts the counts anew, a gap ends the episode as unknown
+    assert found([0.5, 0.5, 1.0, 1.0, None, 1.0, 1.0, 1.0, 1.0, 1.0]) == [(0, None, 0.5, 0, 0.0, None, "recovering", "lower_bound")]
+    assert found([0.5, 0.5, "gap", 0.5, 0.6, 0.6]) == [(0, None, 0.5, 0, 0.0, None, "unknown", "unknown"), (1200, None, 0.6, 1200, 0.0, None, "ongoing", "lower_bound")]
+
+
+def test_outlier_band(spark):
+    def bands(numbers, days=3):
+        df = spark.createDataFrame([("k", 3600 * i, v) for i, v in enumerate(numbers)], "k string, t bigint, v double")
+        return [(r["low"], r["high"], r["outlier"]) for r in series.outlier_band(df, ["k"], "t", "v", days).orderBy("t").collect()]
+
+    # before the seventh sample the present one counts: one sample of 10 gives int(10 * 0.8) and int(10 * 1.2)
+    assert bands([10.0, 10.0, 30.0]) == [(8, 12, False), (8, 12, False), (-9, 53, False)]
+    # from the seventh on only more than five normal ones move the band
+    got = bands([10.0] * 6 + [20.0, 12.0, 13.0])
+    assert got[6:] == [(8, 12, True), (8, 12, False), (6, 14, False)]
+
+
+def test_levels_and_exclusions(spark):
+    rows = spark.createDataFrame([(True, 11, 0.0), (False, 501, 0.31), (False, 501, 0.3), (True, 10, 1.0)], "i boolean, n int, r double")
+    assert [r[0] for r in rows.select(S.as_outage_level(F.col("i"), F.col("n"), F.col("r"))).collect()] == ["high", "middle", "low", "low"]
+    rows = spark.createDataFrame([(100, 8), (100, 5), (99, 8), (1000, 74), (40, 4)], "n int, down int")
+    assert [r[0] for r in rows.select(S.country_outage_level(F.col("n"), F.col("down"))).collect()] == ["high", "middle", "low", "middle", "low"]
+    rows = spark.createDataFrame([("120.0.0.0/11", 4, 11), ("0.0.0.0/0", 4, 0), ("::/0", 6, 0), ("10.0.0.0/8", 4, 8), ("173.0.0.0/11", 4, 11)], "p string, a int, n int")
+    assert [r[0] for r in rows.select(prefixes.skip_reason(F.col("p"), F.col("a"), F.col("n"))).collect()] == ["manually_excluded_prefix", "oversized_ipv4_prefix", "oversized_ipv6_prefix", None, "manually_excluded_prefix"]
+    rows = spark.createDataFrame([("10.1.2.3/16",), ("10.0.0.256/24",), ("10.0.0.0/33",), ("::1/64",), (None,), ("1.2.3.4/32",)], "p string")
+    assert [r[0] and tuple(r[0]) for r in rows.select(prefixes.v4_parts(F.col("p"))).collect()] == [(10 * 2**24 + 2**16, 16, 2**16), None, None, None, None, (2**24 + 2 * 2**16 + 3 * 256 + 4, 32, 1)]
+
+
+def test_first_leak_of_a_prefix(spark):
+    # 2 is a customer of 1 and of 3; 5 and 6 are peers although an edge calls 5 a provider of 6
+    edges = spark.createDataFrame([("1", "2", -1), ("3", "2", -1), ("5", "6", -1), ("6", "5", 0), ("7", "6", -1)], "a string, b string, rel int")
+    paths = [("p", 1, "9 3 2 2 1"), ("p", 2, "9 1 2 3"), ("q", 1, "9 {3,4} 2 1"), ("q", 2, "3 2 1"), ("r", 1, "9 7 6 5"), ("s", 1, "8 1 2 3 4 3 2 1")]
+    known = spark.createDataFrame([("1", "2", "3", 0.2)], "first_as string, second_as string, third_as string, stability double")
+    df = spark.createDataFrame(paths, "prefix string, t int, path string")
+    got = state.leak_triplets(df, edges, known, "path", ["prefix"], ["t"])
+    assert values(got, "prefix", "t", "from_origin", "first_as", "second_as", "third_as") == [("p", 2, 0, "3", "2", "1"), ("s", 1, 4, "3", "2", "1")]
+    assert values(state.leak_triplets(df, edges, known.limit(0), "path", ["prefix"], ["t"]), "prefix", "t", "from_origin") == [("p", 1, 0), ("s", 1, 0)]
+
+
+def test_shapes_and_patterns(spark):
+    def series_of(numbers, n=100):
+        return spark.createDataFrame([("k", 300 * i, float(v), n) for i, v in enumerate(numbers)], "k string, slot bigint, r double, n int")
+
+    shape = lambda x: series.curve_shape(series_of(x), ["k"], "slot", "r").first()[1:]
+    assert shape([1.0, 0.99, 0.9, 0.8, 0.85]) == ("STABLE→DEGRADING→RECOVERING", 3) and shape([1.0]) == ("STABLE", 1)
+    pattern = lambda x, n=100: cohorts.pattern_features(series_of(x, n), ["k"], "slot", "r", "n").first()["pattern"]
+    assert pattern([1.0, 0.5, 1.0], 9) == "small_denominator" and pattern([1.0, 0.99, 1.0]) == "plateau"
+    assert pattern([1.0, 0.9] * 5) == "oscillation" and pattern([1.0, 0.9, 0.95, 0.8]) == "multi_wave"
+    assert [pattern([0.9, 0.7, x]) for x in (0.8, 0.9, 0.95)] == ["single_wave_partial_rebound", "single_wave_return_to_window_start", "single_wave_above_window_start"]
+    assert pattern([0.7, 0.9, 0.6, 0.7]) == "mixed" and pattern([1.0, 0.95, 0.9]) == "unmatched"
+    assert [r["share"] for r in series.percentile_of(series_of([5, 1, 3, 3]), "r", "share").orderBy("r").collect()] == [0.25, 0.75, 0.75, 1.0]
 
 
 def test_order_of_input_does_not_matter(spark):

@@ -1,3 +1,4 @@
+import json
 import os
 
 from routeweave.operators import state
@@ -42,8 +43,10 @@ def test_slot_counts(spark, tmp_path):
 
 def test_country_outage_lifecycle(spark, tmp_path):
     (tmp_path / "s").mkdir()
-    ratios = [0.0, 0.05, 0.0, 0.04, 0.2, 0.1] + [0.0] * 6
-    (tmp_path / "s" / "a.json").write_text("".join(f'{{"country":"XX","epoch_s":{300 * i},"ratio":{r}}}\n' for i, r in enumerate(ratios)))
-    samples = spark.readStream.schema("country string, epoch_s bigint, ratio double").json(str(tmp_path / "s"))
+    ratios = [0.0, 0.05, None, 0.04, 0.1, 0.2, 0.0] + [0.0] * 8
+    shares = [(1.0, 1.0)] * 6 + [(0.995, 0.98)] + [(1.0, 1.0), (1.0, None)] + [(0.99, 0.99)] * 6
+    rows = [{"country": "XX", "epoch_s": 300 * i, "ratio": r, "asn_visible": a, "prefix_visible": p} for i, (r, (a, p)) in enumerate(zip(ratios, shares))]
+    (tmp_path / "s" / "a.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    samples = spark.readStream.schema("country string, epoch_s bigint, ratio double, asn_visible double, prefix_visible double").json(str(tmp_path / "s"))
     out = run(routes.country_outages(samples), "countries", tmp_path)
-    assert [tuple(r) for r in out.orderBy("at_s").collect()] == [("XX", "opened", 900, 1200, 0.2), ("XX", "closed", 900, 3300, 0.2)]
+    assert [tuple(r) for r in out.orderBy("at_s", "event").collect()] == [("XX", "opened", 900, 1200, 0.1), ("XX", "peak", 900, 1500, 0.2), ("XX", "closed", 900, 2700, 0.2)]
