@@ -101,3 +101,8 @@ def set_compare(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     one, two = a.select(*key).distinct().withColumn("a", F.lit(1)), b.select(*key).distinct().withColumn("b", F.lit(1))
     side = F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("both")
     return one.join(two, list(key), "full").select(*key, side.alias("side"))
+
+
+def first_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
+    """The first ``n`` of all rows with their rank: each task keeps its first ``n``, and only those are ranked."""
+    return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefixes import v4_ancestors
@@ -45,3 +45,23 @@ def nearest_covering(nets: DataFrame, table: DataFrame, key: str) -> DataFrame:
     up = nets.select(key, F.explode(v4_ancestors(F.col("network"), F.col("length"))).alias("a")).select(key, F.col("a.network").alias("network"), F.col("a.length").alias("length"))
     met = up.join(table.select("network", "length").distinct(), ["network", "length"])
     return met.groupBy(key).agg(F.max_by("network", F.col("length")).alias("parent_network"), F.max("length").alias("parent_length"))
+
+
+def resource_counts(routes: DataFrame, time: str, collector: str, tracked: Sequence, values: dict[str, Column]) -> DataFrame:
+    """How many different values of each kind a snapshot has, over all collectors and for each tracked one. ``values``: an array
+    column for each kind. Kinds are counted as rows, so no row is expanded by several distinct counts at once."""
+    def named(kind: str, column: Column) -> Column:
+        return F.transform(column.cast("array<string>"), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+    kinds = F.flatten(F.array(*[named(kind, c) for kind, c in values.items()]))
+    buckets = F.array_compact(F.array(F.lit("global"), F.when(F.col(collector).isin(*tracked), F.col(collector).cast("string"))))
+    rows = routes.select(time, buckets.alias("b"), F.explode(kinds).alias("x")).select(time, F.explode("b").alias("bucket"), "x.kind", "x.value").filter("value IS NOT NULL")
+    counted = rows.distinct().groupBy(time, "bucket").pivot("kind", list(values)).agg(F.count("value"))
+    return counted.na.fill(0, list(values))
+
+
+def vp_resources(routes: DataFrame, time: str, vp: str, names: DataFrame) -> DataFrame:
+    """Different prefixes of each vantage point in each snapshot, with its name (empty if unknown) and rank. ``names``: (asn, as_name, as_rank)."""
+    counts = routes.select(time, vp, "prefix").distinct().groupBy(time, vp).agg(F.count("*").alias("prefixes"))
+    joined = counts.join(names.withColumnRenamed("asn", vp), vp, "left")
+    return joined.select(time, vp, F.coalesce("as_name", F.lit("")).alias("as_name"), "as_rank", "prefixes")

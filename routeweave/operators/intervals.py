@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefixes import v4_length, v4_network, v4_size
+from ..functions.prefixes import parse_cidr, v4_parts
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -29,16 +29,24 @@ def covered(df: DataFrame, keys: Sequence[str], low: Column, high: Column) -> Da
 
 def v4_blocks(df: DataFrame, keys: Sequence[str], prefix: str, bits: int = 24) -> DataFrame:
     """Distinct blocks of ``bits`` network bits that a set of IPv4 prefixes touches; the default route is left out."""
-    p, size = F.col(prefix), 1 << (32 - bits)
-    rows = df.filter(v4_length(p) > 0)
-    low, high = F.floor(v4_network(p) / size).cast("bigint"), F.floor((v4_network(p) + v4_size(p) - 1) / size).cast("bigint")
+    size = 1 << (32 - bits)
+    rows = df.select(*keys, prefix).distinct().withColumn("p", v4_parts(F.col(prefix))).filter("p.length > 0")
+    low, high = F.floor(F.col("p.network") / size).cast("bigint"), F.floor((F.col("p.network") + F.col("p.size") - 1) / size).cast("bigint")
     return covered(rows, keys, low, high).withColumnRenamed("covered", "blocks")
 
 
+def v6_blocks_48(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """Distinct /48 blocks that a set of IPv6 prefixes touches; the default route and other text are left out."""
+    rows = df.select(*keys, prefix).distinct().withColumn("c", parse_cidr(prefix)).filter("c.afi = 6 AND c.plen > 0")
+    low = F.floor(F.col("c.hi") / (1 << 16)).cast("bigint")
+    size = F.pow(F.lit(2.0), F.greatest(48 - F.col("c.plen"), F.lit(0))).cast("bigint")
+    return covered(rows.select(*keys, low.alias("l"), size.alias("n")), keys, F.col("l"), F.col("l") + F.col("n") - 1).withColumnRenamed("covered", "blocks")
+
+
 def v4_addresses(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     """Size of the union of addresses and its equivalent in /24 blocks, which may be a fraction."""
-    p = F.col(prefix)
-    out = covered(df.filter(v4_length(p) > 0), keys, v4_network(p), v4_network(p) + v4_size(p) - 1)
+    rows = df.select(*keys, prefix).distinct().withColumn("p", v4_parts(F.col(prefix))).filter("p.length > 0")
+    out = covered(rows, keys, F.col("p.network"), F.col("p.network") + F.col("p.size") - 1)
     return out.select(*keys, F.col("covered").alias("addresses"), (F.col("covered") / 256).alias("equivalent_24"))
 
 

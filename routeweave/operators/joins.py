@@ -45,10 +45,11 @@ def within(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at:
 
 
 def longest_match(addresses: DataFrame, table: DataFrame, address: str) -> DataFrame:
-    """The longest prefix (network, length) of ``table`` that holds each address: masks are exploded and met by equality."""
-    lengths = F.sequence(F.lit(32), F.lit(1), F.lit(-1))
-    size = lambda n: F.pow(F.lit(2.0), F.lit(32) - n).cast("bigint")
-    keys = F.transform(lengths, lambda n: F.struct((F.col(address) - F.pmod(F.col(address), size(n))).alias("network"), n.alias("length")))
+    """The longest prefix (network, length) of ``table`` that holds each address: the masks of the lengths that the table has, at most
+    33, are exploded and met by equality."""
+    lengths = sorted((r["length"] for r in table.select("length").distinct().collect()), reverse=True)
+    size = lambda n: F.lit(1 << (32 - n)).cast("bigint")
+    keys = F.array(*[F.struct((F.col(address) - F.pmod(F.col(address), size(n))).alias("network"), F.lit(n).alias("length")) for n in lengths]) if lengths else F.array().cast("array<struct<network:bigint,length:int>>")
     met = addresses.select(address, F.explode(keys).alias("k")).select(address, "k.*").join(table.select("network", "length").distinct(), ["network", "length"])
     best = met.groupBy(address).agg(F.max_by("network", "length").alias("network"), F.max("length").alias("length"))
     return addresses.join(best, address, "left")

@@ -40,10 +40,18 @@ def visibility(events: DataFrame, keys: Sequence[str], order: Sequence[str], at:
     return shown.select(*keys, *carry, F.col(at).alias("from_at"), "to_at")
 
 
-def visible_at(intervals: DataFrame, slots: DataFrame) -> DataFrame:
-    """Intervals joined to the slots in which they hold at the slot's start. ``slots``: (slot), few rows beside the intervals."""
-    inside = (intervals["from_at"] <= slots["slot"]) & (intervals["to_at"].isNull() | (intervals["to_at"] > slots["slot"]))
-    return intervals.join(F.broadcast(slots), inside)
+def visible_at(intervals: DataFrame, slots: DataFrame, buckets: int = 64) -> DataFrame:
+    """Intervals joined to the slots (slot) in which they hold at the slot's start. The time of the slots is cut in ``buckets``, an
+    interval stands in those that it touches, and the two meet by bucket: no interval is compared with slots far away."""
+    seen = slots.agg(F.min("slot").alias("low"), F.max("slot").alias("high")).first()
+    low, high = seen["low"] or 0, seen["high"] or 0
+    width = (high - low) // buckets + 1
+    bucket = lambda c: F.floor((c - low) / width).cast("bigint")
+    first, last = F.greatest(F.col("from_at"), F.lit(low)), F.least(F.coalesce("to_at", F.lit(high)), F.lit(high))
+    near = intervals.filter((F.col("from_at") <= high) & (F.col("to_at").isNull() | (F.col("to_at") > low)))
+    near = near.withColumn("__bucket", F.explode(F.sequence(bucket(first), bucket(last))))
+    met = near.join(slots.withColumn("__bucket", bucket(F.col("slot"))), "__bucket").drop("__bucket")
+    return met.filter((F.col("from_at") <= F.col("slot")) & (F.col("to_at").isNull() | (F.col("to_at") > F.col("slot"))))
 
 
 def running_visible(events: DataFrame, subject: Sequence[str], key: Sequence[str], order: Sequence[str], at: str, action: str = "action") -> DataFrame:

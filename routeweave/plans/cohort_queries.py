@@ -93,9 +93,9 @@ def priority_lists(spark, sf_dir):
 u AS (SELECT asn, r1 AS position FROM r WHERE r1 <= 100 UNION ALL SELECT asn, 1000000 + r2 FROM r WHERE r2 <= 50) SELECT asn, min(position) AS position FROM u GROUP BY asn""",
 )
 def candidate_pick(spark, sf_dir):
-    a = B.outages(spark, sf_dir).groupBy(F.lit(1).alias("all"), "asn").agg(F.count("*").alias("n"), F.sum("amount").alias("s"))
-    by_count = events.top_n(a, 100, [F.desc("n"), F.asc("asn")], ["all"])
-    by_sum = events.top_n(a, 50, [F.desc("s"), F.asc("asn")], ["all"])
+    a = B.outages(spark, sf_dir).groupBy("asn").agg(F.count("*").alias("n"), F.sum("amount").alias("s"))
+    by_count = events.first_n(a, 100, [F.desc("n"), F.asc("asn")])
+    by_sum = events.first_n(a, 50, [F.desc("s"), F.asc("asn")])
     return cohorts.candidates([(by_count, 100), (by_sum, 50)], "asn")
 
 

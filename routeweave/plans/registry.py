@@ -27,4 +27,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["slot_features"](spark, sf_dir)
 
 
-from . import cohort_queries, event_queries, quality_queries, route_queries, scalar_queries, series_queries  # noqa: E402, F401
+from . import cohort_queries, country_queries, event_queries, quality_queries, route_queries, scalar_queries, series_queries  # noqa: E402, F401

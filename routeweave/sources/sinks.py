@@ -1,27 +1,61 @@
-"""Parquet sinks with keys: first write wins, last version wins, events closed, partitions replaced.
+"""Parquet sinks with keys: first write wins, last version wins, events closed, months replaced.
 
-Each write puts a new version of the table in a folder of its own and returns it, so a failed job leaves the old one whole.
+A keyed table is a folder of versions. A write reads the last whole version, writes the next one beside it and only then is
+that one the table's, so a failed job leaves the old one as it was; versions before the last two are deleted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def whole_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were written to their end, in order."""
+    fs, place = _folder(spark, path)
+    if not fs.exists(place):
+        return []
+    names = [x.getPath() for x in fs.listStatus(place) if x.getPath().getName().startswith("v=")]
+    return sorted(int(x.getName()[2:]) for x in names if fs.exists(_folder(spark, f"{x}/_SUCCESS")[1]))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last whole version; None if there is none."""
+    found = whole_versions(spark, path)
+    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as the next version and read it back."""
+    spark = df.sparkSession
+    found = whole_versions(spark, path)
+    number = found[-1] + 1 if found else 0
+    df.write.mode("overwrite").parquet(f"{path}/v={number}")
+    for old in found[:-1]:
+        fs, place = _folder(spark, f"{path}/v={old}")
+        fs.delete(place, True)
+    return spark.read.schema(df.schema).parquet(f"{path}/v={number}")
+
+
 def append_absent(table: DataFrame | None, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``table`` and those rows whose key it lacks; of several rows with one key only one is added."""
-    fresh = rows.dropDuplicates(list(keys))
+    """``table`` and those rows whose key it lacks; of several rows with one key the smallest is added."""
+    rest = [c for c in rows.columns if c not in keys]
+    fresh = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*keys, "x.*").select(*rows.columns) if rest else rows.distinct()
     return fresh if table is None else table.unionByName(fresh.join(table.select(*keys), list(keys), "left_anti"))
 
 
 def upsert(table: DataFrame | None, rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """The row of each key with the highest version."""
+    """The row of each key with the highest version; of several with that version the greatest."""
     every = rows if table is None else table.unionByName(rows)
-    rest = [c for c in every.columns if c not in keys]
-    return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("x")).select(*keys, "x.*").select(*every.columns)
+    rest = [c for c in every.columns if c not in (*keys, version)]
+    return every.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("x")).select(*keys, "x.*").select(*every.columns)
 
 
 def close_events(table: DataFrame, ends: DataFrame, key: str) -> DataFrame:
@@ -31,8 +65,38 @@ def close_events(table: DataFrame, ends: DataFrame, key: str) -> DataFrame:
     return joined.withColumns({"end_s": end, "duration_s": end - F.col("start_s")}).drop("closed_s").select(*table.columns)
 
 
-def write_monthly(df: DataFrame, path: str, at: str, extra: Sequence[str] = ()) -> None:
-    """Parquet by month (and other columns), rows of a partition together; only the months written are replaced."""
+def raise_peaks(table: DataFrame, peaks: DataFrame, key: str, peak: str) -> DataFrame:
+    """The ``peak`` of open events of ``table`` (end_s) becomes that of ``peaks`` (key, peak) where it is higher; closed ones stay."""
+    joined = table.join(peaks.groupBy(key).agg(F.max(peak).alias("__peak")), key, "left")
+    return joined.withColumn(peak, F.when(F.col("end_s").isNull(), F.greatest(peak, "__peak")).otherwise(F.col(peak))).select(*table.columns)
+
+
+def append_absent_to(path: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return write_table(append_absent(read_table(rows.sparkSession, path), rows, keys), path)
+
+
+def upsert_to(path: str, rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    return write_table(upsert(read_table(rows.sparkSession, path), rows, keys, version), path)
+
+
+def close_events_in(path: str, ends: DataFrame, key: str) -> DataFrame:
+    table = read_table(ends.sparkSession, path)
+    if table is None:
+        raise FileNotFoundError(path)
+    return write_table(close_events(table, ends, key), path)
+
+
+def write_monthly(df: DataFrame, path: str, at: str, extra: Sequence[str] = (), files: int = 8) -> None:
+    """Parquet by month (and other columns, such as the country), a month in at most ``files`` files written by as many tasks; only
+    the months, or the months of the countries, that are written are replaced."""
     months = df.withColumn("ym", F.date_format(F.timestamp_seconds(at), "yyyyMM"))
-    writer = months.repartition(*extra, "ym").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    writer = months.repartition(*extra, "ym", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*extra, "ym").parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, at: str, first_s: int, last_s: int) -> DataFrame:
+    """Rows of a monthly table from ``first_s`` to ``last_s``, both included: months outside are not listed for reading."""
+    month = lambda s: F.date_format(F.timestamp_seconds(F.lit(s)), "yyyyMM")
+    table = spark.read.schema(spark.read.parquet(path).drop("ym").schema.add("ym", "string")).parquet(path)
+    return table.filter(F.col("ym").between(month(first_s), month(last_s)) & F.col(at).between(first_s, last_s))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from routeweave.functions import prefixes
 from routeweave.functions import scalars as S
-from routeweave.operators import cohorts, events, features, graph, intervals, joins, quality, series, state
+from routeweave.operators import cohorts, country, events, features, graph, intervals, joins, quality, series, state, subprefix
 
 
 def values(df, *columns):
@@ -200,3 +200,71 @@ def test_empty_event_series(spark):
     a, p = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 5, 1.0), (1, 3, 2.0)], "k int, t int, v double")
     got = {r["k"]: [tuple(x) for x in r["series"]] for r in events.nested_series(a, p, "k", "t", "v").collect()}
     assert got == {1: [(3, 2.0), (5, 1.0)], 2: []}
+
+
+def test_coverage_of_overlapping_and_odd_prefixes(spark):
+    v6 = lambda *p: intervals.v6_blocks_48(spark.createDataFrame([("k", x) for x in p], "k string, p string"), ["k"], "p").first()
+    assert v6("2001:db8::/47", "2001:db8:1::/48", "2001:db8:2::/48")["blocks"] == 3
+    assert v6("::/0", "2001:db8::/48")["blocks"] == 1
+    assert v6("2001:db8::1/64", "2001:DB8:0:5::/64", "10.0.0.0/8", "nonsense", None)["blocks"] == 1 and v6("::/0") is None
+    v4 = lambda *p: intervals.v4_blocks(spark.createDataFrame([("k", x) for x in p], "k string, p string"), ["k"], "p").first()
+    assert v4("10.0.0.0/24", "10.0.0.0/23", "10.0.1.0/24")["blocks"] == 2
+    assert v4("0.0.0.0/0", "10.0.0.0/24")["blocks"] == 1
+    assert v4("10.0.0.77/32", "10.0.0.5/30", "::1/64", "10.0.0.0/33", "10.0.3.9/22")["blocks"] == 4
+    df = spark.createDataFrame([("k", x) for x in ("10.0.0.0/31", "10.0.0.1/32", "10.0.0.128/25")], "k string, p string")
+    assert tuple(intervals.v4_addresses(df, ["k"], "p").first()) == ("k", 130, 130 / 256)
+    given = spark.createDataFrame([(x,) for x in ("10.1.2.3/8", "2001:DB8::1/32", "1.2.3.4", "x/24")], "p string").select(prefixes.parse_cidr("p").alias("c")).select("c.prefix", "c.afi", "c.plen")
+    assert [tuple(r) for r in given.collect()] == [("10.0.0.0/8", 4, 8), ("2001:db8::/32", 6, 32), ("1.2.3.4/32", 4, 32), (None, None, None)]
+
+
+def test_country_cohort_and_observations(spark):
+    schema = "vp int, afi int, prefix string, origin_state string, origin bigint"
+    seed = [(1, 4, "a", "resolved", 10), (2, 4, "a", "resolved", 10), (1, 6, "b", "resolved", 10), (1, 4, "c", "resolved", 20), (1, 4, "d", "unknown", None), (1, 4, "e", "conflict", None), (1, 4, "f", "resolved", 30), (1, 4, "g", "resolved", 40), (1, 4, "h", "resolved", 50)]
+    entries = spark.createDataFrame(seed, schema)
+    members = spark.createDataFrame([(10, True), (20, True), (30, None), (40, False), (60, True)], "asn bigint, member boolean")
+    assert tuple(country.cohort_quality(entries, members).first()) == (4, 1, 1, 1, 2)
+    cohort = country.freeze_cohort(entries, members)
+    assert values(country.cohort_sizes(cohort)) == [(10, 4, 2, 1), (10, 6, 1, 1), (20, 4, 1, 1)]
+    now = spark.createDataFrame([(0, 1, 4, "a", 10), (0, 2, 4, "a", 99), (0, 1, 6, "b", 10), (0, 1, 4, "z", 60), (300, 1, 6, "b", 10), (600, 1, 4, "a", 10)], "slot bigint, vp int, afi int, prefix string, origin bigint")
+    continuity = spark.createDataFrame([(0, True), (300, True), (600, False)], "slot bigint, continuous boolean")
+    got = {r["slot"]: r for r in country.observations(country.member_classes(cohort, now), continuity).collect()}
+    pick = lambda r: (r["fully_visible"], r["partially_visible"], r["fully_invisible"], r["only_v6"], r["affected_ratio"], r["visible_ratio"], r["route_ratio"], r["reason"])
+    assert pick(got[0]) == (0, 1, 1, 0, 1.0, 0.5, 0.5, None) and pick(got[300]) == (0, 1, 1, 1, 1.0, 0.5, 0.25, None)
+    assert pick(got[600]) == (*[None] * 7, "input_gap") and got[600]["baseline_asns"] == 2
+    assert values(country.dynamic_members(cohort, now, members)) == [(0, 4, 1, 1)]
+    seeds, later = spark.createDataFrame([(10, "a")], "asn int, p string"), spark.createDataFrame([(10, "a", 500), (20, "c", 900), (20, "c", 700)], "asn int, p string, t bigint")
+    assert values(country.growing_members(seeds, later, ["asn", "p"], "t", 100)) == [(10, "a", 100), (20, "c", 700)]
+
+
+def test_waves_and_trend_profile(spark):
+    def found(numbers, floor=0.05):
+        df = spark.createDataFrame([("e", 300 * i, v) for i, v in enumerate(numbers)], "k string, slot bigint, v double")
+        return [tuple(r)[1:] for r in country.waves(df, ["k"], "slot", "v", floor).orderBy("ordinal").collect()]
+
+    assert found([0.2, 0.5, 0.3, 0.1, 0.4, 0.4, 0.2]) == [(1, 0, 300, 900), (2, 1200, 1200, 1800)]
+    assert found([0.2, 0.5, 0.3, 0.1, 0.4, 0.1]) == [(1, 0, 300, 1500)]  # one slot does not confirm
+    assert found([0.2, 0.5, 0.1, 0.14, 0.14]) == [(1, 0, 300, 1200)] and found([0.2, None, 0.1]) == []
+    slots = [("a", i, "observed") for i in range(3)] + [("b", 0, "missing"), ("b", 1, "observed")] + [("c", 0, "gap")]
+    profile = country.trend_profile(spark.createDataFrame(slots, "k string, slot int, s string"), ["k"], "slot", "s")
+    assert values(profile, "k", "expected", "observed", "status", "limitations") == [
+        ("a", 3, 3, "complete", ""), ("b", 2, 1, "degraded", "non_observed_slots_present,window_start_not_observed"),
+        ("c", 1, 0, "unavailable", "no_observed_slots,window_start_not_observed,window_end_not_observed"),
+    ]
+
+
+def test_sub_prefix_hijacks(spark):
+    net = 10 * 2**24
+    routes = spark.createDataFrame([(net, 16, 1), (net, 24, 2), (net + 256, 24, 1), (net + 512, 25, 3), (net + 2**16, 16, 5), (net + 2**16, 16, 6), (net + 2**16, 20, 7), (net, 8, 9), (0, 0, 1)], "network bigint, length int, origin bigint")
+    states = subprefix.sub_prefix_states(routes)
+    got = {(r["network"], r["length"]): (r["parent_length"], r["new_origins"], r["reason"]) for r in states.collect()}
+    assert got[net, 24] == (16, [2], None) and got[net + 256, 24] == (16, [], "same origins") and got[net + 512, 25] == (16, [3], "prefix length difference is too large")
+    assert got[net + 2**16, 20] == (16, [7], "parent origin as num more than 1") and got[net, 16] == (8, [1], None) and (net, 8) not in got
+    nothing = spark.createDataFrame([], "network bigint, length int, origin bigint")
+    pairs, asns = spark.createDataFrame([], "asn bigint, other bigint"), spark.createDataFrame([], "asn bigint")
+    edges, orgs = spark.createDataFrame([(2, 1, 0)], "a bigint, b bigint, rel int"), spark.createDataFrame([(1, "x", "Same"), (9, "y", "Same")], "asn bigint, org string, org_en string")
+    filtered = lambda e, p: {(r["suspect"], r["owner"]): r["filter_reason"] for r in subprefix.cleared_pairs(states, nothing, p, e, orgs, asns).collect()}
+    assert filtered(edges, pairs) == {(2, 1): "as rel peer", (1, 9): "as rel same org", (5, 9): None, (6, 9): None}
+    assert filtered(edges.limit(0), pairs)[2, 1] is None
+    assert filtered(edges, spark.createDataFrame([(1, 2)], "asn bigint, other bigint"))[2, 1] == "policy"
+    flags = spark.createDataFrame([("p", i, f) for i, f in enumerate([False, True, True, False, True])], "k string, t int, f boolean")
+    assert sorted(map(str, map(tuple, subprefix.lifecycle(flags, ["k"], "t", "f").collect()))) == ["('p', 1, 3)", "('p', 4, None)"]

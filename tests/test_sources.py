@@ -78,3 +78,38 @@ def test_sinks(spark, tmp_path):
     sinks.write_monthly(at, str(tmp_path / "m"), "at")
     sinks.write_monthly(at.filter("id = 2").withColumn("id", F.lit(5).cast("bigint")), str(tmp_path / "m"), "at")
     assert sorted((r["ym"], r["id"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [(202401, 1), (202402, 5)]
+
+
+def test_keyed_tables_on_disk(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(r, "k string, v int, n int")
+    assert sinks.read_table(spark, path) is None
+    sinks.append_absent_to(path, rows(("a", 2, 1), ("a", 1, 9), ("b", 5, 0)), ["k"])
+    sinks.append_absent_to(path, rows(("a", 0, 0), ("c", 7, 7)), ["k"])
+    assert sorted(map(tuple, sinks.read_table(spark, path).collect())) == [("a", 1, 9), ("b", 5, 0), ("c", 7, 7)]
+    (tmp_path / "t" / "v=2").mkdir()  # a write that did not end
+    sinks.upsert_to(path, rows(("a", 3, 1), ("a", 3, 2), ("b", 4, 4)), ["k"], "v")
+    assert sorted(map(tuple, sinks.read_table(spark, path).collect())) == [("a", 3, 2), ("b", 5, 0), ("c", 7, 7)]
+    assert sinks.whole_versions(spark, path) == [1, 2]
+
+
+def test_event_tables_on_disk(spark, tmp_path):
+    path = str(tmp_path / "e")
+    table = spark.createDataFrame([(1, 10, None, None, 0.2), (2, 20, 30, 10, 0.5)], "id int, start_s bigint, end_s bigint, duration_s bigint, peak double")
+    sinks.write_table(table, path)
+    peaks = spark.createDataFrame([(1, 0.1), (1, 0.7), (2, 0.9)], "id int, peak double")
+    sinks.write_table(sinks.raise_peaks(sinks.read_table(spark, path), peaks, "id", "peak"), path)
+    sinks.close_events_in(path, spark.createDataFrame([(1, 50), (1, 40), (2, 99)], "id int, closed_s bigint"), "id")
+    assert sorted(map(tuple, sinks.read_table(spark, path).collect())) == [(1, 10, 40, 30, 0.7), (2, 20, 30, 10, 0.5)]
+
+
+def test_monthly_tables_are_pruned(spark, tmp_path):
+    path, day = str(tmp_path / "m"), 86400
+    df = spark.createDataFrame([(c, d * day, d) for c in ("aa", "bb") for d in range(0, 120, 5)], "country string, at_s bigint, v int")
+    sinks.write_monthly(df, path, "at_s", ["country"])
+    got = sinks.read_months(spark, path, "at_s", 35 * day, 45 * day)
+    assert sorted((r["country"], r["v"]) for r in got.collect()) == [(c, d) for c in ("aa", "bb") for d in (35, 40, 45)]
+    assert all("ym=197002" in f for f in got.inputFiles()) or "PartitionFilters: [isnotnull(ym" in got._jdf.queryExecution().toString()
+    sinks.write_monthly(df.filter("country = 'aa' AND at_s < 864000").withColumn("v", F.lit(-1)), path, "at_s", ["country"])
+    after = sinks.read_months(spark, path, "at_s", 0, 200 * day).groupBy("country").agg(F.count("*").alias("n"), F.min("v").alias("low")).collect()
+    assert sorted(map(tuple, after)) == [("aa", 19, -1), ("bb", 24, 0)]
