@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from routeweave.functions import prefixes
 from routeweave.functions import scalars as S
-from routeweave.operators import cohorts, country, events, features, graph, intervals, joins, quality, series, state, subprefix
+from routeweave.operators import cohorts, country, events, features, graph, intervals, joins, quality, reports, series, state, subprefix
 
 
 def values(df, *columns):
@@ -268,3 +268,21 @@ def test_sub_prefix_hijacks(spark):
     assert filtered(edges, spark.createDataFrame([(1, 2)], "asn bigint, other bigint"))[2, 1] == "policy"
     flags = spark.createDataFrame([("p", i, f) for i, f in enumerate([False, True, True, False, True])], "k string, t int, f boolean")
     assert sorted(map(str, map(tuple, subprefix.lifecycle(flags, ["k"], "t", "f").collect()))) == ["('p', 1, 3)", "('p', 4, None)"]
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("1_64512",), ("2",), ("3",)], "asn string")
+    names = spark.createDataFrame([(1, "", "one"), (2, "zwei", "two")], "asn int, name_local string, name_en string")
+    assert values(reports.with_attributes(rows, "asn", names)) == [("1_64512", "one"), ("2", "zwei"), ("3", "")]
+    staged = spark.createDataFrame([(1, '[{"v":5},{"v":6}]'), (2, "[]"), (3, "broken"), (4, None)], "k int, p string")
+    assert sorted(map(str, map(tuple, reports.unnested(staged, ["k"], "p", "struct<v:int>").collect()))) == ["(1, 0, 5)", "(1, 1, 6)", "(2, None, None)", "(3, None, None)", "(4, None, None)"]
+    texts = spark.createDataFrame([("Alpha", "x", "a"), ("beta", "ALPHAbet", "b"), (None, None, "a")], "s string, t string, c string")
+    assert reports.text_filter(texts, ["s", "t"], "aLpHa").count() == 2 and reports.text_filter(texts, ["s", "t"], "alpha", {"c": ["b"]}).count() == 1
+    states = spark.createDataFrame([("k", i, s) for i, s in enumerate("aab")] + [("n", 0, None), ("n", 1, None)], "k string, t int, s string")
+    assert values(reports.state_timelines(states, ["k"], "t", "s"), "k", "timeline", "n_runs") == [("k", "a*2 b*1", 2), ("n", "2", 1)]
+    spans = spark.createDataFrame([(0, 10, 10), (0, None, 3), (9, 5, 4), (0, 7, 9)], "s int, e int, c int")
+    assert [r["duration_check"] for r in reports.duration_checks(spans, "s", "e", "c", 1).collect()] == ["consistent", "open", "reversed", "inconsistent"]
+    closed = spark.createDataFrame([(4, 3, 1, 0.75), (4, 3, 2, 0.75), (None, 1, 1, None)], "n int, a int, b int, r double")
+    assert [tuple(r)[-2:] for r in reports.closure_checks(closed, "n", ["a", "b"], {"r": (["a"], "n")}).collect()] == [("holds", "holds"), ("broken", "holds"), ("not_checked", "not_checked")]
+    nets = spark.createDataFrame([(x,) for x in ("10.0.0.0/24", "10.0.0.0/23", "10.0.1.7/32", "0.0.0.0/0", "x", None)], "p string")
+    assert nets.agg(reports.covered_blocks("p").alias("n")).first()["n"] == 2
