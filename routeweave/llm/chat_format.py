@@ -9,7 +9,8 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Reversible esc
 any number of backslashes and a ``|`` gets one more backslash, so ``<|`` never stands in a text; in roles ``%``, line
 feeds and ``<|`` are percent-encoded.
 
-Defined cases: a null text or role is empty; a record whose fingerprint no layout has, or that is no JSON, gives no
+Defined cases: a null text or role is empty; a very long text is escaped and read back whole, and a conversation's turns are
+one row, so it has to fit in a task; a record whose fingerprint no layout has, or that is no JSON, gives no
 turns and is returned by ``unmapped``; turns with equal ordinals follow each other by role, then text; repeated rows
 are repeated turns; a null conversation id is a conversation; empty tables yield no rows; extra columns of a table are
 dropped before fingerprinting (``turn_records``), extra fields of a record change its fingerprint.

@@ -618,3 +618,30 @@ def test_jaccard_join_groups_of_one_prefix(spark, monkeypatch, pairs):
         rows.append((i, " ".join(w)))
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80).collect()
     assert sorted(map(tuple, got)) == brute_components(rows, 3, 80)
+
+
+def test_quality_ties_and_repeated_rows(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, "### " * 60), (None, text), (None, None)]
+    rules = [quality_rules.Rule("a", F.col("n_symbols") > 10), quality_rules.Rule("b", F.col("n_symbols") > 10)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string"), rules).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in got) == [("1", 60, False), ("1", 60, True), ("1", 60, True), ("None", 0, False), ("None", 60, True)]
+    assert {r["failed_rule"] for r in got} == {None, "base"}
+
+
+def test_mixing_repeated_rows_share_their_fate(spark):
+    rows = [(i % 40, f"some words of document {i % 40} and more", "en" if i % 3 else "de", f"s{i % 2}") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), sweeps=20).toPandas()
+    assert len(got) == 400 and (got.groupby(["doc_id", "lang", "source"]).sampled.nunique() == 1).all()
+
+
+def test_mixing_uniform_targets_fit(spark):
+    """With a budget that leaves every cell room the margins fit, however skewed the tokens are."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.integers(60, 900)), ("en", "de", "fr")[int(rng.choice(3, p=(0.7, 0.2, 0.1)))], f"s{int(rng.choice(4, p=(0.6, 0.2, 0.1, 0.1)))}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = mixing.mix(df, {m: 0.0 for m in mixing.MARGINS}, budget=0.01).toPandas()
+    weight = got.tokens * got.probability
+    for margin in ("source", "lang", "topic"):
+        shares = weight.groupby(got[margin]).sum()
+        assert (shares / shares.sum()).to_numpy() == pytest.approx(1 / len(shares), rel=1e-6)

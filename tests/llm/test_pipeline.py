@@ -57,3 +57,25 @@ def test_mixing_stage(steps):
 def test_packing_stage_and_run(spark, steps, sf_dir):
     check_packing(pairs(steps[4]), steps[5].collect())
     check_packing(pairs(steps[4]), P.run(spark, sf_dir).collect())
+
+
+def test_run_on_odd_rows(spark, rows, tmp_path):
+    """Null ids, repeated rows and ids, ties, extra columns whose names the operators use."""
+    some = [(i, t, lang, source) for i, t, lang, source, _ in rows if len(t or "") < 5000]
+    odd = some + [(1, some[0][1], "en", "src0"), (1, "other words under one id " * 5, "en", None), (None, some[8][1], None, "src1"), (None, None, None, None), (99, some[8][1], "de", "src1")]
+    df = spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.char_length("text").cast("bigint"))
+    df.withColumns({c: F.lit(c) for c in ("id", "k", "rest", "topic", "tokens", "component_id", "batch")}).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = P.run(spark, str(tmp_path)).collect()
+    whole = [r for r in pieces if r["start"] == 0]
+    ids = [r["doc_id"] for r in whole if r["doc_id"] is not None]
+    assert len(ids) == len(set(ids)) and set(ids) <= {r[0] for r in odd}
+    assert all(sum(len(p["ids"]) // 4 for p in pieces if p["doc_id"] == r["doc_id"]) == r["doc_tokens"] for r in whole if r["doc_id"] is not None)
+
+
+def test_stages_on_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0, name
+        assert name == "packing" or out.columns == docs.columns
