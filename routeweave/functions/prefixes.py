@@ -10,9 +10,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Prefixes that features leave out, and the shortest lengths that count.
+#: Prefixes that features leave out, the shortest lengths that count, and the reasons.
 EXCLUDED = ("120.0.0.0/11", "173.0.0.0/11")
 SHORTEST_V4, SHORTEST_V6 = 8, 16
+SKIP_REASONS = ("manually_excluded_prefix", "oversized_ipv4_prefix", "oversized_ipv6_prefix")
 
 _V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})/(\d{1,2})$"
 CIDR_TYPE = T.StructType(
@@ -54,10 +55,8 @@ def v4_text(network: Column, length: Column) -> Column:
 
 def skip_reason(prefix: Column, afi: Column, length: Column) -> Column:
     """Why features leave a prefix out; NULL where they do not."""
-    return (
-        F.when(prefix.isin(*EXCLUDED), "manually_excluded_prefix").when((afi == 4) & (length < SHORTEST_V4), "oversized_ipv4_prefix")
-        .when((afi == 6) & (length < SHORTEST_V6), "oversized_ipv6_prefix")
-    )
+    excluded, long_v4, long_v6 = SKIP_REASONS
+    return F.when(prefix.isin(*EXCLUDED), excluded).when((afi == 4) & (length < SHORTEST_V4), long_v4).when((afi == 6) & (length < SHORTEST_V6), long_v6)
 
 
 def v4_ancestors(network: Column, length: Column, shortest: Column | int = 1) -> Column:

@@ -11,8 +11,11 @@ from ..functions.scalars import PRIVATE_16
 from .features import nearest_covering
 from .joins import relation_of
 
-#: How many bits longer than its parent a suspicious prefix may be, for IPv4.
+#: How many bits longer than its parent a suspicious IPv4 prefix may be, the reasons to clear it, and the mark of a personal network.
 GAP = 8
+TOO_LONG, MANY_PARENTS, SAME_ORIGINS = "prefix length difference is too large", "parent origin as num more than 1", "same origins"
+CLEARED = ("personal network", "private as", "policy", "as rel provider-customer", "as rel peer", "as rel same org", "is AntiDDoS provider")
+PERSONAL = "个人"
 
 
 def sub_prefix_states(routes: DataFrame, gap: int = GAP) -> DataFrame:
@@ -25,8 +28,8 @@ def sub_prefix_states(routes: DataFrame, gap: int = GAP) -> DataFrame:
     out = sets.join(met, ["network", "length"]).join(parents, ["parent_network", "parent_length"])
     new = F.array_except("origins", "parent_origins")
     reason = (
-        F.when(F.col("length") - F.col("parent_length") > gap, "prefix length difference is too large").when(F.size(new) == 0, "same origins")
-        .when(F.size("parent_origins") > 1, "parent origin as num more than 1")
+        F.when(F.col("length") - F.col("parent_length") > gap, TOO_LONG).when(F.size(new) == 0, SAME_ORIGINS)
+        .when(F.size("parent_origins") > 1, MANY_PARENTS)
     )
     return out.withColumns({"new_origins": new, "reason": reason})
 
@@ -54,11 +57,10 @@ def cleared_pairs(states: DataFrame, registered: DataFrame, policies: DataFrame,
         checked = checked.join(org(side), side, "left").join(shield(side), side, "left")
     private = F.col("a").between(PRIVATE_16[0] - 1, PRIVATE_16[1]) | F.col("b").between(PRIVATE_16[0] - 1, PRIVATE_16[1])
     rules = (
-        ("personal network", F.contains("org_a", F.lit("个人")) | F.contains("org_b", F.lit("个人"))), ("private as", private), ("policy", F.col("policy")),
-        ("as rel provider-customer", F.col("relation").isin("customer_provider", "provider_customer")), ("as rel peer", F.col("relation") == "peer"),
-        ("as rel same org", (F.col("a") == F.col("b")) | (F.col("en_a") == F.col("en_b"))), ("is AntiDDoS provider", F.coalesce("shield_a", "shield_b")),
+        F.contains("org_a", F.lit(PERSONAL)) | F.contains("org_b", F.lit(PERSONAL)), private, F.col("policy"), F.col("relation").isin("customer_provider", "provider_customer"), F.col("relation") == "peer",
+        (F.col("a") == F.col("b")) | (F.col("en_a") == F.col("en_b")), F.coalesce("shield_a", "shield_b"),
     )
-    found = F.array(*[F.when(holds, F.struct(F.lit(k).alias("rank"), F.lit(name).alias("reason"))) for k, (name, holds) in enumerate(rules)])
+    found = F.array(*[F.when(holds, F.struct(F.lit(k).alias("rank"), F.lit(name).alias("reason"))) for k, (name, holds) in enumerate(zip(CLEARED, rules))])
     first = F.array_min(F.filter(found, lambda x: x.isNotNull()))
     out = checked.groupBy("network", "length", "suspect", "owner").agg(F.min(first).alias("x"))
     return out.select("network", "length", "suspect", "owner", F.col("x.reason").alias("filter_reason"))
