@@ -126,11 +126,11 @@ def size_band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9)
 
 
-def shared_tokens(first: DataFrame, shared: DataFrame) -> DataFrame:
-    """(shingle, gid, members, band) of the shingles of ``first`` (doc_id, prefix, band, members) that are in ``shared`` (shingle), and of few
-    others, which then find no partner: a Bloom filter in the scan keeps all other shingles out of the shuffle."""
+def shared_tokens(filled: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(shingle, gid, band) of the prefix shingles of documents that are in ``shared`` (shingle), and of few others, which then find no
+    partner: a Bloom filter in the scan keeps all other shingles out of every shuffle."""
     bits = min(MOST_BITS, 1 << max(20, math.ceil(math.log2(max(shared.count(), 1) * BITS_A_SHINGLE))))
-    bitmap = first.sparkSession.sparkContext.broadcast(bloom_filter(shared, bits))
+    bitmap = filled.sparkSession.sparkContext.broadcast(bloom_filter(shared, bits))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,20 +138,20 @@ def shared_tokens(first: DataFrame, shared: DataFrame) -> DataFrame:
             shingles, owner = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
             at = in_bloom(bitmap.value, shingles.view(np.uint64))
             rows = pa.array(owner[at])
-            yield pa.RecordBatch.from_arrays([pa.array(shingles[at]), *[batch.column(k).take(rows) for k in (1, 2, 3)]], names=["shingle", "gid", "members", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[at]), *[batch.column(k).take(rows) for k in (1, 2)]], names=["shingle", "gid", "band"])
 
-    return first.select("prefix", F.col("doc_id").alias("gid"), "members", "band").mapInArrow(keep, "shingle bigint, gid bigint, members int, band bigint")
+    rows = filled.select("prefix", F.col("doc_id").alias("gid"), size_band(F.col("n_shingles"), percent).cast("bigint").alias("band"))
+    return rows.mapInArrow(keep, "shingle bigint, gid bigint, band bigint")
 
 
 def buckets(classes: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
     """(bucket, own, here, gid, size, rep): the members of each group of several, and of all groups that share a prefix shingle and
     have one of a fitting band of sizes beside them. here: in the group's own band; size: of the bucket."""
-    leading = classes.filter("rep = gid").select(F.col("rep").alias("doc_id"), F.col("members").cast("int").alias("members"))
-    first = filled.select("doc_id", "prefix", size_band(F.col("n_shingles"), percent).cast("bigint").alias("band")).join(leading, "doc_id")
-    counts = first.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("groups"))
-    shared = stored(counts.filter("groups > 1").select("shingle"))
+    # copies are counted as well: their shingles pass here and are left behind by the join with the groups' leaders
+    shared = stored(filled.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"))
+    leading = classes.filter("rep = gid").select("gid", F.col("members").cast("int").alias("members"))
     bands = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.lit(True).alias("here")), F.struct(F.lit(1).alias("up"), F.lit(False).alias("here")))).alias("x")
-    tokens = shared_tokens(first, shared).select("shingle", "gid", "members", "band", bands)
+    tokens = shared_tokens(filled, shared, percent).join(leading, "gid").select("shingle", "gid", "members", "band", bands)
     met = stored(tokens.select(F.xxhash64("shingle", F.col("band") + F.col("x.up")).alias("bucket"), "gid", "members", "x.here"))
     fitting = met.groupBy("bucket").agg(F.count("*").alias("groups"), F.max("here").alias("any"), F.sum("members").alias("size")).filter("groups > 1 AND any").select("bucket", "size")
     by_token = met.join(fitting, "bucket").select("bucket", F.lit(False).alias("own"), "here", "gid", "size")
