@@ -16,7 +16,7 @@ join of lines with dropped keys is a sort-merge join that adaptive execution can
 Defined cases: a null or empty text is one empty line; lines whose key is shorter than ``min_chars`` always stay; a very
 long text is one row and its lines are sorted within it; rows that repeat a doc_id are documents of their own, so all
 rows with the largest doc_id keep their lines; a null doc_id is the smallest; an empty table yields no rows; extra
-columns are carried through.
+columns are carried through; when a batch fails, its error is raised after all runs are deleted.
 """
 
 from __future__ import annotations
@@ -61,6 +61,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.added = spark, fanout, []
         self.levels: list[list[tuple[str, DataFrame]]] = [[]]
+        self.names: set[str] = set()
         self.root, self.buckets = scratch_dir(spark), shuffle_partitions(spark)
 
     @property
@@ -69,21 +70,29 @@ class LineRuns:
 
     def _write(self, keys: DataFrame) -> tuple[str, DataFrame]:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.names.add(name)
         keys.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
         return name, self.spark.table(name)
 
-    def _drop(self, level: list[tuple[str, DataFrame]]) -> None:
+    def _drop(self, level: list[tuple[str, DataFrame | None]]) -> None:
         for name, _ in level:
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             discard(self.spark, f"{self.root}/{name}")
+            self.names.discard(name)
 
     def drop(self) -> None:
         """Delete all runs and counts."""
-        for level in self.levels:
-            self._drop(level)
+        self._drop([(name, None) for name in self.names])
         self.levels, self.added = [[]], []
         discard(self.spark, self.root)
 
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        """Also when a batch fails: no run stays in the catalog."""
+        self.drop()
+
     def add(self, lines: DataFrame) -> DataFrame:
         """Take one batch of (doc_id, h1, h2), each document's key once; the run of keys that are new is returned."""
         keys = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
@@ -147,12 +156,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     spark = docs.sparkSession
     rows = line_rows(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id", "k"), F.lit(batches)).cast("int"))
     lines = stored(rows, partition_by=("batch",))
-    runs = LineRuns(spark, fanout)
-    with ordered_buckets(spark):
+    with LineRuns(spark, fanout) as runs, ordered_buckets(spark):
         for b in range(batches):
             runs.add(lines.filter((F.col("batch") == b) & F.col("first")).select("doc_id", *KEY))
         dropped = stored(runs.totals(min_docs).select(*KEY, "max_doc"))
-    runs.drop()
     hits = lines.join(dropped, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     per_doc = hits.groupBy(F.col("doc_id").alias("__hit"), F.col("k").alias("__hit_k")).agg(F.collect_set("pos").alias("__drop"))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__hit_k"))

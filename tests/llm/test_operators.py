@@ -169,12 +169,32 @@ def test_line_dedup_null_and_repeated_ids(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def line_tables(spark):
+    return [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
 def test_line_runs_compact(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    for b in range(4):
-        runs.add(spark.createDataFrame([(10 * b + d, h, h) for d in range(3) for h in (7, 100 * b + d)], "doc_id bigint, h1 bigint, h2 bigint"))
-    assert len(runs.runs) == 1
-    assert [tuple(r) for r in runs.totals(2).collect()] == [(7, 7, 12, 32)]
+    with line_dedup.LineRuns(spark, fanout=2) as runs:
+        for b in range(4):
+            runs.add(spark.createDataFrame([(10 * b + d, h, h) for d in range(3) for h in (7, 100 * b + d)], "doc_id bigint, h1 bigint, h2 bigint"))
+        assert len(runs.runs) == 1 and len(line_tables(spark)) == 1
+        assert [tuple(r) for r in runs.totals(2).collect()] == [(7, 7, 12, 32)]
+    assert not line_tables(spark)
+
+
+def test_line_dedup_failing_batch(spark, docs, monkeypatch):
+    add, calls = line_dedup.LineRuns.add, []
+
+    def failing(self, lines):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("a batch fails")
+        return add(self, lines)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", failing)
+    with pytest.raises(RuntimeError, match="a batch fails"):
+        line_dedup.dedup_lines(docs, batches=4)
+    assert not line_tables(spark)
 
 
 # ---- substring dedup
@@ -503,7 +523,7 @@ def test_line_dedup_repeated_lines_in_one_document(spark):
     rows = [(1, "\n".join([line, "x", line.upper(), line])), (2, line), (3, "\n".join([line, line])), (3, line + "\nand more"), (None, line), (None, line)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), batches=3)
     assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "text").collect()), key=str) == brute_lines(rows)
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+    assert not line_tables(spark)
 
 
 def test_language_id_numbers_are_no_letters(spark, monkeypatch):
