@@ -5,7 +5,7 @@ its rarest terms: first the rarest of the terms that a sixteenth of all document
 all that another document has (``LEVELS``). A range partitioning by these
 terms, and by a hash of the id behind them, brings documents with the same telling terms side by side wherever they were
 read, and cuts the rows into parts of equal size: a hot term, or a group of copies, is spread over as many parts as it
-fills. The sorted parts are cut into *shards* of at most ``shard_docs`` documents (or
+fills. A part holds one full shard at least, whatever ``spark.sql.shuffle.partitions`` says. The sorted parts are cut into *shards* of at most ``shard_docs`` documents (or
 ``SHARD_TOKENS`` ids).
 
 A shard has its own BM25 inverted index over token ids. A seed document opens a window; all its terms query the index,
@@ -227,6 +227,13 @@ def _ids(column: pa.Array, dtype: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(x.as_buffer(), dtype=dtype)
 
 
+def part_count(n_docs: int, n_bytes: int, id_bytes: int, partitions: int, shard_docs: int = SHARD_DOCS) -> int:
+    """Parts of at most ``PART_BYTES`` on average; up to the session's ``partitions`` where each still has a full shard, so that no setting
+    makes shards small or leaves a padded window in each of many small parts."""
+    full = max(n_docs // shard_docs, n_bytes // (SHARD_TOKENS * id_bytes))
+    return max(1, math.ceil(n_bytes / PART_BYTES), min(partitions, full))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, shard_docs: int = SHARD_DOCS, query_terms: int | None = None) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): its ids, its place in the document and in a sequence of at most ``window`` ids."""
 
@@ -261,8 +268,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None
 
     dtype = id_type(tokenizer_path)
     encoded = stored(encode(docs, tokenizer_path, ranks_path, pattern, separator, dtype))
-    tokens = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = max(shuffle_partitions(docs.sparkSession), math.ceil(tokens / PART_BYTES))
+    n_bytes, n_docs = encoded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)), F.count("ids")).first()
+    parts = part_count(n_docs, n_bytes, np.dtype(dtype).itemsize, shuffle_partitions(docs.sparkSession), shard_docs)
     keys = [*(f"t{k}" for k in range(len(LEVELS))), "tie", "doc_id"]
     rows = routed(encoded, dtype).withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     return rows.select("doc_id", "ids").mapInArrow(pack, SCHEMA)

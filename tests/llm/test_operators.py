@@ -53,6 +53,21 @@ def check_packing(rows, pieces, window=2048):
     return len(by_sequence)
 
 
+def test_packing_parts_come_from_the_data(spark, docs, rows):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        pieces = packing.pack_documents(docs, *tokenizer_files()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tokens = sum(len(p["ids"]) // 4 for p in pieces)
+    assert check_packing([r[:2] for r in rows], pieces) == -(-tokens // 2048)  # few documents are one shard: only the last window is padded
+    assert packing.part_count(1000, 10**6, 2, 200) == 1
+    assert packing.part_count(10**6, 10**9, 2, 200) == 200
+    assert packing.part_count(10**6, 10**9, 2, 1000) == 488
+    assert packing.part_count(10**8, 10**12, 2, 200) == -(-(10**12) // packing.PART_BYTES)
+
+
 def test_packing_round_trip(docs, rows):
     pieces = packing.pack_documents(with_extra(docs), *tokenizer_files()).collect()
     n = check_packing([r[:2] for r in rows], pieces)
