@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,10 +87,10 @@ def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Partial divergences of the pairs of one cell. Rows: the groups' least p (null term) and their terms' p."""
     lang, a, b = key[0], key[1].as_py(), key[2].as_py()
-    least = table.filter(pa.compute.is_null(table.column("term")))
-    held = table.filter(pa.compute.is_valid(table.column("term")))
+    least = table.filter(pc.is_null(table.column("term")))
+    held = table.filter(pc.is_valid(table.column("term")))
     names, block, floor = least.column("source").to_pylist(), least.column("block").to_numpy(), least.column("p").to_numpy()
-    row = pa.compute.index_in(held.column("source"), least.column("source").combine_chunks()).to_numpy(zero_copy_only=False)
+    row = pc.index_in(held.column("source"), least.column("source").combine_chunks()).to_numpy(zero_copy_only=False)
     terms = held.column("term").combine_chunks().dictionary_encode()
     share = np.repeat(floor[:, None], len(terms.dictionary), axis=1)
     share[row, terms.indices.to_numpy()] = held.column("p").to_numpy()
