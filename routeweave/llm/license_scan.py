@@ -1,6 +1,6 @@
 """Operator 8: license scans by conditional compression.
 
-Texts with a cue word are cut into blocks: sentences that hold a cue, and around each cue the words that a template of
+Cue words are derived from the templates (``cues_of``), so that no wording that can be confirmed is without one. Texts with a cue word are cut into blocks: sentences that hold a cue, and around each cue the words that a template of
 each size class (``REACHES``) could take, over line ends, sentences, comment marks and blank lines, wherever in a
 paragraph of any length they stand. A block is compressed with zstandard alone and with each template as
 raw-content dictionary; templates are ranked by how much they shrink it. The first in rank that fits is confirmed by
@@ -9,7 +9,7 @@ first and last aligned word, must be few words. What is left beside a finding is
 never reach Python, and nothing is shuffled.
 
 Defined cases: a null or empty text has no block; a very long text is scanned whole, as its blocks are bounded by the
-longest template; of overlapping confirmed blocks the longer one is returned; ties in
+longest template; a template of so few characters that it shrinks no block is not found; of overlapping confirmed blocks the longer one is returned; ties in
 rank go to the template named first; repeated rows, and rows that repeat a doc_id, are scanned each; a null doc_id is
 returned as null; an empty table yields no rows; extra columns are ignored.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
@@ -60,18 +61,36 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
-#: What a block must hold, in lower case.
-CUES = ("licen", "copyright", "granted", "redistribut", "reserved", "mozilla", "cc by", "neighboring", "unencumbered")
 #: Words on each side of a cue that a block has, by size class: a template of at most so many words, additions included, lies inside.
 REACHES = (12, 24, 48, 96, 192, 384)
 #: A wording is confirmed with at most this share of the template's words missing, and added.
 MISSING, ADDED = 0.1, 0.2
 
-_CUE = re.compile("|".join(map(re.escape, CUES)), re.IGNORECASE)
+#: Letters of words that are preferred as cues.
+CUE_CHARS = 6
 _SENTENCE = re.compile(r"\S(?:[^\n]*?(?:[.:;!?](?=\s)|$))", re.MULTILINE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
+def cues_of(templates: Sequence[tuple[str, str]]) -> tuple[str, ...]:
+    """Words, in lower case, of which every wording that can be confirmed holds one.
+
+    At most the share ``MISSING`` of a template's words may be missing, so one word more than that is enough. Long words that many templates have are taken first,
+    which keeps the list short and ordinary texts free of cues.
+    """
+    words = [_WORD.findall(text.lower()) for _, text in templates]
+    spread, cues = Counter(w for own in words for w in set(own)), []
+    for own in sorted(words, key=len):
+        have = sum(any(c in w for c in cues) for w in own)
+        for word in sorted(set(own), key=lambda w: (len(w) < CUE_CHARS, -spread[w], -len(w), w)):
+            if have > MISSING * len(own):
+                break
+            if not any(c in word for c in cues):
+                have += sum(word in w and not any(c in w for c in cues) for w in own)
+                cues.append(word)
+    return tuple(cues)
+
+
 @dataclass(frozen=True)
 class Finding:
     start: int
@@ -93,6 +112,7 @@ class Scanner:
         raw = [zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, text in templates]
         self._given = [zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False) for d in raw]
         self._words = [_WORD.findall(text.lower()) for _, text in templates]
+        self._cue = re.compile("|".join(map(re.escape, cues_of(templates))), re.IGNORECASE)
         longest = max(len(w) + int(ADDED * len(w)) for w in self._words)
         self._reaches = [n for k, n in enumerate(REACHES) if not k or REACHES[k - 1] < longest]
         if longest > REACHES[-1]:
@@ -101,12 +121,12 @@ class Scanner:
     def blocks(self, text: str) -> list[tuple[int, int]]:
         words, found = [m.span() for m in _WORD.finditer(text)], set()
         starts = [a for a, _ in words]
-        for cue in _CUE.finditer(text) if words else ():
+        for cue in self._cue.finditer(text) if words else ():
             at = max(0, bisect_right(starts, cue.start()) - 1)
             for n in self._reaches:
                 found.add((words[max(0, at - n)][0], words[min(len(words) - 1, at + n)][1]))
         for s in _SENTENCE.finditer(text):
-            if _CUE.search(text, s.start(), s.end()):
+            if self._cue.search(text, s.start(), s.end()):
                 found.add(s.span())
         return sorted(found, key=lambda x: (x[0] - x[1], x[0]))  # longest first
 
@@ -152,7 +172,7 @@ class Scanner:
         while pieces:
             start, end = pieces.pop()
             piece = text[start:end]
-            if not _CUE.search(piece):
+            if not self._cue.search(piece):
                 continue
             fits = {f for block in self.blocks(piece) if (f := self.confirm(piece, *block))}
             taken: list[Finding] = []
@@ -173,7 +193,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     """(doc_id, start, length, block, license, template, reduction, words_missing, words_added) of each confirmed block; start and length in code points."""
     lower = F.lower("text")
     cue = F.lit(False)
-    for c in CUES:
+    for c in cues_of(templates):
         cue |= F.contains(lower, F.lit(c))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
