@@ -1,19 +1,23 @@
 """Operator 2: chat formatting by schema fingerprints.
 
-Records of any layout come as JSON strings. The nested field paths of a record (its variant schema without the scalar
-types) are hashed; the hash selects a declarative ``Layout``, which turns the record into canonical turns (conversation,
-ordinal, role, text). Turns of a conversation are gathered, written in one template and given a loss mask over the
-assistant's texts. Native: DataFrame functions only.
+Records of any layout come as JSON strings. Which of the nested field paths that layouts name a record has is hashed; the
+hash selects a declarative ``Layout``, which turns the record into canonical turns (ordinal, role, text). A record is a
+conversation, or, in layouts of single turns, one turn of the conversation that its key names; those turns are gathered.
+Turns are written in one template and given a loss mask over the assistant's texts. Native: DataFrame functions only.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Reversible escapes: in texts a ``<`` that is followed by
 any number of backslashes and a ``|`` gets one more backslash, so ``<|`` never stands in a text; in roles ``%``, line
 feeds and ``<|`` are percent-encoded.
 
+Ids are text, kept as the record has them, beside the name of the layout: ids of different layouts never meet, nor do two
+records of a whole conversation with one id, or without an id (``conv_id`` is null). Only rows of single turns are
+gathered by id.
+
 Defined cases: a null text or role is empty; a very long text is escaped and read back whole, and a conversation's turns are
-one row, so it has to fit in a task; a record whose fingerprint no layout has, or that is no JSON, gives no
-turns and is returned by ``unmapped``; turns with equal ordinals follow each other by role, then text; repeated rows
-are repeated turns; a null conversation id is a conversation; empty tables yield no rows; extra columns of a table are
-dropped before fingerprinting (``turn_records``), extra fields of a record change its fingerprint.
+one row, so it has to fit in a task; a record whose fingerprint no layout has, or that is no JSON, is returned with a null
+layout and its ``record``; turns with equal ordinals follow each other by role, then text; repeated rows of turns
+are repeated turns, repeated records of conversations are repeated conversations; single turns with a null id are one conversation; empty tables yield no rows; extra columns of a table are
+dropped (``turn_records``), fields that no layout names play no part in the fingerprint.
 """
 
 from __future__ import annotations
@@ -21,11 +25,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-_SCALARS = r"\b(STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL\(\d+,\s*\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|VARIANT)(?=[,>]|$)"
 
 
 @dataclass(frozen=True)
@@ -69,9 +72,29 @@ LAYOUTS = (
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def fingerprint(value: Column) -> Column:
-    """Hash of the nested field paths of a variant; scalar types and values play no part."""
-    return F.sha2(F.regexp_replace(F.schema_of_variant(value), _SCALARS, "*"), 256)
+def field_paths(layouts: Sequence[Layout]) -> list[tuple[str, str | None]]:
+    """(path, field of the items of that array) of everything that the layouts read but the key."""
+    found: set[tuple[str, str | None]] = set()
+    for x in layouts:
+        if x.items:
+            found |= {(x.items, None), (x.items, x.role), (x.items, x.text)}
+        elif x.fixed:
+            found |= {(path, None) for _, paths in x.fixed for path in paths}
+        else:
+            found |= {(path, None) for path in (x.ordinal, x.role, x.text)}
+    return sorted(found, key=str)
+
+
+def fingerprint(value: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
+    """Hash of those field paths of ``layouts`` that a variant has; values and scalar types play no part."""
+
+    def has(path: str, field: str | None) -> Column:
+        if field is None:
+            return F.try_variant_get(value, path, "variant").isNotNull()
+        return F.exists(F.try_variant_get(value, path, "array<variant>"), lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull())
+
+    paths = [F.when(has(path, field), F.lit(path if field is None else f"{path}[*].{field}")) for path, field in field_paths(layouts)]
+    return F.when(value.isNotNull(), F.sha2(F.concat_ws("\n", *paths), 256))
 
 
 def _turn(ordinal: Column, role: Column, text: Column) -> Column:
@@ -95,17 +118,14 @@ def _renamed(role: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """(conv_id, layout, turns) of each record of ``records`` (record string); layout is null where no fingerprint fits."""
+    """(conv_id, layout, turns, record) of each record of ``records`` (record string); layout is null where no fingerprint fits."""
     v = F.col("v")
-    known = records.select("record", F.try_parse_json("record").alias("v")).withColumn("fingerprint", fingerprint(v))
-    name = key = turns = None
-    for layout in layouts:
-        fits = F.col("fingerprint").isin(*[fingerprint(F.parse_json(F.lit(x))) for x in layout.examples])
-        picked = (F.lit(layout.name), F.try_variant_get(v, layout.key, "bigint"), _turns(layout, v))
-        if name is None:
-            name, key, turns = (F.when(fits, x) for x in picked)
-        else:
-            name, key, turns = (c.when(fits, x) for c, x in zip((name, key, turns), picked))
+    known = records.select("record", F.try_parse_json("record").alias("v")).withColumn("fingerprint", fingerprint(v, layouts))
+    name = key = turns = F.lit(None)
+    for layout in reversed(layouts):
+        fits = F.col("fingerprint").isin(*[fingerprint(F.parse_json(F.lit(x)), layouts) for x in layout.examples])
+        picked = (F.lit(layout.name), F.try_variant_get(v, layout.key, "string"), _turns(layout, v))
+        name, key, turns = (F.when(fits, x).otherwise(c) for c, x in zip((name, key, turns), picked, strict=True))
     return known.select(key.alias("conv_id"), name.alias("layout"), turns.alias("turns"), "record")
 
 
@@ -131,19 +151,30 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_records(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """(conv_id, formatted, loss_spans) of each conversation: its text in the template, and the spans (start, length in
-    code points) of the assistant's escaped texts, in order."""
-    turns = canonical_turns(records, layouts).filter(F.col("layout").isNotNull()).select("conv_id", F.inline("turns"))
-    head = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))
-    body = escape_text(F.col("text"))
-    pieces = turns.select("conv_id", "ordinal", F.coalesce("role", F.lit("")).alias("role"), "text", F.concat(head, body, F.lit(END)).alias("piece"), F.char_length(head).alias("head"), F.char_length(body).alias("body"))
-    order = Window.partitionBy("conv_id").orderBy("ordinal", "role", "text")
-    before = F.coalesce(F.sum(F.char_length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = pieces.withColumns({"n": F.row_number().over(order), "before": before})
-    span = F.when(F.col("role") == "assistant", F.struct((F.col("before") + F.col("head")).alias("start"), F.col("body").cast("bigint").alias("length")))
-    gathered = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "piece", span.alias("span")))).alias("x"))
-    spans = F.filter(F.transform("x", lambda t: t["span"]), lambda s: s.isNotNull())
-    return gathered.select("conv_id", F.array_join(F.transform("x", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    """(conv_id, layout, formatted, loss_spans, record) of each conversation: its text in the template, and the spans (start, length
+    in code points) of the assistant's escaped texts, in order; ``record`` is null but for records without a layout."""
+    single = [x.name for x in layouts if not (x.items or x.fixed)]
+    turns = canonical_turns(records, layouts)
+    gathered = turns.filter(F.col("layout").isin(*single)).select("conv_id", "layout", F.inline("turns")).groupBy("conv_id", "layout")
+    whole = turns.filter(F.col("layout").isNull() | ~F.col("layout").isin(*single))
+    whole = whole.select("conv_id", "layout", F.coalesce("turns", F.array().cast("array<struct<ordinal:bigint,role:string,text:string>>")).alias("turns"), F.when(F.col("layout").isNull(), F.col("record")).alias("record"))
+    ordered = F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("role", F.lit("")).alias("role"), "text")))
+    chats = gathered.agg(ordered.alias("turns")).withColumn("record", F.lit(None).cast("string")).union(whole)
+
+    def piece(t: Column) -> Column:
+        role = F.coalesce(t["role"], F.lit(""))
+        return F.struct((role == "assistant").alias("loss"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape_text(t["text"]).alias("body"))
+
+    def placed(done: Column, p: Column) -> Column:
+        begin = done["at"] + F.char_length(p["head"])
+        span = F.array(F.struct(begin.alias("start"), F.char_length(p["body"]).cast("bigint").alias("length")))
+        return F.struct((begin + F.char_length(p["body"]) + len(END)).alias("at"), F.when(p["loss"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    pieces = chats.withColumn("pieces", F.transform("turns", piece))
+    formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    mapped = F.col("layout").isNotNull()
+    return pieces.select("conv_id", "layout", F.when(mapped, formatted).alias("formatted"), F.when(mapped, F.aggregate("pieces", start, placed)["spans"]).alias("loss_spans"), "record")
 
 
 def read_turns(formatted: Column) -> Column:

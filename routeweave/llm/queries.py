@@ -36,11 +36,11 @@ CONTROL_CONVERSATION = (
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.turn_records(table(spark, sf_dir, "conversations"))
     records = rows.union(spark.range(1).select(F.lit(CONTROL_CONVERSATION).alias("record")))
-    chats = chat_format.format_records(records)
+    chats = chat_format.format_records(records).filter("layout IS NOT NULL")
     read = chats.withColumns({"turns": chat_format.read_turns(F.col("formatted")), "loss": chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))})
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
-        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
         F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"),
     )
 

@@ -394,9 +394,10 @@ def test_chat_format_round_trip(spark):
     wanted = defaultdict(list)
     for c, n, role, text in sorted(CONVERSATIONS, key=lambda r: (str(r[0]), r[1] or 0)):
         wanted[c].append((role or "", text or ""))
-    assert {r["conv_id"]: [tuple(t) for t in r["t"]] for r in got} == wanted
-    assert all(r["loss"] == "".join(t for role, t in wanted[r["conv_id"]] if role == "assistant") for r in got)
-    assert all(r["formatted"].count("<|im_end|>") == len(wanted[r["conv_id"]]) for r in got)
+    named = [(None if r["conv_id"] is None else int(r["conv_id"]), r) for r in got]
+    assert {c: [tuple(t) for t in r["t"]] for c, r in named} == wanted
+    assert all(r["loss"] == "".join(t for role, t in wanted[c] if role == "assistant") for c, r in named)
+    assert all(r["formatted"].count("<|im_end|>") == len(wanted[c]) for c, r in named)
 
 
 def test_chat_layouts(spark):
@@ -406,14 +407,33 @@ def test_chat_layouts(spark):
     ]
     df = spark.createDataFrame([(r,) for r in records], "record string")
     got = {r["conv_id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"] or []]) for r in chat_format.canonical_turns(df).collect()}
-    assert got[5] == ("instruction", [("user", "Do"), ("assistant", "ok")])
-    assert got[6] == ("from_value", [("user", "q"), ("assistant", "a")])
-    assert got[7] == ("system_question", [("user", "q"), ("assistant", "a")])
-    assert got[8] == ("prompt", [("user", "p"), ("assistant", "c")])
+    assert got["5"] == ("instruction", [("user", "Do"), ("assistant", "ok")])
+    assert got["6"] == ("from_value", [("user", "q"), ("assistant", "a")])
+    assert got["7"] == ("system_question", [("user", "q"), ("assistant", "a")])
+    assert got["8"] == ("prompt", [("user", "p"), ("assistant", "c")])
     assert sorted(map(str, (r["record"] for r in chat_format.unmapped(df).collect()))) == sorted(['{"what":1}', "no json", "None"])
     assert chat_format.format_records(df.limit(0)).count() == 0
 
 
+def test_chat_ids_stay_apart(spark):
+    """Text ids, one id in two layouts or twice in one, records without an id or with fields that no layout names."""
+    sharegpt = '{"id":"%s","conversations":[{"from":"human","value":"q%s"},{"from":"gpt","value":"r%s"}]}'
+    records = [
+        sharegpt % ("a1", 1, 1), sharegpt % ("b2", 2, 2), '{"id":5,"prompt":"p","completion":"c"}', '{"id":5,"prompt":"p2","response":"c2"}', '{"id":5,"prompt":"p3","response":"c3"}',
+        '{"prompt":"p4","completion":"c4"}', '{"prompt":"p5","completion":"c5"}', '{"id":9,"prompt":"p6","completion":"c6","score":0.5,"meta":{"tags":["x"]}}',
+        '{"id":10,"conversations":[{"from":"human","value":"q7","lang":"en"},{"from":"gpt","value":"r7"}],"source":"s"}', '{"conv_id":5,"turn":1,"role":"assistant","text":"t2"}', '{"conv_id":"5","turn":0,"role":"user","text":"t1","x":1}',
+        '{"nothing":"known"}', "[1, 2]", "not json", None,
+    ]
+    got = chat_format.format_records(spark.createDataFrame([(r,) for r in records], "record string").repartition(4))
+    read = got.select("conv_id", "layout", "record", chat_format.read_turns(F.col("formatted")).alias("t")).collect()
+    chats = sorted((r["conv_id"] or "", r["layout"], " ".join(t["text"] for t in r["t"])) for r in read if r["layout"])
+    assert chats == sorted([
+        ("a1", "from_value", "q1 r1"), ("b2", "from_value", "q2 r2"), ("5", "prompt", "p c"), ("5", "prompt_response", "p2 c2"), ("5", "prompt_response", "p3 c3"),
+        ("", "prompt", "p4 c4"), ("", "prompt", "p5 c5"), ("9", "prompt", "p6 c6"), ("10", "from_value", "q7 r7"), ("5", "turn_rows", "t1 t2"),
+    ])
+    assert sorted(str(r["record"]) for r in read if not r["layout"]) == sorted(map(str, records[-4:]))
+
+
 # ---- licenses
 def test_license_scan(spark, docs, empty):
     rows = [
@@ -617,6 +637,26 @@ def test_license_scan_against_all_windows(spark):
             assert {r["license"] for r in got[i]} <= fits
 
 
+def test_license_scan_custom_templates(spark):
+    """A template is found by its own words, whole and with a tenth of them missing."""
+    house = ("House", "Every reader may hand these pages on to friends and neighbours, provided that nobody pays for them and that this paragraph travels along unchanged.")
+    short = ("Beer", "Buy me a beer.")
+    words = house[1].split()
+    for gone in ((), (3, 11), (20, 21), (0, 1), (12, 24)):
+        text = " ".join(w for k, w in enumerate(words) if k not in gone)
+        rows = [(1, f"Before it. {text} After it."), (2, "buy me a beer. Yes."), (3, "No such thing, friends.")]
+        got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), (house, short)).collect()
+        assert sorted((r["doc_id"], r["license"]) for r in got) == [(1, "House"), (2, "Beer")], gone
+
+
+def test_license_cues_are_in_every_wording():
+    for templates in (license_scan.TEMPLATES, (("A", "one two three four five six seven eight nine ten eleven"),)):
+        cues = license_scan.cues_of(templates)
+        for _, text in templates:
+            found = license_scan._WORD.findall(text.lower())
+            assert sum(any(c in w for c in cues) for w in found) > license_scan.MISSING * len(found)
+
+
 def test_license_scan_repeated_rows_ties_and_null_id(spark):
     text = "Released under the MIT License. Licensed under CC BY 4.0."
     rows = [(None, text), (1, text), (1, text), (2, "")]
