@@ -22,6 +22,8 @@ dropped (``turn_records``), fields that no layout names play no part in the fing
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -97,6 +99,13 @@ def fingerprint(value: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
     return F.when(value.isNotNull(), F.sha2(F.concat_ws("\n", *paths), 256))
 
 
+def example_fingerprint(example: str, layouts: Sequence[Layout] = LAYOUTS) -> str:
+    """The same hash of an example, taken once on the driver."""
+    record = json.loads(example)
+    paths = [path if field is None else f"{path}[*].{field}" for path, field in field_paths(layouts) if path[2:] in record and (field is None or any(field in x for x in record[path[2:]]))]
+    return hashlib.sha256("\n".join(paths).encode()).hexdigest()
+
+
 def _turn(ordinal: Column, role: Column, text: Column) -> Column:
     return F.struct(ordinal.cast("bigint").alias("ordinal"), role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
@@ -120,13 +129,13 @@ def _renamed(role: Column) -> Column:
 def canonical_turns(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """(conv_id, layout, turns, record) of each record of ``records`` (record string); layout is null where no fingerprint fits."""
     v = F.col("v")
-    known = records.select("record", F.try_parse_json("record").alias("v")).withColumn("fingerprint", fingerprint(v, layouts))
-    name = key = turns = F.lit(None)
-    for layout in reversed(layouts):
-        fits = F.col("fingerprint").isin(*[fingerprint(F.parse_json(F.lit(x)), layouts) for x in layout.examples])
-        picked = (F.lit(layout.name), F.try_variant_get(v, layout.key, "string"), _turns(layout, v))
-        name, key, turns = (F.when(fits, x).otherwise(c) for c, x in zip((name, key, turns), picked, strict=True))
-    return known.select(key.alias("conv_id"), name.alias("layout"), turns.alias("turns"), "record")
+    names = F.create_map(*[F.lit(x) for layout in layouts for example in layout.examples for x in (example_fingerprint(example, layouts), layout.name)])
+    known = records.select("record", F.try_parse_json("record").alias("v")).withColumn("layout", names[fingerprint(v, layouts)])
+    key = turns = F.lit(None)
+    for layout in layouts:
+        fits = F.col("layout") == layout.name
+        key, turns = F.when(fits, F.try_variant_get(v, layout.key, "string")).otherwise(key), F.when(fits, _turns(layout, v)).otherwise(turns)
+    return known.select(key.alias("conv_id"), "layout", turns.alias("turns"), "record")
 
 
 def unmapped(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
