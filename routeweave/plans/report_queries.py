@@ -118,7 +118,7 @@ def quarantined(spark, sf_dir):
 
 @query(
     "duration_checks",
-    f"""WITH {B.OUTAGE_SQL}, c AS (SELECT *, (amount // 1)::BIGINT % 200 * 86400 AS claimed, end_s - start_s AS taken FROM outage)
+    f"""WITH {B.OUTAGE_SQL}, c AS (SELECT *, (floor(amount)::BIGINT)::BIGINT % 200 * 86400 AS claimed, end_s - start_s AS taken FROM outage)
 SELECT CASE WHEN end_s IS NULL THEN 'open' WHEN taken < 0 THEN 'reversed' WHEN abs(taken - claimed) <= 2592000 THEN 'consistent' ELSE 'inconsistent' END AS duration_check, count(*) AS n FROM c GROUP BY ALL""",
 )
 def duration_checks(spark, sf_dir):

@@ -65,6 +65,14 @@ def stream_updates(spark: SparkSession, path: str, files_per_trigger: int = 1) -
     return parsed.filter("reason IS NULL").select("file", "epoch_s", F.timestamp_seconds("epoch_s").alias("ts"), "action", "peer_ip", "peer_asn", "prefix", "as_path")
 
 
+def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(session changes, rejected) of update files: ``STATE`` lines hold the old and the new state by number."""
+    parsed = parse(_ordered(spark.read.text(path))).filter("reason = 'session_state'")
+    rows = parsed.select("file", "line", "epoch_s", "peer_ip", "peer_asn", F.col("prefix").try_cast("int").alias("old_state"), F.col("as_path").try_cast("int").alias("new_state"), "value")
+    valid = F.col("epoch_s").isNotNull() & F.col("old_state").between(1, 6) & F.col("new_state").between(1, 6)
+    return rows.filter(valid).drop("value"), rows.filter(~F.coalesce(valid, F.lit(False))).select("file", "line", "value", F.lit("bad_session_state").alias("reason"))
+
+
 def slot_of_file(name: Column) -> Column:
     """UTC seconds in a name like ``updates.20260227.0805.gz``."""
     return F.unix_timestamp(F.try_to_timestamp(F.regexp_extract(name, r"(\d{8}\.\d{4})", 1), F.lit("yyyyMMdd.HHmm")))
