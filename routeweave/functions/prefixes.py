@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from decimal import Decimal
 
 import pandas as pd
@@ -67,6 +68,34 @@ def v4_ancestors(network: Column, length: Column, shortest: Column | int = 1) ->
     return F.transform(lengths, lambda n: F.struct(cut(n).alias("network"), n.cast("int").alias("length")))
 
 
+def v6_words(parsed: Column) -> Column:
+    """struct(hi, lo) of a ``parse_cidr`` result: the two halves of an IPv6 network as signed 64-bit words."""
+    signed = lambda x: F.when(x >= F.lit(Decimal(1 << 63)), x - F.lit(Decimal(1 << 64))).otherwise(x).cast("bigint")
+    return F.when(parsed["afi"] == 6, F.struct(signed(parsed["hi"]).alias("hi"), signed(parsed["lo"]).alias("lo")))
+
+
+def v6_cut(network: Column, length: Column) -> Column:
+    """A network of two words (hi, lo) with all bits behind ``length`` cleared."""
+
+    def mask(bits: Column) -> Column:
+        """Leading ones; none and all are set apart, as a shift by 64 bits is a shift by none."""
+        some = F.greatest(F.least(bits, F.lit(63)), F.lit(1))
+        ones = F.call_function("shiftleft", F.lit(-1).cast("bigint"), (F.lit(64) - some).cast("int"))
+        return F.when(bits >= 64, F.lit(-1).cast("bigint")).when(bits <= 0, F.lit(0).cast("bigint")).otherwise(ones)
+
+    return F.struct(network["hi"].bitwiseAND(mask(length)).alias("hi"), network["lo"].bitwiseAND(mask(length - 64)).alias("lo"))
+
+
+def v6_ancestors(lengths: list[int]) -> Callable[[Column, Column], Column]:
+    """The covering prefixes of an IPv6 network of two words, for the shorter ones of ``lengths`` (those that a table has, 128 at most)."""
+
+    def ancestors(network: Column, length: Column) -> Column:
+        shorter = F.filter(F.array(*[F.lit(n) for n in sorted(lengths, reverse=True)]), lambda n: n < length)
+        return F.transform(shorter, lambda n: F.struct(v6_cut(network, n).alias("network"), n.cast("int").alias("length")))
+
+    return ancestors
+
+
 @F.pandas_udf(CIDR_TYPE)
 def parse_cidr(prefixes: pd.Series) -> pd.DataFrame:
     """Canonical text, family, length and the 64-bit halves of the network; all NULL for invalid text."""

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUTE = ("vp", "afi", "prefix")
+#: Parts of the slots of a window, by which they meet the members.
+SLOT_PARTS = 16
 
 
 def freeze_cohort(entries: DataFrame, membership: DataFrame) -> DataFrame:
@@ -47,11 +50,12 @@ def growing_members(seed: DataFrame, later: DataFrame, keys: Sequence[str], at:
 def member_classes(cohort: DataFrame, current: DataFrame) -> DataFrame:
     """(slot, origin, routes, visible, class) of each member and family in each slot: a route is visible with the origin it had.
     ``current``: routes with ``slot``; a slot without any route of the country has to be in it with NULL route columns."""
-    slots = current.groupBy().agg(F.sort_array(F.collect_set("slot")).alias("slots"))  # one row, a number for each slot
+    slots = current.select("slot").distinct()
     sizes = cohort_sizes(cohort).select("origin", "afi", "routes")
     same = current.select("slot", *ROUTE, "origin").distinct().join(cohort, [*ROUTE, "origin"])
     seen = same.groupBy("slot", "origin", "afi").agg(F.count("*").alias("visible"))
-    grid = sizes.select("*", F.explode(F.array(*[F.lit(x) for x in slots.first()["slots"] or []]).cast("array<bigint>")).alias("slot"))
+    every = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SLOT_PARTS - 1))))
+    grid = every.join(slots.withColumn("part", F.pmod(F.hash("slot"), F.lit(SLOT_PARTS))), "part").drop("part")
     out = grid.join(seen, ["slot", "origin", "afi"], "left").withColumn("visible", F.coalesce("visible", F.lit(0)))
     kind = F.when(F.col("visible") == 0, "fully_invisible").when(F.col("visible") < F.col("routes"), "partially_visible").otherwise("fully_visible")
     return out.withColumn("class", kind)
@@ -103,30 +107,31 @@ def severity(affected: Column, route_ratio: Column) -> Column:
     return F.when(affected.isNotNull() & route_ratio.isNotNull(), F.greatest(affected, 1 - route_ratio))
 
 
+def _next_rise(x: np.ndarray, floor: float, confirm: int) -> int | None:
+    """The first place of ``x`` from which ``confirm`` values in a row are at least ``floor`` above the least value since the highest one so far."""
+    top = np.maximum.accumulate(x)
+    tops = np.append(True, x[1:] >= top[:-1])
+    since = pd.Series(np.where(tops, np.nan, x)).groupby(np.cumsum(tops)).cummin()
+    least = since.groupby(np.cumsum(tops)).shift().to_numpy()
+    held = pd.Series(x[::-1]).rolling(confirm).min().to_numpy()[::-1]
+    found = np.flatnonzero(~tops & (x >= least) & (held >= least + floor))
+    return int(found[0]) if len(found) else None
+
+
 def waves(df: DataFrame, keys: Sequence[str], slot: str, value: str, floor: float, confirm: int = 2) -> DataFrame:
     """Waves inside each episode by its severity: after a recovery below the peak so far, ``confirm`` slots in a row that are
-    ``floor`` above the best recovery begin a new one. An episode with an unknown severity has none. Grouped map over an episode."""
+    ``floor`` above the best recovery begin a new one. An episode with an unknown severity has none. Grouped map over an episode, one pass over arrays for each wave."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(slot, kind="stable")
-        at, numbers = pdf[slot].tolist(), pdf[value].tolist()
-        columns = [*keys, "ordinal", "onset", "peak", "end"]
-        if any(pd.isna(x) for x in numbers):
-            return pd.DataFrame([], columns=columns)
-        starts, peak, best = [0], 0, None
-        for k in range(1, len(numbers)):
-            if numbers[k] >= numbers[peak]:
-                peak, best = k, None
-            elif best is None or numbers[k] < numbers[best]:
-                best = k
-            elif len(numbers) - k >= confirm and min(numbers[k : k + confirm]) >= numbers[best] + floor:
-                starts.append(k)
-                peak, best = k, None
+        at, x, starts = pdf[slot].to_numpy(), pdf[value].to_numpy(np.float64, na_value=np.nan), [0]
         rows = []
-        for n, (begin, end) in enumerate(zip(starts, [*starts[1:], len(numbers)]), 1):
-            top = max(range(begin, end), key=lambda k: (numbers[k], -k))
-            rows.append((*(pdf[k].iloc[0] for k in keys), n, at[begin], at[top], at[end - 1]))
-        return pd.DataFrame(rows, columns=columns)
+        if not np.isnan(x).any():
+            while (step := _next_rise(x[starts[-1] :], floor, confirm)) is not None:
+                starts.append(starts[-1] + step)
+            for n, (begin, end) in enumerate(zip(starts, [*starts[1:], len(x)], strict=True), 1):
+                rows.append((*(pdf[k].iloc[0] for k in keys), n, at[begin], at[begin + int(x[begin:end].argmax())], at[end - 1]))
+        return pd.DataFrame(rows, columns=[*keys, "ordinal", "onset", "peak", "end"])
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "ordinal bigint, onset bigint, peak bigint, end bigint"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +39,10 @@ def running_metrics(events: DataFrame, subject: Sequence[str], keys: Sequence[st
     return slots.select(*subject, slot, "announces", "withdraws", F.sum("change").over(w).alias("visible"))
 
 
-def nearest_covering(nets: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """The longest shorter prefix of ``table`` (network, length) that covers each of ``nets`` (key, network, length): ancestors are
-    exploded (at most 31) and met by equality, so no range join is needed."""
-    up = nets.select(key, F.explode(v4_ancestors(F.col("network"), F.col("length"))).alias("a")).select(key, F.col("a.network").alias("network"), F.col("a.length").alias("length"))
+def nearest_covering(nets: DataFrame, table: DataFrame, key: str, ancestors: Callable[[Column, Column], Column] = v4_ancestors) -> DataFrame:
+    """The longest shorter prefix of ``table`` (network, length) that covers each of ``nets`` (key, network, length): ``ancestors`` are
+    exploded (at most 31 for IPv4, one for each length of the table for IPv6) and met by equality, so no range join is needed."""
+    up = nets.select(key, F.explode(ancestors(F.col("network"), F.col("length"))).alias("a")).select(key, F.col("a.network").alias("network"), F.col("a.length").alias("length"))
     met = up.join(table.select("network", "length").distinct(), ["network", "length"])
     return met.groupBy(key).agg(F.max_by("network", F.col("length")).alias("parent_network"), F.max("length").alias("parent_length"))
 

@@ -52,16 +52,6 @@ def first_valid(df: DataFrame, key: str, value: str, order: str, valid: Column)
     return both.groupBy(key).agg(F.first("chosen").alias("chosen"), F.count_if(same).alias("n_same"), F.count_if(F.col("ok") & ~same).alias("n_conflict"), F.count_if(~F.col("ok")).alias("n_invalid"))
 
 
-def digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-independent digest of a multiset of rows: their count and the sum of their hashes, so that parts add up and can be taken off."""
-    return df.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("decimal(38,0)").alias("hash_sum"))
-
-
-def row_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one of two tables has more often, with the side."""
-    return a.exceptAll(b).withColumn("side", F.lit("only_a")).union(b.exceptAll(a).withColumn("side", F.lit("only_b")))
-
-
 def reconcile(claims: DataFrame, truth: DataFrame, key: Sequence[str], claimed: str, actual: str, tolerance: float = 0.0) -> DataFrame:
     """Claims against recomputed values: confirmed, revised or unverifiable."""
     joined = claims.join(truth, list(key), "left")

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefixes import v4_ancestors, v6_ancestors
 from ..functions.scalars import PRIVATE_16
 from .features import nearest_covering
 from .joins import relation_of
 
-#: How many bits longer than its parent a suspicious IPv4 prefix may be, the reasons to clear it, and the mark of a personal network.
-GAP = 8
+#: How many bits longer than its parent a suspicious IPv4 and IPv6 prefix may be, the reasons to clear it, and the mark of a personal network.
+GAP, GAP_V6 = 8, 3
 TOO_LONG, MANY_PARENTS, SAME_ORIGINS = "prefix length difference is too large", "parent origin as num more than 1", "same origins"
 CLEARED = ("personal network", "private as", "policy", "as rel provider-customer", "as rel peer", "as rel same org", "is AntiDDoS provider")
 PERSONAL = "个人"
 
 
-def sub_prefix_states(routes: DataFrame, gap: int = GAP) -> DataFrame:
-    """Each different IPv4 prefix (network, length) of ``routes`` (network, length, origin) with a covering prefix: the parent, both
+def sub_prefix_states_v6(routes: DataFrame, gap: int = GAP_V6) -> DataFrame:
+    """``sub_prefix_states`` of IPv6 prefixes, ``network`` being struct(hi, lo). Only lengths that the table has are looked up."""
+    lengths = [r["length"] for r in routes.filter("length > 0").select("length").distinct().collect()]  # at most 128
+    return sub_prefix_states(routes, gap, v6_ancestors(lengths))
+
+
+def sub_prefix_states(routes: DataFrame, gap: int = GAP, ancestors: Callable[[Column, Column], Column] = v4_ancestors) -> DataFrame:
+    """Each different prefix (network, length) of ``routes`` (network, length, origin) with a covering prefix: the parent, both
     origin sets, the origins the parent does not have, and why there is nothing to check."""
     sets = routes.filter("length > 0").groupBy("network", "length").agg(F.sort_array(F.collect_set("origin")).alias("origins"))
     keyed = sets.withColumn("key", F.struct("network", "length"))
-    met = nearest_covering(keyed.select("key", "network", "length"), sets, "key").select("key.network", "key.length", "parent_network", "parent_length")
+    met = nearest_covering(keyed.select("key", "network", "length"), sets, "key", ancestors).select("key.network", "key.length", "parent_network", "parent_length")
     parents = sets.select(F.col("network").alias("parent_network"), F.col("length").alias("parent_length"), F.col("origins").alias("parent_origins"))
     out = sets.join(met, ["network", "length"]).join(parents, ["parent_network", "parent_length"])
     new = F.array_except("origins", "parent_origins")

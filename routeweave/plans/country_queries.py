@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import prefixes
 from ..operators import country, features, intervals, state, subprefix
 from . import bindings as B
 from .registry import query
@@ -204,3 +205,61 @@ def trend_profile(spark, sf_dir):
 @query("episode_waves")
 def episode_waves(spark, sf_dir):
     return country.waves(ratios(spark, sf_dir).withColumn("severity", 1 - F.col("ratio")), ["asn"], "slot", "severity", 0.2)
+
+
+V6_BASE = 0x20010DB8 << 32
+
+
+def nested_routes_v6(spark, sf_dir):
+    """IPv6 prefixes of parts inside those of suppliers, some longer than 64 bits."""
+    part, base = B.read(spark, sf_dir, "part"), F.lit(V6_BASE)
+    words = lambda hi, lo: F.struct(hi.cast("bigint").alias("hi"), lo.cast("bigint").alias("lo"))
+    parents = B.read(spark, sf_dir, "supplier").select(words(base + F.col("s_suppkey") % 50 * 65536, F.lit(0)).alias("network"), (44 + F.col("s_suppkey") % 5).cast("int").alias("length"), F.col("s_nationkey").cast("bigint").alias("origin"))
+    own = part.select(words(base + F.col("p_partkey") % 60 * 65536 + F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 7).otherwise(0), F.lit(0)).alias("network"), F.element_at(F.array(F.lit(48), F.lit(50), F.lit(64)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("length"), (F.col("p_size") % 30).cast("bigint").alias("origin"))
+    deep = part.filter("p_retailprice > 1400").select(words(base + F.col("p_partkey") % 60 * 65536, F.expr("shiftleft(p_partkey % 11, 60)")).alias("network"), (F.lit(66) + F.col("p_partkey") % 3).cast("int").alias("length"), (F.col("p_size") % 29).cast("bigint"))
+    rows = parents.union(own).union(deep)
+    return rows.withColumn("network", prefixes.v6_cut(F.col("network"), F.col("length")))
+
+
+NESTED_V6_SQL = f"""raw AS (
+  SELECT ({V6_BASE} + s_suppkey % 50 * 65536)::HUGEINT * 18446744073709551616 AS n, (44 + s_suppkey % 5)::INT AS length, s_nationkey::BIGINT AS origin FROM supplier
+  UNION ALL SELECT ({V6_BASE} + p_partkey % 60 * 65536 + CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 7 ELSE 0 END)::HUGEINT * 18446744073709551616, [48, 50, 64][p_partkey % 3 + 1], p_size % 30 FROM part
+  UNION ALL SELECT ({V6_BASE} + p_partkey % 60 * 65536)::HUGEINT * 18446744073709551616 + (p_partkey % 11)::HUGEINT * 1152921504606846976, (66 + p_partkey % 3)::INT, p_size % 29 FROM part WHERE p_retailprice > 1400),
+size AS (SELECT length, list_reduce(list_prepend(1::HUGEINT, range(128 - length)::HUGEINT[]), lambda x, y: x * 2) AS size FROM (SELECT DISTINCT length FROM raw)),
+r AS (SELECT n - n % size AS network, length, origin FROM raw JOIN size USING (length)),
+sets AS (SELECT network, length, list_sort(list(DISTINCT origin)) AS o FROM r GROUP BY ALL),
+met AS (SELECT c.*, p.network AS pn, p.length AS pl, p.o AS po, row_number() OVER (PARTITION BY c.network, c.length ORDER BY p.length DESC) AS rn FROM sets c JOIN sets p ON p.length < c.length JOIN size s ON s.length = p.length AND c.network - c.network % s.size = p.network),
+states AS (SELECT *, list_filter(o, lambda x: NOT list_contains(po, x)) AS fresh, CASE WHEN length - pl > 3 THEN 'prefix length difference is too large' WHEN len(list_filter(o, lambda x: NOT list_contains(po, x))) = 0 THEN 'same origins' WHEN len(po) > 1 THEN 'parent origin as num more than 1' END AS reason FROM met WHERE rn = 1)"""
+
+
+def _low(n: str) -> str:
+    return f"(CASE WHEN {n} % 18446744073709551616 >= 9223372036854775808 THEN {n} % 18446744073709551616 - 18446744073709551616 ELSE {n} % 18446744073709551616 END)::BIGINT"
+
+
+@query(
+    "sub_prefix_states_v6",
+    f"WITH {NESTED_V6_SQL} SELECT (network // 18446744073709551616)::BIGINT AS hi, {_low('network')} AS lo, length, (pn // 18446744073709551616)::BIGINT AS parent_hi, {_low('pn')} AS parent_lo, pl AS parent_length, array_to_string(fresh, ',') AS new_origins, reason FROM states",
+)
+def sub_prefix_states_v6(spark, sf_dir):
+    out = subprefix.sub_prefix_states_v6(nested_routes_v6(spark, sf_dir))
+    return out.select("network.*", "length", F.col("parent_network.hi").alias("parent_hi"), F.col("parent_network.lo").alias("parent_lo"), "parent_length", F.array_join(F.sort_array(F.col("new_origins")).cast("array<string>"), ",").alias("new_origins"), "reason")
+
+
+@query(
+    "sub_hijack_filter_v6",
+    f"""WITH {NESTED_V6_SQL},
+w AS (SELECT network, length, unnest(fresh) AS suspect, po[1] AS owner FROM states WHERE reason IS NULL),
+e AS (SELECT DISTINCT l_suppkey % 30 AS a, l_partkey % 30 AS b, (l_quantity - 48)::INT AS rel FROM lineitem WHERE l_quantity BETWEEN 47 AND 49 AND l_linenumber = 1),
+m AS (SELECT a, b, rel FROM e UNION ALL SELECT b, a, -rel FROM e), rel AS (SELECT a, b, min(CASE rel WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END) AS p FROM m GROUP BY a, b),
+x AS (SELECT w.*, CASE WHEN p > 0 THEN 'as rel provider-customer' WHEN p = 0 THEN 'as rel peer' WHEN na.n_regionkey = nb.n_regionkey THEN 'as rel same org' END AS filter_reason
+  FROM w LEFT JOIN rel ON rel.a = w.suspect AND rel.b = w.owner LEFT JOIN nation na ON na.n_nationkey = w.suspect LEFT JOIN nation nb ON nb.n_nationkey = w.owner)
+SELECT (network // 18446744073709551616)::BIGINT AS hi, {_low('network')} AS lo, length, suspect, owner, filter_reason FROM x""",
+)
+def sub_hijack_filter_v6(spark, sf_dir):
+    i = B.read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_quantity BETWEEN 47 AND 49")
+    edges = i.select((F.col("l_suppkey") % 30).alias("a"), (F.col("l_partkey") % 30).alias("b"), (F.col("l_quantity") - 48).cast("int").alias("rel")).distinct()
+    orgs = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("asn"), F.col("n_name").alias("org"), F.col("n_regionkey").cast("string").alias("org_en"))
+    states = subprefix.sub_prefix_states_v6(nested_routes_v6(spark, sf_dir))
+    nothing = states.select("network", "length", F.lit(0).cast("bigint").alias("origin")).limit(0)
+    none = edges.select(F.col("a").alias("asn"), F.col("b").alias("other")).limit(0)
+    return subprefix.cleared_pairs(states, nothing, none, edges, orgs, none.select("asn")).select("network.*", "length", "suspect", "owner", "filter_reason")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, quality, state
+from ..operators import digests, joins, quality, state
 from . import bindings as B
 from .registry import query
 
@@ -85,7 +85,7 @@ def claim_reconciliation(spark, sf_dir):
 )
 def row_difference(spark, sf_dir):
     i = B.read(spark, sf_dir, "lineitem")
-    return quality.row_difference(*[i.filter(F.col("l_returnflag") == x).select("l_suppkey", "l_linenumber") for x in "AR"])
+    return digests.row_difference(*[i.filter(F.col("l_returnflag") == x).select("l_suppkey", "l_linenumber") for x in "AR"])
 
 
 @query(
@@ -99,9 +99,62 @@ def conservation(spark, sf_dir):
     return both.select("total", "parts", (F.col("total") == F.col("parts")).alias("holds"))
 
 
-@query("state_digest")
+REPLAY_KEYS, REPLAY_ORDER = ["vp", "prefix_id"], ["epoch_s", "event_id"]
+NOON = 1705276800
+#: Where some updates were lost on the way: what a snapshot has and the replay has not, and the reverse.
+STATES_SQL = f"""WITH {B.ROUTE_SQL},
+anchor AS (SELECT vp, prefix_id, origin, as_path FROM route WHERE epoch_s < {NOON} QUALIFY row_number() OVER (PARTITION BY vp, prefix_id ORDER BY epoch_s DESC, event_id DESC) = 1 AND action <> 'withdraw'),
+replayed AS (SELECT vp, prefix_id, origin, as_path FROM route WHERE epoch_s < {NOON} AND event_id % 41 <> 0 QUALIFY row_number() OVER (PARTITION BY vp, prefix_id ORDER BY epoch_s DESC, event_id DESC) = 1 AND action <> 'withdraw'),
+marked AS (
+  SELECT side, n, md5(vp || chr(31) || prefix_id) AS k, md5(concat_ws(chr(31), vp, prefix_id, coalesce(origin::VARCHAR, chr(1)), coalesce(as_path, chr(1)))) AS d
+  FROM (SELECT 'a' AS side, 1 AS n, * FROM anchor UNION ALL SELECT 'b', 1, * FROM replayed)),
+tree AS (
+  SELECT side, level, substr(k, 1, level::INT) AS node, count(*) AS n_rows, sum(('0x' || substr(d, 1, 15))::BIGINT) AS high, sum(('0x' || substr(d, 16, 15))::BIGINT) AS low
+  FROM marked, range(4) l(level) GROUP BY ALL),
+sides AS (SELECT level, node, max(n_rows) FILTER (side = 'a') AS na, max(n_rows) FILTER (side = 'b') AS nb, count(DISTINCT (n_rows, high, low)) AS kinds, count(*) AS n FROM tree GROUP BY level, node),
+differ AS (SELECT level, node, coalesce(na, 0) AS rows_a, coalesce(nb, 0) AS rows_b, CASE WHEN na IS NULL THEN 'only_b' WHEN nb IS NULL THEN 'only_a' ELSE 'differs' END AS status FROM sides WHERE kinds > 1 OR n = 1)"""
+
+
+def both_states(spark, sf_dir):
+    events = B.route_events(spark, sf_dir).filter(F.col("epoch_s") < NOON)
+    return [state.replay(x, REPLAY_KEYS, REPLAY_ORDER) for x in (events, events.filter("event_id % 41 <> 0"))]
+
+
+@query(
+    "state_digest",
+    f"""{STATES_SQL}, now AS (
+  SELECT md5(concat_ws(chr(31), vp, prefix_id, as_path)) AS d FROM route QUALIFY row_number() OVER (PARTITION BY vp, prefix_id ORDER BY epoch_s DESC, event_id DESC) = 1 AND action <> 'withdraw')
+SELECT count(*) AS n_rows, sum(('0x' || substr(d, 1, 15))::BIGINT)::DECIMAL(38, 0) AS high, sum(('0x' || substr(d, 16, 15))::BIGINT)::DECIMAL(38, 0) AS low FROM now""",
+)
 def state_digest(spark, sf_dir):
-    return quality.digest(state.replay(B.route_events(spark, sf_dir), ["vp", "prefix_id"], ["epoch_s", "event_id"]), ["vp", "prefix_id", "as_path"])
+    return digests.digest(state.replay(B.route_events(spark, sf_dir), REPLAY_KEYS, REPLAY_ORDER), [*REPLAY_KEYS, "as_path"])
+
+
+@query("section_tree", f"{STATES_SQL} SELECT level::INT AS level, node, n_rows, high::DECIMAL(38, 0) AS high, low::DECIMAL(38, 0) AS low FROM tree WHERE side = 'a'")
+def section_tree(spark, sf_dir):
+    return digests.section_tree(both_states(spark, sf_dir)[0], REPLAY_KEYS, [*REPLAY_KEYS, "origin", "as_path"])
+
+
+@query("tree_difference", f"{STATES_SQL} SELECT level::INT AS level, node, rows_a, rows_b, status FROM differ")
+def tree_difference(spark, sf_dir):
+    return digests.tree_difference(*[digests.section_tree(x, REPLAY_KEYS, [*REPLAY_KEYS, "origin", "as_path"]) for x in both_states(spark, sf_dir)])
+
+
+@query(
+    "snapshot_reconciliation",
+    f"""{STATES_SQL} SELECT (SELECT count(DISTINCT node) FROM tree WHERE level = 3) AS sections, (SELECT count(*) FROM anchor) AS rows_anchor, (SELECT count(*) FROM replayed) AS rows_replayed,
+  (SELECT count(*) FROM differ WHERE level = 3) AS differing, CASE WHEN (SELECT count(*) FROM differ) > 0 THEN 'mismatch' ELSE 'consistent' END AS status""",
+)
+def snapshot_reconciliation(spark, sf_dir):
+    return digests.reconcile_states(*both_states(spark, sf_dir), REPLAY_KEYS, ["origin", "as_path"])[0]
+
+
+@query(
+    "snapshot_differences",
+    f"{STATES_SQL} (SELECT *, 'only_a' AS side FROM (SELECT * FROM anchor EXCEPT ALL SELECT * FROM replayed)) UNION ALL (SELECT *, 'only_b' FROM (SELECT * FROM replayed EXCEPT ALL SELECT * FROM anchor))",
+)
+def snapshot_differences(spark, sf_dir):
+    return digests.reconcile_states(*both_states(spark, sf_dir), REPLAY_KEYS, ["origin", "as_path"])[1]
 
 
 @query("private_asn_counts", "SELECT CASE WHEN o_custkey * 50 BETWEEN 64512 AND 65535 THEN 'private' ELSE 'public' END AS kind, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_asns FROM orders GROUP BY ALL")

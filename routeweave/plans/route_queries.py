@@ -236,6 +236,46 @@ def country_topology(spark, sf_dir):
     return graph.inside_country(graph.adjacency(B.paths(spark, sf_dir)), places)
 
 
+MAX_NODES, MAX_EDGES = 60, 400
+
+
+def _hop_sql(k: int) -> str:
+    """Step ``k`` of a capped subgraph: edges in order, as far as both caps allow."""
+    done = " UNION ALL ".join(f"SELECT low, high FROM step{j}" for j in range(1, k)) or "SELECT NULL::BIGINT AS low, NULL::BIGINT AS high WHERE false"
+    return f"""
+done{k} AS ({done}),
+near{k} AS (SELECT *, row_number() OVER (ORDER BY n_paths DESC, low, high) AS r FROM (
+  SELECT * FROM edges e WHERE (low IN (SELECT node FROM front{k - 1}) OR high IN (SELECT node FROM front{k - 1})) AND NOT EXISTS (SELECT 1 FROM done{k} d WHERE d.low = e.low AND d.high = e.high))),
+first{k} AS (SELECT r, row_number() OVER (ORDER BY r) AS i FROM (
+  SELECT node, min(r) AS r FROM (SELECT r, low AS node FROM near{k} UNION ALL SELECT r, high FROM near{k}) WHERE node NOT IN (SELECT node FROM reached{k - 1}) GROUP BY node)),
+step{k} AS (
+  SELECT low, high, n_paths, {k} AS hop FROM near{k} WHERE r <= {MAX_EDGES} - (SELECT count(*) FROM done{k}) AND r <= coalesce((SELECT r FROM first{k} WHERE i = {MAX_NODES} - (SELECT count(*) FROM reached{k - 1})), 1000000000)
+  AND (SELECT count(*) FROM done{k}) < {MAX_EDGES} AND (SELECT count(*) FROM reached{k - 1}) < {MAX_NODES}),
+front{k} AS (SELECT DISTINCT node FROM (SELECT low AS node FROM step{k} UNION ALL SELECT high FROM step{k}) WHERE node NOT IN (SELECT node FROM reached{k - 1})),
+reached{k} AS (SELECT node FROM reached{k - 1} UNION SELECT node FROM front{k})"""
+
+
+@query(
+    "capped_subgraph",
+    f"""WITH {EDGES_SQL}, front0 AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < -800), reached0 AS (SELECT * FROM front0), {_hop_sql(1)}, {_hop_sql(2)}, {_hop_sql(3)}
+SELECT * FROM step1 UNION ALL SELECT * FROM step2 UNION ALL SELECT * FROM step3""",
+)
+def capped_subgraph(spark, sf_dir):
+    seeds = B.read(spark, sf_dir, "supplier").filter("s_acctbal < -800").select(F.col("s_suppkey").alias("node"))
+    return graph.capped_subgraph(graph.adjacency(B.paths(spark, sf_dir)), seeds, 3, MAX_NODES, MAX_EDGES)
+
+
+@query(
+    "outage_subgraph",
+    f"""WITH {EDGES_SQL}, h0 AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < -800),
+e1 AS (SELECT * FROM edges WHERE low IN (SELECT node FROM h0) OR high IN (SELECT node FROM h0)), h1 AS (SELECT low AS node FROM e1 UNION SELECT high FROM e1)
+SELECT *, 1 AS hop FROM e1 UNION ALL SELECT *, 2 FROM edges e WHERE (low IN (SELECT node FROM h1) OR high IN (SELECT node FROM h1)) AND NOT EXISTS (SELECT 1 FROM e1 WHERE e1.low = e.low AND e1.high = e.high)""",
+)
+def outage_subgraph(spark, sf_dir):
+    seeds = B.read(spark, sf_dir, "supplier").filter("s_acctbal < -800").select(F.col("s_suppkey").alias("node"))
+    return graph.capped_subgraph(graph.adjacency(B.paths(spark, sf_dir)), seeds, 2)
+
+
 @query(
     "subgraph_hops",
     f"""WITH {EDGES_SQL}, both_ways AS (SELECT low AS a, high AS b FROM edges UNION ALL SELECT high, low FROM edges),
