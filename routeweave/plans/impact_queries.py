@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import concurrency, coverage
+from ..operators import concurrency, coverage, resources
 from . import bindings as B
 from .registry import query
 
@@ -152,3 +152,28 @@ FROM asns GROUP BY event, asn HAVING count(*) FILTER (class <> 'normal') > 0""",
 def affected_ases(spark, sf_dir):
     rows, own, _ = classed(spark, sf_dir)
     return concurrency.affected_ases(rows, own)
+
+
+@query(
+    "feature_rows",
+    f"""WITH {STATE_SQL},
+timed AS (SELECT *, prefix_id AS p, (epoch_s - {FIRST_S}) // {SLOT_S} AS s FROM route),
+owned AS (SELECT *, coalesce(origin, last_value(origin IGNORE NULLS) OVER (PARTITION BY vp, p ORDER BY epoch_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS asn FROM timed),
+updates AS (
+  SELECT unnest([{{'level': 'asn', 'subject': asn::VARCHAR}}, {{'level': 'country', 'subject': CASE WHEN asn % 9 <> 4 THEN 'country ' || (asn % 7) ELSE 'unknown' END}}, {{'level': 'collector', 'subject': 'all'}}]) AS x, s AS slot, action FROM owned WHERE asn IS NOT NULL),
+counts AS (SELECT x.level AS level, x.subject AS subject, slot, count(*) FILTER (action = 'announce') AS announces, count(*) FILTER (action = 'withdraw') AS withdraws FROM updates GROUP BY ALL),
+last AS (SELECT vp, p, s AS slot, (array_agg(CASE WHEN action <> 'withdraw' THEN origin END ORDER BY epoch_s DESC, event_id DESC))[1] AS now FROM timed GROUP BY ALL),
+cells AS (SELECT vp, p, t AS slot FROM (SELECT DISTINCT vp, p FROM timed), range(0, {LAST_SLOT + 1}) r(t)),
+held AS (SELECT DISTINCT c.slot, c.p, l.now AS asn FROM cells c ASOF JOIN last l ON c.vp = l.vp AND c.p = l.p AND c.slot >= l.slot WHERE l.now IS NOT NULL),
+leveled AS (
+  SELECT slot, p, unnest([{{'level': 'asn', 'subject': asn::VARCHAR}}, {{'level': 'country', 'subject': CASE WHEN asn % 9 <> 4 THEN 'country ' || (asn % 7) ELSE 'unknown' END}}, {{'level': 'collector', 'subject': 'all'}}]) AS x FROM held),
+blocks AS (
+  SELECT DISTINCT x.level AS level, x.subject AS subject, slot, afi, unnest(CASE WHEN afi = 4 THEN range(network // 256, (network + size) // 256) ELSE range(network, network + size) END) AS block FROM leveled JOIN named ON prefix = p),
+reach AS (SELECT level, subject, slot, count(*) FILTER (afi = 4) AS b24, count(*) FILTER (afi = 6) AS b48 FROM blocks GROUP BY ALL)
+SELECT level, subject, slot, announces, withdraws, coalesce(b24, 0) AS blocks_24, coalesce(b24, 0) * 256 AS addresses, coalesce(b48, 0) AS blocks_48 FROM counts LEFT JOIN reach USING (level, subject, slot)""",
+)
+def feature_rows(spark, sf_dir):
+    rows = prefixes(B.route_events(spark, sf_dir).withColumn("slot", F.expr(f"(epoch_s - {FIRST_S}) div {SLOT_S}")))
+    asns = rows.select(F.col("origin").alias("asn")).filter("asn IS NOT NULL").distinct()
+    countries = asns.filter("asn % 9 <> 4").select("asn", F.concat(F.lit("country "), F.col("asn") % 7).alias("country"))
+    return resources.feature_rows(rows, countries, ["vp", "prefix_id"], ["epoch_s", "event_id"])
