@@ -98,36 +98,51 @@ def stable_baseline(df: DataFrame, keys: Sequence[str], at: str, value: str, sta
     return best.select(*keys, "hours", F.when(F.col("hours").isNotNull(), F.col("x.median")).alias("median"), F.when(F.col("hours").isNotNull(), F.col("x.mad")).alias("mad"), F.when(F.col("hours").isNull(), "unstable").alias("reason"))
 
 
-def outlier_band(df: DataFrame, keys: Sequence[str], at: str, value: str, days: int = 3, least: int = 5, first: int = 7) -> DataFrame:
-    """The band in which a sample is normal: mean and three standard deviations of the earlier normal samples of ``days`` days,
-    widened by 1.2 and 0.8 and cut to integers. It moves with more than ``least`` such samples, or, with the present one, before
-    the ``first``-th; and only when the list has not become shorter. A sample outside is an outlier and no normal one.
+def outlier_records(df: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], days: int = 3, least: int = 5, first: int = 7) -> DataFrame:
+    """Records of several counts that are out of the ordinary. Each count has a band: mean and three standard deviations of the counts of the earlier normal records
+    of ``days`` days, widened by 1.2 and 0.8 and cut to integers. It moves with more than ``least`` such records, or, with the present one, before the
+    ``first``-th; and only when there are not fewer than before. One count outside its band makes the whole record an outlier, and no count of it is normal then.
 
-    Whether a sample counts depends on the verdicts before it, so each key is one ordered pass (grouped map); a key's series
-    must fit in a task, and its window of ``days`` days is summed anew for each sample.
+    Adds ``low_<value>`` and ``high_<value>`` for each count, and ``outlier``. Whether a record counts depends on the verdicts before it, so each key is one ordered pass
+    (grouped map) over its series, which must fit in a task; the window of ``days`` days is summed anew for each record. A NULL count is in no band and outside none.
     """
 
-    def band(pdf: pd.DataFrame) -> pd.DataFrame:
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable")
-        kept: list[tuple[int, float]] = []
-        rows, low, high, length = [], None, None, 0
-        for place, (t, v) in enumerate(zip(pdf[at], pdf[value]), 1):
-            normal = [x for _, x in kept]
-            if len(normal) <= least:
-                normal = [*normal, v] if place < first else []
-            if normal and len(normal) >= length:
-                mean, std = np.mean(normal), np.std(normal)
-                length, high, low = len(normal), int((mean + 3 * std) * 1.2), int((mean - 3 * std) * 0.8)
-            outlier = high is not None and not low <= v <= high
-            if not outlier:
-                kept.append((t, v))
-            kept = [x for x in kept if x[0] >= t - days * 86400]
-            rows.append((low, high, outlier))
-        return pdf.assign(low=pd.array([r[0] for r in rows], "Int64"), high=pd.array([r[1] for r in rows], "Int64"), outlier=[r[2] for r in rows])
+        times, counts = pdf[at].to_numpy(), pdf[list(values)].to_numpy(np.float64, na_value=np.nan)
+        normal, begin = np.zeros(len(pdf), bool), 0
+        held = [(None, None, 0)] * len(values)
+        lows, highs, outliers = [], [], []
+        for k in range(len(pdf)):
+            while begin < k and times[begin] < times[k - 1] - days * 86400:
+                begin += 1
+            earlier = counts[begin:k][normal[begin:k]]
+            out = False
+            for j in range(len(values)):
+                basis = earlier[:, j][~np.isnan(earlier[:, j])]
+                if len(basis) <= least:
+                    basis = np.append(basis, counts[k, j]) if k + 1 < first and not np.isnan(counts[k, j]) else basis[:0]
+                if len(basis) and len(basis) >= held[j][2]:
+                    mean, std = basis.mean(), basis.std()
+                    held[j] = int((mean - 3 * std) * 0.8), int((mean + 3 * std) * 1.2), len(basis)
+                low, high, _ = held[j]
+                out |= high is not None and not np.isnan(counts[k, j]) and not low <= counts[k, j] <= high
+            normal[k] = not out
+            lows.append([h[0] for h in held])
+            highs.append([h[1] for h in held])
+            outliers.append(out)
+        found = {f"{side}_{v}": pd.array([x[j] for x in bounds], "Int64") for j, v in enumerate(values) for side, bounds in (("low", lows), ("high", highs))}
+        return pdf.assign(**found, outlier=outliers)
 
     types = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in (*keys, at, value)), "low bigint, high bigint, outlier boolean"])
-    return df.select(*keys, at, value).groupBy(*keys).applyInPandas(band, schema)
+    bounds = [f"{side}_{v} bigint" for v in values for side in ("low", "high")]
+    schema = ", ".join([*(f"{c} {types[c]}" for c in (*keys, at, *values)), *bounds, "outlier boolean"])
+    return df.select(*keys, at, *values).groupBy(*keys).applyInPandas(judge, schema)
+
+
+def outlier_band(df: DataFrame, keys: Sequence[str], at: str, value: str, days: int = 3, least: int = 5, first: int = 7) -> DataFrame:
+    """``outlier_records`` of one count, its band being ``low`` and ``high``."""
+    return outlier_records(df, keys, at, [value], days, least, first).withColumnsRenamed({f"low_{value}": "low", f"high_{value}": "high"})
 
 
 def episodes(df: DataFrame, keys: Sequence[str], slot: str, visible: str, damaged: str | None = None, step: int = 300, low: float = 0.99, above: float = 0.03, band: float = 0.001, onset: int = 2, recovery: int = 6) -> DataFrame:

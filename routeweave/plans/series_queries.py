@@ -169,7 +169,20 @@ def stable_baseline(spark, sf_dir):
     return series.stable_baseline(rows, ["asn"], "slot", "n", "lo", (24, 72, 168, 336), 0.3)
 
 
-@query("outlier_band")
+BASIS = "CASE WHEN len(kept) > 5 THEN list_transform(kept, lambda x: x.v) WHEN r.i < 7 THEN list_append(list_transform(kept, lambda x: x.v), r.v) ELSE []::DOUBLE[] END"
+
+
+@query(
+    "outlier_band",
+    f"""WITH RECURSIVE {HOURLY}, r AS (SELECT asn, slot, n::DOUBLE AS v, row_number() OVER (PARTITION BY asn ORDER BY slot) AS i FROM h),
+s AS (
+  SELECT DISTINCT asn, 0::BIGINT AS i, NULL::BIGINT AS slot, NULL::DOUBLE AS n, []::STRUCT(t BIGINT, v DOUBLE)[] AS kept, NULL::BIGINT AS low, NULL::BIGINT AS high, 0::BIGINT AS size, false AS outlier FROM r
+  UNION ALL
+  SELECT asn, i, slot, v, list_filter(CASE WHEN out THEN kept ELSE list_append(kept, {{'t': slot, 'v': v}}) END, lambda x: x.t >= slot - 259200), low, high, size, out FROM (SELECT *, coalesce(v NOT BETWEEN low AND high, false) AS out FROM (
+    SELECT asn, i, slot, v, kept, CASE WHEN moved THEN trunc((list_avg(basis) - 3 * list_stddev_pop(basis)) * 0.8)::BIGINT ELSE low END AS low, CASE WHEN moved THEN trunc((list_avg(basis) + 3 * list_stddev_pop(basis)) * 1.2)::BIGINT ELSE high END AS high, CASE WHEN moved THEN len(basis) ELSE size END AS size
+    FROM (SELECT *, len(basis) > 0 AND len(basis) >= size AS moved FROM (SELECT r.asn, r.i, r.slot, r.v, kept, low, high, size, {BASIS} AS basis FROM s JOIN r ON r.asn = s.asn AND r.i = s.i + 1)))))
+SELECT asn, slot, n, low, high, outlier FROM s WHERE i > 0""",
+)
 def outlier_band(spark, sf_dir):
     return series.outlier_band(hourly(spark, sf_dir).withColumn("n", F.col("n").cast("double")), ["asn"], "slot", "n")
 

@@ -50,13 +50,17 @@ def country_outages(samples: DataFrame, start: float = 0.03, back: float = 0.99,
     """Live country outages. ``samples``: (country, epoch_s, ratio of ASes affected, asn_visible, prefix_visible). ``onset``
     observations in a row above ``start`` open one, with the first of them as its onset; an observation without a ratio is not
     above. ``recovery`` in a row in which both visible shares are observed and at least ``back`` close it at the first of them.
-    Emits a row when an outage opens, has a new peak, or closes."""
+    Emits a row when an outage opens, has a new peak, or closes; an observation that is not newer than the last applied one changes nothing and is emitted as ``rejected_late``."""
 
     def apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bad, first, opened, peak, good, back_at = state.get if state.exists else (0, -1, -1, 0.0, 0, -1)
+        bad, first, opened, peak, good, back_at, last = state.get if state.exists else (0, -1, -1, 0.0, 0, -1, -1)
         out = []
         columns = ["epoch_s", "ratio", "asn_visible", "prefix_visible"]
         for t, ratio, asns, prefixes in pd.concat(list(batches)).sort_values("epoch_s", kind="stable")[columns].itertuples(index=False):
+            if t <= last:
+                out.append((*key, "rejected_late", opened, t, ratio))
+                continue
+            last = t
             above = not pd.isna(ratio) and ratio > start
             if opened < 0:
                 bad, first = (bad + 1, first if bad else t) if above else (0, -1)
@@ -72,8 +76,8 @@ def country_outages(samples: DataFrame, start: float = 0.03, back: float = 0.99,
             if good >= recovery:
                 out.append((*key, "closed", opened, back_at, peak))
                 bad, first, opened, peak, good, back_at = 0, -1, -1, 0.0, 0, -1
-        state.update((int(bad), int(first), int(opened), float(peak), int(good), int(back_at)))
+        state.update((int(bad), int(first), int(opened), float(peak), int(good), int(back_at), int(last)))
         yield pd.DataFrame(out, columns=["country", "event", "start_s", "at_s", "peak"])
 
-    schema, held = "country string, event string, start_s bigint, at_s bigint, peak double", "bad int, first bigint, opened bigint, peak double, good int, back_at bigint"
+    schema, held = "country string, event string, start_s bigint, at_s bigint, peak double", "bad int, first bigint, opened bigint, peak double, good int, back_at bigint, last bigint"
     return samples.groupBy("country").applyInPandasWithState(apply, schema, held, "append", GroupStateTimeout.NoTimeout)

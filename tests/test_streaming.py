@@ -50,3 +50,35 @@ def test_country_outage_lifecycle(spark, tmp_path):
     samples = spark.readStream.schema("country string, epoch_s bigint, ratio double, asn_visible double, prefix_visible double").json(str(tmp_path / "s"))
     out = run(routes.country_outages(samples), "countries", tmp_path)
     assert [tuple(r) for r in out.orderBy("at_s", "event").collect()] == [("XX", "opened", 900, 1200, 0.1), ("XX", "peak", 900, 1500, 0.2), ("XX", "closed", 900, 2700, 0.2)]
+
+
+def test_country_outages_reject_older_observations_after_a_restart(spark, tmp_path):
+    """The second batch is a new run from the checkpoint; what it has from before the first changes nothing."""
+    (tmp_path / "s").mkdir()
+    schema = "country string, epoch_s bigint, ratio double, asn_visible double, prefix_visible double"
+
+    def batch(name, rows, stamp):
+        text = "".join(json.dumps({"country": "XX", "epoch_s": t, "ratio": r, "asn_visible": 0.5, "prefix_visible": 0.5}) + "\n" for t, r in rows)
+        (tmp_path / "s" / name).write_text(text)
+        os.utime(tmp_path / "s" / name, (stamp, stamp))
+        out = routes.country_outages(spark.readStream.schema(schema).json(str(tmp_path / "s")))
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    batch("a.json", [(300, 0.05), (600, 0.06)], 1_700_000_000)
+    batch("b.json", [(450, 0.9), (600, 0.9), (900, 0.2)], 1_700_000_100)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("at_s", "event").collect()
+    assert [(r["event"], r["start_s"], r["at_s"], r["peak"]) for r in got] == [("rejected_late", 300, 450, 0.9), ("opened", 300, 600, 0.06), ("rejected_late", 300, 600, 0.9), ("peak", 300, 900, 0.2)]
+
+
+def test_replay_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs over one checkpoint give what one run gives."""
+    write(tmp_path / "in", "a", ONE)
+    one = routes.route_transitions(updates.stream_updates(spark, str(tmp_path / "in")))
+    for name in ("a", "b"):
+        if name == "b":
+            write(tmp_path / "in", "b", TWO)
+        q = one.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted((r["peer_asn"], r["epoch_s"], r["change"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("1", 900, "rejected_late"), ("1", 1000, "announced"), ("1", 1010, "withdrawn"), ("1", 1020, "announced"), ("1", 1400, "replaced"), ("2", 1005, "announced"), ("2", 1500, "withdrawn")]
