@@ -36,6 +36,8 @@ from .common import stored
 MIN_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 #: Groups and terms of a block; (term, group) entries that a task holds while counting.
 GROUP_BLOCK, TERM_BLOCK, HELD_TERMS = 64, 1 << 14, 500_000
+#: Parts of a language's terms where they meet the language's row.
+SALTS = 64
 #: Bytes of terms: ASCII letters, lower-cased, and all bytes of other characters; the rest are blanks.
 _TERM_BYTES = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 
@@ -125,7 +127,8 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, gro
 
     term_at = F.pmod(F.xxhash64("term"), "term_blocks")
     placed = slices.join(groups, ["lang", "source"]).withColumns({"p": _share("n", "total"), "q": _share("lang_n", "lang_total"), "term_at": term_at})
-    in_block = kept.join(languages, "lang").groupBy("lang", term_at.alias("term_at")).agg(F.count("*").alias("n_block"))
+    salted = languages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a language may hold most terms
+    in_block = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"]).groupBy("lang", term_at.alias("term_at")).agg(F.count("*").alias("n_block"))
     markers = groups.withColumn("term_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("term_blocks") - 1))).join(in_block, ["lang", "term_at"], "left")
     columns = ["lang", "source", "block", "term_at", "group_blocks", "term", "p", "n_block"]
     markers = markers.withColumns({"term": F.lit(None).cast("string"), "p": F.col("least"), "n_block": F.coalesce("n_block", F.lit(0))}).select(*columns)
