@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import concurrency, coverage, resources
 from . import bindings as B
-from .registry import query
+from .registry import SQL, query
 
 #: Six-hour slots from the first day of the events, and the last of them.
 FIRST_S, SLOT_S, LAST_SLOT = 1704067200, 21600, 119
@@ -115,6 +115,11 @@ def event_series(spark, sf_dir):
     return coverage.event_series(rows, cohorts(rows), origins(rows))
 
 
+def query_sql(name: str) -> str:
+    """The SQL of a query of this module, to build another's on."""
+    return SQL[name]
+
+
 def classed(spark, sf_dir):
     rows = states(spark, sf_dir)
     members, _ = coverage.cohort(rows, cohorts(rows))

@@ -27,4 +27,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["slot_features"](spark, sf_dir)
 
 
-from . import cohort_queries, country_queries, episode_queries, event_queries, impact_queries, judgement_queries, metric_queries, quality_queries, report_queries, route_queries, scalar_queries, series_queries  # noqa: E402, F401
+from . import cohort_queries, country_queries, episode_queries, event_queries, impact_queries, judgement_queries, metric_queries, quality_queries, report_queries, route_queries, scalar_queries, series_queries, summary_queries  # noqa: E402, F401
