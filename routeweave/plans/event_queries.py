@@ -249,3 +249,16 @@ def paired_events(spark, sf_dir):
     o = B.outages(spark, sf_dir)
     high = o.filter("level = 'high'").select(F.col("event_id").alias("other_id"), "asn", F.col("start_s").alias("other_s"))
     return within(o.filter("level = 'low'"), high, "asn", "start_s", "other_s", 864_000).select("event_id", "other_id", (F.col("other_s") - F.col("start_s")).alias("delta_s"))
+
+
+@query(
+    "nested_series",
+    f"""WITH {B.OUTAGE_SQL}, d AS (SELECT asn, start_s // 86400 AS day, count(*) AS n FROM outage GROUP BY ALL), l AS (SELECT asn, string_agg(day || ':' || n, ' ' ORDER BY day) AS series, count(*) AS points FROM d GROUP BY asn)
+SELECT c_custkey AS asn, coalesce(series, '') AS series, coalesce(points, 0) AS points FROM customer LEFT JOIN l ON asn = c_custkey""",
+)
+def nested_series(spark, sf_dir):
+    """Every network with the days on which it had outages and how many."""
+    days = B.outages(spark, sf_dir).groupBy("asn", F.expr("start_s div 86400").alias("day")).agg(F.count("*").alias("n"))
+    held = E.nested_series(B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asn")), days, "asn", "day", "n")
+    text = F.array_join(F.transform("series", lambda x: F.concat_ws(":", x["day"].cast("string"), x["n"].cast("string"))), " ")
+    return held.select("asn", text.alias("series"), F.size("series").cast("bigint").alias("points"))

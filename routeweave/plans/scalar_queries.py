@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import prefixes
+from ..functions import prefixes, texts
 from ..functions import scalars as S
 from ..operators import joins
 from . import bindings as B
@@ -118,3 +118,31 @@ def query_kinds(spark, sf_dir):
     e = B.read(spark, sf_dir, "events")
     q = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("AS"), F.col("user_id").cast("string"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("rrc"), (F.col("user_id") % 30).cast("string"))).otherwise(F.col("event_type"))
     return e.groupBy(S.query_kind(q).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "event_guardrails",
+    """WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN '前缀中断' WHEN 'error' THEN 'leak' WHEN 'click' THEN 'AS中断' WHEN 'signup' THEN 'country_outage' ELSE event_type END AS t, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '-' WHEN 2 THEN 'NaT' ELSE ts::VARCHAR END AS z FROM events),
+k AS (SELECT *, CASE t WHEN '前缀中断' THEN 'prefix_outage' WHEN 'AS中断' THEN 'as_outage' ELSE t END AS kind FROM e)
+SELECT event_id, CASE WHEN kind = 'leak' THEN 'unavailable' WHEN event_id % 4 = 3 THEN 'recorded' ELSE 'unknown' END AS lifecycle_state, CASE WHEN kind = 'prefix_outage' THEN 'legacy_biased' ELSE 'detector_fact_only' END AS attribution_state,
+       CASE WHEN kind IN ('as_outage', 'country_outage') THEN 'recompute_required' ELSE 'not_applicable' END AS ratio_state,
+       'causal_conclusion' || CASE WHEN kind = 'leak' THEN ',event_end,duration,recovery_state,ongoing_state' WHEN kind = 'prefix_outage' THEN ',responsible_as,causal_attribution' WHEN kind IN ('as_outage', 'country_outage') THEN ',stored_ratio_as_authoritative' ELSE '' END AS blocked_claims,
+       CASE WHEN kind = 'leak' THEN 'legacy_leak_lifecycle_missing' WHEN kind = 'prefix_outage' THEN 'legacy_moas_attribution_bias' WHEN kind IN ('as_outage', 'country_outage') THEN 'legacy_ratio_recompute_required' ELSE '' END AS reason_codes FROM k""",
+)
+def event_guardrails(spark, sf_dir):
+    e = B.read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "view", "前缀中断").when(F.col("event_type") == "error", "leak").when(F.col("event_type") == "click", "AS中断").when(F.col("event_type") == "signup", "country_outage").otherwise(F.col("event_type"))
+    end = F.when(F.col("event_id") % 4 == 1, "-").when(F.col("event_id") % 4 == 2, "NaT").when(F.col("event_id") % 4 == 3, F.col("ts").cast("string"))
+    g = e.select("event_id", texts.guardrails(kind, end).alias("g")).select("event_id", "g.*")
+    return g.withColumns({c: F.array_join(c, ",") for c in ("blocked_claims", "reason_codes")})
+
+
+@query(
+    "hijack_texts",
+    f"""WITH {B.ROUTE_SQL} SELECT event_id, '在北京时间 ' || epoch_s || ' , 归属于 AS ' || origin || CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '(net' || vp || ' , C' || (vp % 4) || ' )' ELSE '(C' || (vp % 4) || ' )' END || ' 的前缀 ' || prefix || ' 被 AS ' || vp || '(net' || vp || ' ) 劫持。' AS text FROM route WHERE action = 'announce'""",
+)
+def hijack_texts(spark, sf_dir):
+    r = B.route_events(spark, sf_dir).filter("action = 'announce'")
+    net, country = F.concat(F.lit("net"), "vp"), F.concat(F.lit("C"), F.col("vp") % 4)
+    owner = texts.named_as(F.col("origin"), F.when(F.col("event_id") % 3 == 1, net), F.when(F.col("event_id") % 3 != 0, country))
+    return r.select("event_id", texts.hijack_text(F.col("epoch_s").cast("string"), owner, F.col("prefix"), texts.named_as(F.col("vp"), net, F.lit(None).cast("string"))).alias("text"))
