@@ -13,12 +13,12 @@ from ..functions.prefixes import parse_cidr, v4_parts
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Overlapping or touching half-open intervals of each key joined into one; a NULL end is open and stays open."""
     far = F.lit((1 << 62)).cast("bigint")
-    rows = df.select(*keys, F.col(start).alias("s"), F.coalesce(F.col(end), far).alias("e"))
-    order = Window.partitionBy(*keys).orderBy("s", "e")
-    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("fresh", F.when(before >= F.col("s"), 0).otherwise(1)).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = rows.groupBy(*keys, "island").agg(F.min("s").alias(start), F.max("e").alias("e"), F.count("*").alias("n_merged"))
-    return merged.select(*keys, start, F.when(F.col("e") < far, F.col("e")).alias(end), "n_merged")
+    rows = df.select(*keys, F.col(start).alias("__s"), F.coalesce(F.col(end), far).alias("__e"))
+    order = Window.partitionBy(*keys).orderBy("__s", "__e")
+    before = F.max("__e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__fresh", F.when(before >= F.col("__s"), 0).otherwise(1)).withColumn("__island", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy(*keys, "__island").agg(F.min("__s").alias(start), F.max("__e").alias("__e"), F.count("*").alias("n_merged"))
+    return merged.select(*keys, start, F.when(F.col("__e") < far, F.col("__e")).alias(end), "n_merged")
 
 
 def covered(df: DataFrame, keys: Sequence[str], low: Column, high: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import collapse_prepends
+from .intervals import merge_intervals
 from .joins import relation_of
 
 
@@ -54,6 +55,25 @@ def visible_at(intervals: DataFrame, slots: DataFrame, buckets: int = 64) -> Dat
     return met.filter((F.col("from_at") <= F.col("slot")) & (F.col("to_at").isNull() | (F.col("to_at") > F.col("slot"))))
 
 
+def slot_populations(intervals: DataFrame, slots: DataFrame, subject: Sequence[str], item: str, step: int) -> DataFrame:
+    """(slot, subject, routes, items): how many intervals of a subject hold at the start of each of ``slots`` (slot, multiples of ``step``), and of how many different items; no row where none does.
+
+    An interval is +1 at the first slot that it reaches and -1 at the first behind it, whatever lies between; intervals of one item are joined first. So a long interval is two rows, and slots are only listed where a result row stands.
+    """
+    reach = lambda c: (F.ceil(F.col(c) / step) * step).cast("bigint")
+    held = intervals.select(*subject, item, reach("from_at").alias("first"), reach("to_at").alias("behind")).filter("behind IS NULL OR behind > first")
+    merged = merge_intervals(held, [*subject, item], "first", "behind")
+    ends = lambda df, r, i: df.select(*subject, F.explode(F.array(F.struct(F.col("first").alias("slot"), F.lit(r).alias("r"), F.lit(i).alias("i")), F.struct(F.col("behind").alias("slot"), F.lit(-r).alias("r"), F.lit(-i).alias("i")))).alias("x"))
+    changes = ends(held, 1, 0).union(ends(merged, 0, 1)).select(*subject, "x.*").filter("slot IS NOT NULL").groupBy(*subject, "slot").agg(F.sum("r").alias("r"), F.sum("i").alias("i"))
+    series = Window.partitionBy(*subject).orderBy("slot")
+    now = {c: F.sum(c).over(series.rowsBetween(Window.unboundedPreceding, 0)) for c in ("r", "i")}
+    runs = changes.withColumns(now | {"next": F.lead("slot").over(series)}).filter("r > 0")
+    last = slots.agg(F.max("slot")).first()[0] or 0
+    listed = runs.withColumn("until", F.coalesce(F.col("next") - step, F.lit(last))).filter("until >= slot")
+    shown = listed.select(*subject, F.explode(F.sequence("slot", "until", F.lit(step).cast("bigint"))).alias("slot"), F.col("r").alias("routes"), F.col("i").alias("items"))
+    return shown.join(slots.select("slot").distinct(), "slot", "left_semi")
+
+
 def running_visible(events: DataFrame, subject: Sequence[str], key: Sequence[str], order: Sequence[str], at: str, action: str = "action") -> DataFrame:
     """After each change: how many of a subject's keys are visible, and how many were ever seen. A key counts once while visible."""
     own = Window.partitionBy(*subject, *key).orderBy(*order)

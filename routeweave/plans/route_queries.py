@@ -74,8 +74,8 @@ GROUP BY slot, origin""",
 def snapshot_counts(spark, sf_dir):
     events = B.route_events(spark, sf_dir)
     days = events.select((F.col("epoch_s") - F.col("epoch_s") % 86400).alias("slot")).distinct()
-    shown = state.visible_at(state.visibility(events, KEY, ORDER, "epoch_s", ["origin"]), days)
-    return shown.groupBy("slot", "origin").agg(F.count("*").alias("routes"), F.count_distinct("prefix_id").alias("prefixes"))
+    shown = state.slot_populations(state.visibility(events, KEY, ORDER, "epoch_s", ["origin"]), days, ["origin"], "prefix_id", 86400)
+    return shown.withColumnRenamed("items", "prefixes")
 
 
 RUNNING_SQL = f"""{B.ROUTE_SQL},

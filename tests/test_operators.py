@@ -286,3 +286,12 @@ def test_reports(spark):
     assert [tuple(r)[-2:] for r in reports.closure_checks(closed, "n", ["a", "b"], {"r": (["a"], "n")}).collect()] == [("holds", "holds"), ("broken", "holds"), ("not_checked", "not_checked")]
     nets = spark.createDataFrame([(x,) for x in ("10.0.0.0/24", "10.0.0.0/23", "10.0.1.7/32", "0.0.0.0/0", "x", None)], "p string")
     assert nets.agg(reports.covered_blocks("p").alias("n")).first()["n"] == 2
+
+
+def test_slot_populations(spark):
+    rows = [("a", "p", 0, 20), ("a", "p", 5, None), ("a", "q", 10, 11), ("a", "q", 11, 19), ("b", "p", 30, 31)]
+    df = spark.createDataFrame(rows, "s string, item string, from_at bigint, to_at bigint")
+    slots = spark.createDataFrame([(0,), (10,), (20,), (40,)], "slot bigint")
+    got = values(state.slot_populations(df, slots, ["s"], "item", 10), "slot", "s", "routes", "items")
+    assert got == [(0, "a", 1, 1), (10, "a", 3, 2), (20, "a", 1, 1), (40, "a", 1, 1)]
+    assert state.slot_populations(df.limit(0), slots, ["s"], "item", 10).count() == 0
