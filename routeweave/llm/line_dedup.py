@@ -155,13 +155,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """``docs`` with its lines left in ``text``, and n_lines, n_dropped. Lines of a key found in at least ``min_docs`` documents stay only in the largest doc_id."""
     spark = docs.sparkSession
     rows = line_rows(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id", "k"), F.lit(batches)).cast("int"))
-    lines = stored(rows, partition_by=("batch",))
+    held = [scratch_dir(spark), scratch_dir(spark)]
+    lines = stored(rows, held[0], partition_by=("batch",))
     with LineRuns(spark, fanout) as runs, ordered_buckets(spark):
         for b in range(batches):
             runs.add(lines.filter((F.col("batch") == b) & F.col("first")).select("doc_id", *KEY))
-        dropped = stored(runs.totals(min_docs).select(*KEY, "max_doc"))
+        dropped = stored(runs.totals(min_docs).select(*KEY, "max_doc"), held[1])
     hits = lines.join(dropped, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-    per_doc = hits.groupBy(F.col("doc_id").alias("__hit"), F.col("k").alias("__hit_k")).agg(F.collect_set("pos").alias("__drop"))
+    per_doc = stored(hits.groupBy(F.col("doc_id").alias("__hit"), F.col("k").alias("__hit_k")).agg(F.collect_set("pos").alias("__drop")))
+    for path in held:  # what follows needs the places to drop alone
+        discard(spark, path)
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__hit_k"))
     joined = docs.join(per_doc, same, "left")
     n_dropped = F.coalesce(F.size("__drop"), F.lit(0))
