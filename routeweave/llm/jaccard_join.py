@@ -12,7 +12,8 @@
    bounded size. There, pairs of groups are filtered by size and only the members of those that pass are paired and
    compared by bitmap, pairs that pass by a finer one: the bits in which two differ never outnumber the shingles in which
    the sets differ, so no link is lost. Of a spanning forest of each bucket, one pair of each document is verified on the
-   full sets.
+   full sets. This is done twice: first each document stands in the largest of its buckets alone; then all buckets that
+   hold more than one of the components found are searched, and what is joined already proposes no pair.
 4. Components of the verified links are formed. A pair that could join two of them is spanned by a path of forest pairs
    on which each component is left by a pair that is no link, so only components at such ends are searched again; every pair between two of them is verified,
    and the components are final. Links inside a component change no result and are not listed.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -159,6 +160,19 @@ def buckets(classes: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
     return by_token.union(own).join(classes.select("gid", "rep"), "gid")
 
 
+def largest_buckets(members: DataFrame) -> DataFrame:
+    """Of each rep its row in the largest of its buckets: a first look in which each document stands once."""
+    order = Window.partitionBy("rep").orderBy(F.desc("size"), "own", "bucket")
+    return members.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+
+
+def open_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
+    """``members`` with ``component`` (node, component; the rep itself where it has none) of those buckets that hold more than one."""
+    named = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("bucket", "own").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    return named.join(mixed.select("bucket", "own"), ["bucket", "own"], "left_semi")
+
+
 def _dealt(members: DataFrame) -> DataFrame:
     """Adds ``part``: a bucket of more than ``BLOCK`` members is cut in blocks by hash, and every two of its blocks meet in one part."""
     rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -169,7 +183,9 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b) of members of one bucket that size and bitmap allow; ``sets``: (rep, n, bitmap). ``forest``: a spanning forest of each part only; else the pairs of different ``component``."""
+    """(a, b) of members of one bucket that size and bitmap allow; ``sets``: (rep, n, bitmap). ``forest``: a spanning forest of each part only, in which
+    members of one ``component``, if there is that column, are joined already; else all pairs of different ``component``."""
+    known = "component" in members.columns
 
     def find(parent: list[int], x: int) -> int:
         while parent[x] != x:
@@ -220,12 +236,13 @@ def candidate_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: b
             left.append(i[ok])
             right.append(j[ok])
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        if component is None:  # in one order everywhere, so that buckets with the same members choose the same pairs
+        if forest:  # in one order everywhere, so that buckets with the same members choose the same pairs
             order = np.lexsort((np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])))
             i, j = i[order], j[order]
+            node = np.arange(len(rep)) if component is None else np.unique(component, return_inverse=True)[1]
             parent = list(range(len(rep)))
             keep = []
-            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            for k, (x, y) in enumerate(zip(node[i].tolist(), node[j].tolist())):
                 x, y = find(parent, x), find(parent, y)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
@@ -258,7 +275,7 @@ def candidate_pairs(members: DataFrame, sets: DataFrame, percent: int, forest: b
         if held:
             yield run(pa.Table.from_batches(held))
 
-    names = ["part", "gid", "own", "here", "rep", "n", *([] if forest else ["component"])]
+    names = ["part", "gid", "own", "here", "rep", "n", *(["component"] if known else [])]
     rows = _dealt(members).join(sets, "rep").select(*names, "bitmap").repartition("part").sortWithinPartitions("part", "gid", "rep")
     return rows.mapInArrow(search, "a bigint, b bigint").distinct()
 
@@ -330,10 +347,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     classes = stored(reps.join(groups, "group_id").select("set_id", "rep", "gid", "members"))
     sets = filled.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bitmap")
     members = stored(buckets(classes, filled, percent))
-    tried = stored(candidate_pairs(members, sets, percent, forest=True))
-    likely = finer(tried, filled, percent)
-    first = stored(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # one partner each; the others follow if they still matter
-    links = stored(verify(first, docs, width, percent))
+
+    def linked(tried: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs that were compared, those that are links): one partner of each document; the others follow if they still matter."""
+        first = stored(finer(tried, filled, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        return first, stored(verify(first, docs, width, percent))
+
+    # a first look in one bucket of each document joins large groups of near copies, so that their other buckets propose nothing again
+    _, early = linked(stored(candidate_pairs(largest_buckets(members), sets, percent, forest=True)))
+    waiting = stored(open_buckets(members, connected_components(early)))
+    tried = stored(candidate_pairs(waiting, sets, percent, forest=True))
+    first, late = linked(tried)
+    links = stored(early.union(late))
     found = connected_components(links)
     # only components at the ends of a forest's pair that is no link so far can still be joined
     unlinked = tried.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
