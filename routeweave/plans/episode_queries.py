@@ -214,11 +214,12 @@ rows AS (
   UNION ALL SELECT vp, prefix, 1, epoch_s, event_id, action, as_path FROM route WHERE epoch_s >= {I.FIRST_S} + 5 * {DAY} AND epoch_s < {I.FIRST_S} + 12 * {DAY}),
 last AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY vp, prefix ORDER BY source DESC, "at" DESC, ordinal DESC) = 1),
 gaps AS (SELECT vp, list_sort(list(DISTINCT reason)) AS missing_reasons FROM (SELECT vp, CASE WHEN event_id % 2 = 0 THEN 'bad_artifact' ELSE 'missing_artifact' END AS reason FROM route WHERE vp % 2 = 0 AND event_id % 997 = 3 AND epoch_s < {I.FIRST_S} + 12 * {DAY}) GROUP BY vp)
-SELECT vp, prefix, "at", ordinal, as_path, CASE WHEN g.vp IS NULL THEN 'continuous' ELSE 'unknown_after_gap' END AS continuity, coalesce(missing_reasons, []) AS missing_reasons FROM last LEFT JOIN gaps g USING (vp) WHERE action <> 'withdraw'""",
+SELECT vp, prefix, "at", ordinal, as_path, CASE WHEN g.vp IS NULL THEN 'continuous' ELSE 'unknown_after_gap' END AS continuity, coalesce(array_to_string(missing_reasons, ','), '') AS missing_reasons FROM last LEFT JOIN gaps g USING (vp) WHERE action <> 'withdraw'""",
 )
 def caught_up_routes(spark, sf_dir):
     r = B.route_events(spark, sf_dir).withColumns({"at": F.col("epoch_s"), "ordinal": F.col("event_id")})
     start = I.FIRST_S + 5 * DAY
     last = r.filter(f"at < {start} AND action = 'announce'").groupBy("vp", "prefix").agg(F.max_by("as_path", "event_id").alias("as_path"), F.max("at").alias("at"), F.max("ordinal").alias("ordinal"))
     gaps = r.filter("vp % 2 = 0 AND event_id % 997 = 3").select("vp", F.col("at").alias("missing_from"), (F.col("at") + 300).alias("missing_to"), F.when(F.col("event_id") % 2 == 0, "bad_artifact").otherwise("missing_artifact").alias("reason"))
-    return sessions.catch_up(last, r.filter(f"at >= {start}"), gaps, I.FIRST_S + 12 * DAY)
+    found = sessions.catch_up(last, r.filter(f"at >= {start}"), gaps, I.FIRST_S + 12 * DAY)
+    return found.withColumn("missing_reasons", F.array_join("missing_reasons", ","))

@@ -120,19 +120,24 @@ def both_states(spark, sf_dir):
     return [state.replay(x, REPLAY_KEYS, REPLAY_ORDER) for x in (events, events.filter("event_id % 41 <> 0"))]
 
 
+def as_text(sums):
+    """Sums of digests as text: they have more digits than a floating number."""
+    return sums.withColumns({c: F.col(c).cast("string") for c in ("high", "low")})
+
+
 @query(
     "state_digest",
     f"""{STATES_SQL}, now AS (
   SELECT md5(concat_ws(chr(31), vp, prefix_id, as_path)) AS d FROM route QUALIFY row_number() OVER (PARTITION BY vp, prefix_id ORDER BY epoch_s DESC, event_id DESC) = 1 AND action <> 'withdraw')
-SELECT count(*) AS n_rows, sum(('0x' || substr(d, 1, 15))::BIGINT)::DECIMAL(38, 0) AS high, sum(('0x' || substr(d, 16, 15))::BIGINT)::DECIMAL(38, 0) AS low FROM now""",
+SELECT count(*) AS n_rows, sum(('0x' || substr(d, 1, 15))::BIGINT)::VARCHAR AS high, sum(('0x' || substr(d, 16, 15))::BIGINT)::VARCHAR AS low FROM now""",
 )
 def state_digest(spark, sf_dir):
-    return digests.digest(state.replay(B.route_events(spark, sf_dir), REPLAY_KEYS, REPLAY_ORDER), [*REPLAY_KEYS, "as_path"])
+    return as_text(digests.digest(state.replay(B.route_events(spark, sf_dir), REPLAY_KEYS, REPLAY_ORDER), [*REPLAY_KEYS, "as_path"]))
 
 
-@query("section_tree", f"{STATES_SQL} SELECT level::INT AS level, node, n_rows, high::DECIMAL(38, 0) AS high, low::DECIMAL(38, 0) AS low FROM tree WHERE side = 'a'")
+@query("section_tree", f"{STATES_SQL} SELECT level::INT AS level, node, n_rows, high::VARCHAR AS high, low::VARCHAR AS low FROM tree WHERE side = 'a'")
 def section_tree(spark, sf_dir):
-    return digests.section_tree(both_states(spark, sf_dir)[0], REPLAY_KEYS, [*REPLAY_KEYS, "origin", "as_path"])
+    return as_text(digests.section_tree(both_states(spark, sf_dir)[0], REPLAY_KEYS, [*REPLAY_KEYS, "origin", "as_path"]))
 
 
 @query("tree_difference", f"{STATES_SQL} SELECT level::INT AS level, node, rows_a, rows_b, status FROM differ")

@@ -50,7 +50,7 @@ OVERVIEW_SQL = f"""{I.COHORT_SQL},
 marks AS (SELECT *, slot - row_number() OVER (PARTITION BY event, asn, class ORDER BY slot) AS g FROM asns),
 lengths AS (SELECT event, asn, class, count(*) AS n FROM marks GROUP BY event, asn, class, g),
 overview AS (
-  SELECT event, asn, families, baseline, coalesce(sum(n) FILTER (class = 'normal'), 0)::BIGINT AS slots_fully_visible, coalesce(max(n) FILTER (class = 'normal'), 0) AS longest_fully_visible, coalesce(sum(n) FILTER (class = 'affected'), 0)::BIGINT AS slots_partially_visible,
+  SELECT event, asn, array_to_string(families, ',') AS families, baseline, coalesce(sum(n) FILTER (class = 'normal'), 0)::BIGINT AS slots_fully_visible, coalesce(max(n) FILTER (class = 'normal'), 0) AS longest_fully_visible, coalesce(sum(n) FILTER (class = 'affected'), 0)::BIGINT AS slots_partially_visible,
          coalesce(max(n) FILTER (class = 'affected'), 0) AS longest_partially_visible, coalesce(sum(n) FILTER (class = 'route_interrupted'), 0)::BIGINT AS slots_fully_invisible, coalesce(max(n) FILTER (class = 'route_interrupted'), 0) AS longest_fully_invisible
   FROM lengths JOIN (SELECT event, asn, list_sort(list(DISTINCT afi)) AS families, sum(expected)::BIGINT AS baseline FROM (SELECT DISTINCT event, prefix, expected FROM classed) JOIN named USING (event, prefix) JOIN origins USING (event, prefix) GROUP BY ALL) USING (event, asn) GROUP BY ALL)"""
 
@@ -59,20 +59,24 @@ def overview(spark, sf_dir):
     return summaries.asn_overview(*I.classed(spark, sf_dir))
 
 
+def in_text(rows):
+    return rows.withColumn("families", F.array_join(F.col("families").cast("array<string>"), ","))
+
+
 @query("asn_overview", f"WITH {OVERVIEW_SQL} SELECT * FROM overview")
 def asn_overview(spark, sf_dir):
-    return overview(spark, sf_dir)
+    return in_text(overview(spark, sf_dir))
 
 
 @query(
     "asn_page",
-    f"""WITH {OVERVIEW_SQL}, kept AS (SELECT * FROM overview WHERE list_contains(families, 4) AND slots_partially_visible > 0 AND contains(asn::VARCHAR, '30')),
+    f"""WITH {OVERVIEW_SQL}, kept AS (SELECT * FROM overview WHERE contains(families, '4') AND slots_partially_visible > 0 AND contains(asn::VARCHAR, '30')),
 placed AS (SELECT *, row_number() OVER (ORDER BY longest_partially_visible DESC, slots_partially_visible DESC, asn, event) AS position FROM kept)
-SELECT *, (SELECT count(*) FROM kept) AS total, 2 AS page, ceil((SELECT count(*) FROM kept) / 7)::INT AS pages FROM placed WHERE position BETWEEN 8 AND 14""",
+SELECT p.*, total, least(2, pages) AS page, pages FROM placed p, (SELECT count(*) AS total, greatest(1, ceil(count(*) / 7))::INT AS pages FROM kept) WHERE (position - 1) // 7 + 1 = least(2, pages)""",
 )
 def asn_page(spark, sf_dir):
     rows = summaries.filter_ases(overview(spark, sf_dir), "AS30", "ipv4", "partial")
-    return summaries.page(rows, [*summaries.as_order("partial"), F.asc("event")], 2, 7)
+    return in_text(summaries.page(rows, [*summaries.as_order("partial"), F.asc("event")], 2, 7))
 
 
 @query(
@@ -109,14 +113,15 @@ def key_facts(spark, sf_dir):
 @query(
     "incident_mappings",
     """WITH i AS (SELECT DISTINCT o_custkey AS incident FROM orders), m AS (SELECT o_custkey AS incident, o_orderkey AS episode, CASE WHEN o_orderpriority LIKE '1%' THEN 'overlaps' WHEN o_orderpriority LIKE '2%' THEN 'contains' ELSE 'no_correspondence' END AS relation, o_orderstatus = 'P' AS causal FROM orders WHERE o_totalprice > 250000)
-SELECT i.incident, coalesce(list_sort(list(DISTINCT episode) FILTER (episode IS NOT NULL)), []) AS episodes, coalesce(array_to_string(list_sort(list(DISTINCT relation) FILTER (relation IS NOT NULL)), ','), 'no_correspondence') AS relation
+SELECT i.incident, coalesce(array_to_string(list_sort(list(DISTINCT episode) FILTER (episode IS NOT NULL)), ','), '') AS episodes, coalesce(array_to_string(list_sort(list(DISTINCT relation) FILTER (relation IS NOT NULL)), ','), 'no_correspondence') AS relation
 FROM i LEFT JOIN (SELECT * FROM m WHERE relation <> 'no_correspondence' AND NOT causal) x USING (incident) GROUP BY i.incident""",
 )
 def incident_mappings(spark, sf_dir):
     o = B.read(spark, sf_dir, "orders")
     relation = F.when(F.col("o_orderpriority").startswith("1"), "overlaps").when(F.col("o_orderpriority").startswith("2"), "contains").otherwise("no_correspondence")
     mappings = o.filter("o_totalprice > 250000").select(F.col("o_custkey").alias("incident"), F.col("o_orderkey").alias("episode"), relation.alias("relation"), (F.col("o_orderstatus") == "P").alias("causal"))
-    return summaries.incident_mappings(o.select(F.col("o_custkey").alias("incident")), mappings)
+    found = summaries.incident_mappings(o.select(F.col("o_custkey").alias("incident")), mappings)
+    return found.withColumn("episodes", F.array_join(F.col("episodes").cast("array<string>"), ","))
 
 
 @query(
@@ -152,7 +157,7 @@ def outage_places(spark, sf_dir):
     f"""WITH {I.COHORT_SQL},
 v AS (SELECT event, slot, sum(visible)::BIGINT AS visible FROM classed WHERE slot % 3 <> 0 GROUP BY ALL), a AS (SELECT event, slot, count(*) FILTER (class <> 'normal') AS hit FROM asns WHERE slot % 4 <> 1 GROUP BY ALL),
 u AS (SELECT event, slot, count(*) AS updates FROM (SELECT (epoch_s - {I.FIRST_S}) // {I.SLOT_S} AS slot, prefix_id AS prefix FROM route) JOIN named USING (prefix) GROUP BY ALL)
-SELECT event, slot, visible, hit, updates, list_filter([CASE WHEN visible IS NOT NULL THEN 'visible' END, CASE WHEN hit IS NOT NULL THEN 'hit' END, CASE WHEN updates IS NOT NULL THEN 'updates' END], lambda x: x IS NOT NULL) AS measures FROM v FULL JOIN a USING (event, slot) FULL JOIN u USING (event, slot)""",
+SELECT event, slot, visible, hit, updates, concat_ws(',', CASE WHEN visible IS NOT NULL THEN 'visible' END, CASE WHEN hit IS NOT NULL THEN 'hit' END, CASE WHEN updates IS NOT NULL THEN 'updates' END) AS measures FROM v FULL JOIN a USING (event, slot) FULL JOIN u USING (event, slot)""",
 )
 def country_samples(spark, sf_dir):
     rows = I.states(spark, sf_dir)
@@ -160,4 +165,4 @@ def country_samples(spark, sf_dir):
     events = I.prefixes(B.route_events(spark, sf_dir).withColumn("slot", F.expr(f"(epoch_s - {I.FIRST_S}) div {I.SLOT_S}"))).groupBy("event", "slot").agg(F.count("*").alias("updates"))
     visible = s.filter("slot % 3 <> 0").select("event", "slot", F.col("prefix_visible_directions").alias("visible"))
     hit = s.filter("slot % 4 <> 1").select("event", "slot", (F.col("asn_affected") + F.col("asn_interrupted")).alias("hit"))
-    return metrics.country_samples([visible, hit, events], ["event", "slot"])
+    return metrics.country_samples([visible, hit, events], ["event", "slot"]).withColumn("measures", F.array_join("measures", ","))
