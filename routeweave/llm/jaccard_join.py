@@ -167,7 +167,7 @@ def largest_buckets(members: DataFrame) -> DataFrame:
 
 
 def open_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
-    """``members`` with ``component`` (node, component; the rep itself where it has none) of those buckets that hold more than one."""
+    """``members`` with ``component`` (node, component; the rep itself where it has none) of those buckets that hold more than one. Equal components have to be connected; different ones may be."""
     named = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("bucket", "own").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     return named.join(mixed.select("bucket", "own"), ["bucket", "own"], "left_semi")
@@ -348,16 +348,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     sets = filled.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bitmap")
     members = stored(buckets(classes, filled, percent))
 
-    def linked(tried: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs that were compared, those that are links): one partner of each document; the others follow if they still matter."""
-        first = stored(finer(tried, filled, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        return first, stored(verify(first, docs, width, percent))
+    def one_partner(tried: DataFrame) -> DataFrame:
+        return stored(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
 
-    # a first look in one bucket of each document joins large groups of near copies, so that their other buckets propose nothing again
-    _, early = linked(stored(candidate_pairs(largest_buckets(members), sets, percent, forest=True)))
-    waiting = stored(open_buckets(members, connected_components(early)))
+    # a first look in one bucket of each document: those that are linked with one other are joined, so that the other buckets of large groups of near copies propose nothing again
+    early = stored(verify(one_partner(candidate_pairs(largest_buckets(members), sets, percent, forest=True)), docs, width, percent))
+    waiting = stored(open_buckets(members, early.select(F.col("b").alias("node"), F.col("a").alias("component"))))
     tried = stored(candidate_pairs(waiting, sets, percent, forest=True))
-    first, late = linked(tried)
+    first = one_partner(finer(tried, filled, percent))  # one partner each; the others follow if they still matter
+    late = stored(verify(first, docs, width, percent))
     links = stored(early.union(late))
     found = connected_components(links)
     # only components at the ends of a forest's pair that is no link so far can still be joined
