@@ -43,13 +43,15 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def capped_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
     """(low, high, n_paths, hop) of the edges at the nodes within ``hops - 1`` steps of a seed (node), with the step that reaches them.
 
-    Without caps all of them. With caps a step's edges are taken in the order of most paths, then numbers, until ``max_edges`` edges are taken or ``max_nodes`` nodes reached, the edge that reaches the cap included. The
-    last edge that fits is a threshold found by a top-n of as many edges, or first edges of new nodes, as there is room for; the edges up to it are a filter, so only the caps bound what comes together in one place.
+    Without caps all of them. With caps a step's edges are taken in the order of most paths, then numbers, until ``max_edges`` edges are taken or ``max_nodes`` nodes reached, the edge that reaches the cap included; seeds that reach it alone
+    have no edges. The last edge that fits is a threshold found by a top-n of as many edges, or first edges of new nodes, as there is room for; the edges up to it are a filter, so only the caps bound what comes together in one place.
     """
     order = F.struct((-F.col("n_paths")).alias("fewer"), "low", "high")
     ends = lambda df: df.select(F.explode(F.array("low", "high")).alias("node"))
     reached = frontier = stored(seeds.select("node").distinct())
     taken, n_nodes, n_edges = None, reached.count() if max_nodes is not None else 0, 0
+    if (max_nodes is not None and n_nodes >= max_nodes) or max_edges == 0:
+        return edges.select("low", "high", "n_paths", F.lit(1).alias("hop")).limit(0)
     for k in range(1, hops + 1):
         near = edges.join(frontier.select(F.col("node").alias("low")), "low", "left_semi").union(edges.join(frontier.select(F.col("node").alias("high")), "high", "left_semi").select(*edges.columns)).distinct()
         if taken is not None:
@@ -57,13 +59,13 @@ def capped_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, max_nodes: in
         near = near.select("low", "high", "n_paths", order.alias("place"))
         full, limits = False, []
         if max_edges is not None:
-            top = near.orderBy("place").limit(max(0, max_edges - n_edges)).agg(F.count("*").alias("n"), F.max("place").alias("last")).first()
+            top = near.orderBy("place").limit(max_edges - n_edges).agg(F.count("*").alias("n"), F.max("place").alias("last")).first()
             if n_edges + top["n"] >= max_edges:
                 full = True
                 limits.append(top["last"])
         if max_nodes is not None:
             first = near.select("place", F.explode(F.array("low", "high")).alias("node")).join(reached, "node", "left_anti").groupBy("node").agg(F.min("place").alias("place"))
-            top = first.orderBy("place").limit(max(1, max_nodes - n_nodes)).agg(F.count("*").alias("n"), F.max("place").alias("last")).first()
+            top = first.orderBy("place").limit(max_nodes - n_nodes).agg(F.count("*").alias("n"), F.max("place").alias("last")).first()
             if n_nodes + top["n"] >= max_nodes:
                 full = True
                 limits.append(top["last"])
