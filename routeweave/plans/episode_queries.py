@@ -202,7 +202,8 @@ cut AS (SELECT h.*, l.t AS lost_at FROM held h ASOF LEFT JOIN (SELECT vp, t FROM
 SELECT vp, "at", report, count(*) FILTER (here AND (lost_at IS NULL OR said_at > lost_at)) AS known, count(*) FILTER (here AND said_at < lost_at) AS unknown FROM cut GROUP BY vp, "at", t, report""",
 )
 def session_reports(spark, sf_dir):
-    return sessions.session_reports(session_timeline(spark, sf_dir))
+    """A second has a million ordinals, as in the SQL."""
+    return sessions.session_reports(session_timeline(spark, sf_dir), ordinals=1_000_000)
 
 
 @query(
