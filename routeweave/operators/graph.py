@@ -48,15 +48,15 @@ def capped_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, max_nodes: in
     """
     order = F.struct((-F.col("n_paths")).alias("fewer"), "low", "high")
     ends = lambda df: df.select(F.explode(F.array("low", "high")).alias("node"))
-    reached = frontier = stored(seeds.select("node").distinct())
+    reached = stored(seeds.select("node").distinct().withColumn("step", F.lit(0)))
     taken, n_nodes, n_edges = None, reached.count() if max_nodes is not None else 0, 0
     if (max_nodes is not None and n_nodes >= max_nodes) or max_edges == 0:
         return edges.select("low", "high", "n_paths", F.lit(1).alias("hop")).limit(0)
+    edges = stored(edges.select("low", "high", "n_paths"))
     for k in range(1, hops + 1):
-        near = edges.join(frontier.select(F.col("node").alias("low")), "low", "left_semi").union(edges.join(frontier.select(F.col("node").alias("high")), "high", "left_semi").select(*edges.columns)).distinct()
-        if taken is not None:
-            near = near.join(taken, ["low", "high"], "left_anti")
-        near = near.select("low", "high", "n_paths", order.alias("place"))
+        # an edge belongs to the step of its nearer end: those of earlier steps are all taken, or a cap would have ended the loop
+        met = edges.join(reached.select(F.col("node").alias("low"), F.col("step").alias("a")), "low", "left").join(reached.select(F.col("node").alias("high"), F.col("step").alias("b")), "high", "left")
+        near = met.filter(F.least("a", "b") == k - 1).select("low", "high", "n_paths", order.alias("place"))
         full, limits = False, []
         if max_edges is not None:
             top = near.orderBy("place").limit(max_edges - n_edges).agg(F.count("*").alias("n"), F.max("place").alias("last")).first()
@@ -74,10 +74,9 @@ def capped_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, max_nodes: in
             near = near.filter(F.col("place") <= bound) if bound is not None else near.limit(0)
         step = stored(near.select("low", "high", "n_paths", F.lit(k).alias("hop")))
         taken = step if taken is None else taken.union(step)
-        if full:
+        if full or k == hops:
             break
-        frontier = stored(ends(step).distinct().join(reached, "node", "left_anti"))
-        reached = reached.union(frontier)
+        reached = reached.union(stored(ends(step).distinct().join(reached, "node", "left_anti").withColumn("step", F.lit(k))))
         if max_edges is not None or max_nodes is not None:
             n_edges, n_nodes = n_edges + step.count(), reached.count() if max_nodes is not None else 0
     return taken

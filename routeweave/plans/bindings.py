@@ -6,6 +6,8 @@ every other event announces a path. ``lineitem`` grouped by order becomes AS pat
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +69,15 @@ outage AS (
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
+#: Lines of orders that a task gathers to paths.
+LINES_A_PART = 500_000
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path_id, as_path): the suppliers of an order in line order as a space-joined path."""
-    i = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
+    """(path_id, as_path): the suppliers of an order in line order as a space-joined path. The number of parts follows the lines, so that
+    what a task makes of its paths does not grow with the table."""
+    i = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    i = i.repartition(max(1, math.ceil(i.count() / LINES_A_PART)), "l_orderkey").groupBy(F.col("l_orderkey").alias("path_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
     return i.select("path_id", F.array_join(F.transform("x", lambda s: s["l_suppkey"].cast("string")), " ").alias("as_path"))
 
 
