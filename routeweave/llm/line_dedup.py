@@ -166,7 +166,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     for path in held:  # what follows needs the places to drop alone
         discard(spark, path)
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__hit_k"))
-    joined = docs.join(per_doc, same, "left")
+    joined = docs.join(per_doc.hint("merge"), same, "left")  # by sorting at every size: disk then grows with the input, not by leaps
     n_dropped = F.coalesce(F.size("__drop"), F.lit(0))
 
     def kept(lines: Column) -> Column:
