@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 RELATIONS = ("peer", "customer_provider", "provider_customer")
 
 
+def best_relations(edges: DataFrame) -> DataFrame:
+    """(a, b, place) of the ``edges`` of ``relation_of`` from both ends: the first of ``RELATIONS`` in precedence."""
+    mirrored = edges.select("a", "b", "rel").union(edges.select("b", "a", -F.col("rel")))
+    place = F.when(F.col("rel") == 0, 0).when(F.col("rel") == 1, 1).otherwise(2)
+    return mirrored.groupBy("a", "b").agg(F.min(place).alias("place"))
+
+
 def relation_of(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """The relation of each (a, b): ``edges`` (a, b, rel) hold 0 for peers, 1 where a is b's customer, -1 the other way; they are
     looked up from both ends and the first in precedence wins."""
-    mirrored = edges.select("a", "b", "rel").union(edges.select("b", "a", -F.col("rel")))
-    place = F.when(F.col("rel") == 0, 0).when(F.col("rel") == 1, 1).otherwise(2)
-    best = mirrored.groupBy("a", "b").agg(F.min(place).alias("place"))
-    joined = pairs.join(best, ["a", "b"], "left")
+    joined = pairs.join(best_relations(edges), ["a", "b"], "left")
     return joined.select("a", "b", F.coalesce(F.get(F.array(*map(F.lit, RELATIONS)), F.col("place")), F.lit("none")).alias("relation"))
 
 

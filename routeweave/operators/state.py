@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import collapse_prepends
 from .intervals import merge_intervals
-from .joins import relation_of
+from .joins import RELATIONS, best_relations
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -144,15 +144,14 @@ def leak_triplets(paths: DataFrame, edges: DataFrame, known: DataFrame, path: st
     """The first leak of each prefix: neighbours (first, second, third) on a path read from its origin, where the second has the
     route from one provider and gives it to another. Repeated hops are one; paths with an AS set, or of at most three hops, have
     none; ``edges`` (a, b, rel) are read with the precedence of ``relation_of``, and triplets with a stability of at least
-    ``skip`` in ``known`` (first_as, second_as, third_as, stability) are passed over."""
+    ``skip`` in a row of ``known`` (first_as, second_as, third_as, stability) are passed over."""
     rows = paths.filter(~F.contains(F.col(path), F.lit("{"))).select(*prefix, *order, collapse_prepends(F.split(F.col(path), " ")).alias("h")).filter(F.size("h") > 3)
     triplet = lambda i: F.struct((F.size("h") - 1 - i).alias("from_origin"), F.get("h", i).alias("first_as"), F.get("h", i - 1).alias("second_as"), F.get("h", i - 2).alias("third_as"))
     rows = rows.select(*prefix, *order, F.explode(F.transform(F.sequence(F.lit(2), F.size("h") - 1), triplet)).alias("__t")).select(*prefix, *order, "__t.*")
-    asked = rows.select(F.col("first_as").alias("a"), F.col("second_as").alias("b")).union(rows.select("third_as", "second_as")).distinct()
-    provider = relation_of(asked, edges).filter("relation = 'provider_customer'")
+    provider = best_relations(edges).filter(F.col("place") == RELATIONS.index("provider_customer"))
     rows = rows.join(provider.select(F.col("a").alias("first_as"), F.col("b").alias("second_as")), ["first_as", "second_as"])
     rows = rows.join(provider.select(F.col("a").alias("third_as"), F.col("b").alias("second_as")), ["third_as", "second_as"])
-    rows = rows.join(known, ["first_as", "second_as", "third_as"], "left").filter(F.coalesce("stability", F.lit(0.0)) < skip)
+    rows = rows.join(known.filter(F.col("stability") >= skip), ["first_as", "second_as", "third_as"], "left_anti")
     found = F.struct(*order, "from_origin", "first_as", "second_as", "third_as")
     return rows.groupBy(*prefix).agg(F.min(found).alias("x")).select(*prefix, "x.*")
 

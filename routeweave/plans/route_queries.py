@@ -326,6 +326,6 @@ def leak_triplets(spark, sf_dir):
     text = lambda c: (c % 100 + 1).cast("string")
     rel = F.when(F.col("l_quantity") > 45, -1).when(F.col("l_quantity") < 3, 0).otherwise(1)
     edges = i.filter("l_quantity > 45 OR l_quantity < 4").select(F.col("l_suppkey").cast("string").alias("a"), text(F.col("l_partkey")).alias("b"), rel.alias("rel"))
-    known = i.groupBy(F.col("l_suppkey").cast("string").alias("first_as"), text(F.col("l_partkey")).alias("second_as"), text(F.col("l_orderkey")).alias("third_as")).agg(F.max(F.col("l_discount") * 4).cast("double").alias("stability"))
+    known = i.select(F.col("l_suppkey").cast("string").alias("first_as"), text(F.col("l_partkey")).alias("second_as"), text(F.col("l_orderkey")).alias("third_as"), (F.col("l_discount") * 4).cast("double").alias("stability"))
     owners = B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path_id"), F.col("o_custkey").alias("prefix"))
     return state.leak_triplets(B.paths(spark, sf_dir).join(owners, "path_id"), edges, known, "as_path", ["prefix"], ["path_id"])
