@@ -10,8 +10,8 @@
    own band and the next: a group without another of a fitting size is left out before its members are expanded, and a
    hot shingle is split by size. The members of one group meet in the group's own bucket. Buckets are dealt in blocks of
    bounded size. There, pairs of groups are filtered by size and only the members of those that pass are paired and
-   compared by bitmap, pairs that pass by a finer one: the bits in which two differ never outnumber the shingles in which
-   the sets differ, so no link is lost. Of a spanning forest of each bucket, one pair of each document is verified on the
+   compared by bitmap, pairs that pass by a finer one that grows with the set: the bits in which two differ never outnumber
+   the shingles in which the sets differ, so no link is lost. Of a spanning forest of each bucket, one pair of each document is verified on the
    full sets.
 4. Components of the verified links are formed. A pair that could join two of them is spanned by a path of forest pairs
    on which each component is left by a pair that is no link, so only components at such ends are searched again; every pair between two of them is verified,
@@ -42,7 +42,8 @@ from .shingles import hashed_texts, shingle_sets
 WIDTH, PERCENT = 3, 90
 #: Shingles counted together; how often one must repeat there; how many of the most frequent ones are sorted last.
 CHUNK, REPEATS, HEAVY = 4_000_000, 4, 1 << 18
-BITS, FINE_BITS = 512, 2048
+#: Bits of a set's coarse bitmap; least and most bits of its fine one, which otherwise has as many as shingles, so that long sets do not fill it.
+BITS, FINE_BITS, MOST_FINE_BITS = 512, 2048, 1 << 16
 #: Least bits of the filter for each shared shingle, and the most there are.
 BITS_A_SHINGLE, MOST_BITS = 8, 1 << 28
 #: Most members of a block of a bucket.
@@ -83,6 +84,17 @@ def frequent_shingles(docs: DataFrame, width: int, heavy: int = HEAVY) -> np.nda
     return rows["shingle"].to_numpy(dtype=np.int64)[::-1].view(np.uint64).copy()
 
 
+def fine_bits(n: int) -> int:
+    """Bits of the fine bitmap of a set of ``n`` shingles, a power of two."""
+    return min(MOST_FINE_BITS, max(FINE_BITS, 1 << (n - 1).bit_length()))
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two parity bitmaps differ; the longer one is folded to the length of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)))).sum())
+
+
 def signatures(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
     """(doc_id, n_shingles, set_id, group_id, bitmap, fine, prefix) of each document; the last five are null for an empty set."""
     by_value = np.argsort(last)
@@ -100,7 +112,8 @@ def signatures(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> D
                 if len(prefix) < need:
                     late = np.flatnonzero(common)
                     prefix = np.concatenate([prefix, s[late[np.argsort(rank[at[late]])][: need - len(prefix)]]])
-                fine = np.bincount((s & np.uint64(FINE_BITS - 1)).astype(np.int64), minlength=FINE_BITS) & 1
+                size = fine_bits(n)
+                fine = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 bits = np.bitwise_xor.reduce(fine.reshape(-1, BITS)).astype(np.uint8)
                 group = xxhash.xxh3_128_digest(np.sort(prefix).tobytes() + n.to_bytes(8, "little"))
                 rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), group, np.packbits(bits).tobytes(), np.packbits(fine.astype(np.uint8)).tobytes(), prefix.view(np.int64)))
@@ -272,8 +285,7 @@ def finer(pairs: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
     def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, FINE_BITS // 64) for k in (4, 5))
-                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                differ = np.array([differing(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], np.int64)
                 keep = differ * (100 + percent) <= (100 - percent) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -310,9 +322,11 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return rows.repartition("part").sortWithinPartitions("part", "a", "late").mapInArrow(compare, "a bigint, b bigint")
 
 
-def one_of_each_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id) of the ids that rows repeat, and ``docs`` with one row of each of them, that of the greatest text."""
+def one_of_each_id(docs: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(doc_id) of the ids that rows repeat, None if there are none, and ``docs`` with one row of each of them, that of the greatest text."""
     repeated = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return None, docs
     greatest = docs.join(repeated, "doc_id").groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("key"), *docs.columns)).alias("x"))
     return repeated, docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(greatest.select(*[F.col("x")[c].alias(c) for c in docs.columns]))
 
@@ -323,8 +337,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     repeated, docs = one_of_each_id(every)
     heavy = frequent_shingles(every, width)
     signed = stored(signatures(every, width, percent, heavy))
-    chosen = stored(signatures(docs.join(repeated, "doc_id", "left_semi"), width, percent, heavy))  # the greatest texts of repeated ids
-    filled = signed.join(repeated, "doc_id", "left_anti").unionByName(chosen).filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    filled, chosen = signed, None
+    if repeated is not None:
+        chosen = stored(signatures(docs.join(repeated, "doc_id", "left_semi"), width, percent, heavy))  # the greatest texts of repeated ids
+        filled = signed.join(repeated, "doc_id", "left_anti").unionByName(chosen)
+    filled = filled.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
     reps = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("group_id").alias("group_id"))
     groups = reps.groupBy("group_id").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
     classes = stored(reps.join(groups, "group_id").select("set_id", "rep", "gid", "members"))
@@ -334,21 +351,24 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     likely = finer(tried, filled, percent)
     first = stored(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # one partner each; the others follow if they still matter
     links = stored(verify(first, docs, width, percent))
-    found = connected_components(links)
+    found = stored(connected_components(links))
     # only components at the ends of a forest's pair that is no link so far can still be joined
     unlinked = tried.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = unlinked.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    ends = stored(unlinked.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     open_ends = ends.select("component").distinct()
     labels = found.join(open_ends, "component", "left_semi").select("node", "component").union(ends.filter("node = component")).distinct()
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep")
+    labelled = stored(members.join(labels.withColumnRenamed("node", "rep"), "rep"))
     mixed = labelled.groupBy("bucket", "own").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    labelled = stored(labelled.join(mixed.select("bucket", "own"), ["bucket", "own"], "left_semi"))
+    labelled = labelled.join(mixed.select("bucket", "own"), ["bucket", "own"], "left_semi")
     more = candidate_pairs(labelled, sets, percent, forest=False).join(first, ["a", "b"], "left_anti")
     more = stored(finer(stored(more), filled, percent))
     if not more.isEmpty():
         links = stored(links.union(verify(more, docs, width, percent)))
-        found = connected_components(links)
-    named = classes.select("set_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    by_id = chosen.join(named, "set_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("of_id"))
-    out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").join(by_id, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", "component", "doc_id")).alias("component_id"))
+        found = stored(connected_components(links))
+    named = stored(classes.select("set_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component")))
+    out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    of_id = F.coalesce("component", "doc_id")
+    if chosen is not None:
+        by_id = chosen.join(named, "set_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("of_id"))
+        out, of_id = out.join(by_id, "doc_id", "left"), F.coalesce("of_id", "component", "doc_id")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), of_id).alias("component_id"))
